@@ -18,6 +18,12 @@ costs do not exceed d (a few tiny sets) also emits one signature that all such
 sets of its band share, so that no pair is lost.  A band spans a factor of
 two; a set whose larger partner may lie in the next band emits there as well.
 
+*Frequent elements.*  Passages that many documents share would give equal
+signatures to documents that are otherwise different.  Elements found in more
+than a set share of the documents are marked in a bit map of fixed size and
+partitioned apart, after all others in the order of emission.  The marking is
+one function for all documents, so it changes the cost and never the result.
+
 *Scale.*  Signatures are sent packed, by ranges of their value; equal
 signatures inside a task are merged into links before the shuffle, so that a
 group with a third of all rows sends one entry a task.  Links of equal
@@ -50,6 +56,10 @@ LIMIT_ELEMENTS, LIMIT_SETS = 6_000_000, 20_000
 BROADCAST_IDS = 4_000_000
 _LEAST_BAND = 5
 _FLUSH = 1_000_000
+#: Elements in at least this share of the documents are frequent; looked for in runs of so many documents.
+FREQUENT, _RUN = 0.0005, 8_000
+#: Bits of the map of frequent elements.
+_MAP = 2**24
 U = np.uint64
 
 
@@ -89,13 +99,17 @@ def differing(size: np.ndarray, num: int, den: int) -> np.ndarray:
     return (size + size * den // num) * (den - num) // (den + num)
 
 
-def _in_band(elements: np.ndarray, sizes: np.ndarray, j: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of non-empty sets in the bands j, and the index of each one's set."""
-    groups = np.left_shift(1, j)
+def _in_band(elements: np.ndarray, sizes: np.ndarray, j: np.ndarray, d: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of non-empty sets in the bands j, and the index of each one's set.
+
+    Partitions of frequent elements follow those of all others.
+    """
+    rare = np.left_shift(1, j)
+    groups = 2 * rare
     cell0 = np.cumsum(3 * groups) - 3 * groups
     u = mix(elements ^ U(0x51ED270B7A2F4D13))
     of = np.repeat(np.arange(len(sizes)), sizes)
-    g = (u & (groups[of] - 1).astype(U)).astype(np.int64)
+    g = (u & (rare[of] - 1).astype(U)).astype(np.int64) + frequent * rare[of]
     cell = cell0[of] + 3 * g + ((u >> U(40)) % U(3)).astype(np.int64)
     cells = int(3 * groups.sum())
     v = mix(elements ^ U(0x2545F4914F6CDD1D)) >> U(12)
@@ -124,19 +138,24 @@ def _in_band(elements: np.ndarray, sizes: np.ndarray, j: np.ndarray, d: np.ndarr
     return np.concatenate(sig), np.concatenate(by)
 
 
-def signatures(elements: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """PartEnum signatures of some sets, and the index of each one's set."""
+def signatures(elements: np.ndarray, sizes: np.ndarray, num: int, den: int, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """PartEnum signatures of some sets, and the index of each one's set.
+
+    ``frequent`` is the map of frequent elements, one flag for each remainder.
+    """
+    often = np.zeros(len(elements), np.int64) if frequent is None else frequent[elements & U(len(frequent) - 1)].astype(np.int64)
     some = np.flatnonzero(sizes > 0)
     if not len(some):
         return np.empty(0, U), np.empty(0, np.int64)
     s = sizes[some]
     own, d = band(s), differing(s, num, den)
-    sig, by = _in_band(elements, s, own, d)
+    sig, by = _in_band(elements, s, own, d, often)
     next_band = band(s * den // num)
     up = np.flatnonzero(next_band > own)
     if len(up):
         begin = (np.cumsum(s) - s)[up]
-        sig2, by2 = _in_band(elements[spans(begin, s[up])], s[up], next_band[up], d[up])
+        at = spans(begin, s[up])
+        sig2, by2 = _in_band(elements[at], s[up], next_band[up], d[up], often[at])
         sig, by = np.append(sig, sig2), np.append(by, up[by2])
     return sig, some[by]
 
@@ -162,23 +181,79 @@ def _distinct(pairs: np.ndarray) -> np.ndarray:
     return pairs[np.append(True, (pairs[1:] != pairs[:-1]).any(axis=1))]
 
 
+def _six(x: np.ndarray) -> bytes:
+    """The low 48 bits of each number."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _from_six(x: bytes) -> np.ndarray:
+    out = np.zeros((len(x) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(x, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
+def _frequent(n: int):
+    """mapInArrow function: elements that are often met in runs of documents, with their counts."""
+
+    def counted(held):
+        key = np.sort(np.concatenate(held))
+        begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+        many = np.diff(np.append(begin, len(key)))
+        some = many >= 3
+        return pa.RecordBatch.from_arrays([pa.array(key[begin[some]].astype(np.int64)), pa.array(many[some])], names=["element", "many"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, docs = [], 0
+        for batch in batches:
+            texts = [t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()]
+            for a, b in chunks(texts):
+                held.append(shingle_sets(texts[a:b], n)[0])
+                docs += b - a
+                if docs >= _RUN or sum(map(len, held)) > 8 * _FLUSH:
+                    yield counted(held)
+                    held, docs = [], 0
+        if held:
+            yield counted(held)
+
+    return run
+
+
+def frequent_map(rows: DataFrame, n: int, share: float = FREQUENT) -> np.ndarray:
+    """Flags, by remainder, of elements in at least ``share`` of the documents (an estimate that only steers cost)."""
+    total = rows.count()
+    met = rows.select("text").mapInArrow(_frequent(n), "element long, many long").groupBy("element").agg(F.sum("many").alias("many"))
+    bits = np.zeros(_MAP, bool)
+    # Packed by the map's own remainders: the driver gets no more rows than the map has flags.
+    for r in met.where(F.col("many") >= max(6, share * total)).select(F.expr(f"element & {_MAP - 1}").alias("r")).distinct().toLocalIterator():
+        bits[r.r] = True
+    return np.packbits(bits)
+
+
 _PACKED = "p int, kind int, x binary, y binary, z binary"
 _DOC, _SIG, _LINK = 0, 1, 2
 
 
-def _packed(n: int, num: int, den: int, parts: int):
-    """mapInArrow function: packed documents, signatures and links."""
+def _packed(n: int, num: int, den: int, parts: int, frequent):
+    """mapInArrow function: packed documents, signatures (48 bits within their range, and which node) and links."""
     schema = pa.schema([("p", pa.int32()), ("kind", pa.int32()), ("x", pa.binary()), ("y", pa.binary()), ("z", pa.binary())])
 
     def flush(sigs, nodes, turn):
         sig, node, pairs = _merge(np.concatenate(sigs), np.concatenate(nodes))
-        bounds = np.searchsorted(sig >> U(32), (np.arange(1, parts, dtype=U) << U(32)) // U(parts))
-        rows = [(p, _SIG, s.tobytes(), d.tobytes(), b"") for p, (s, d) in enumerate(zip(np.split(sig, bounds), np.split(node, bounds), strict=True)) if len(s)]
+        bounds = np.searchsorted(sig >> U(32), ((np.arange(1, parts, dtype=U) << U(32)) + U(parts - 1)) // U(parts))
+        rows = []
+        for p, (s, d) in enumerate(zip(np.split(sig, bounds), np.split(node, bounds), strict=True)):
+            if len(s):
+                table, which = np.unique(d, return_inverse=True)
+                rows.append((p, _SIG, _six(s), which.astype(np.uint16 if len(table) < 2**16 else np.uint32).tobytes(), table.tobytes()))
         if len(pairs):
             rows.append((turn % parts, _LINK, pairs.tobytes(), b"", b""))
         return rows
 
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = np.unpackbits(frequent.value).astype(bool)
         sigs, nodes, held, turn = [], [], 0, 0
         for batch in batches:
             ids = batch.column(0)
@@ -187,26 +262,46 @@ def _packed(n: int, num: int, den: int, parts: int):
             for a, b in chunks(texts):
                 elements, sizes = shingle_sets(texts[a:b], n)
                 node = digests(elements, sizes)
-                sig, by = signatures(elements, sizes, num, den)
+                sig, by = signatures(elements, sizes, num, den, often)
                 sigs.append(sig)
                 nodes.append(node[by])
                 held += len(sig)
                 part = ids.slice(a, b - a)
-                known = np.array([i is not None for i in part.to_pylist()], bool)
+                known = np.array(part.is_valid().to_numpy(zero_copy_only=False), bool)
                 value = np.array(part.fill_null(0).to_numpy(zero_copy_only=False), np.int64)
                 turn += 1
                 rows.append((int(node[0] % parts), _DOC, np.stack([value, known.astype(np.int64)]).tobytes(), sizes.astype(np.int64).tobytes(), node.tobytes()))
                 if held >= _FLUSH:
                     rows += flush(sigs, nodes, turn)
                     sigs, nodes, held = [], [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+            if rows:
+                yield batch_of(rows)
         if held:
-            rows = flush(sigs, nodes, turn + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+            yield batch_of(flush(sigs, nodes, turn + 1))
 
     return run
 
 
+def _stars(pairs: np.ndarray) -> np.ndarray:
+    """The components of some links as stars: (least node, other)."""
+    if not len(pairs):
+        return pairs
+    names, at = np.unique(pairs, return_inverse=True)
+    at = at.reshape(-1, 2)
+    root = np.arange(len(names))
+    while True:
+        low = np.minimum(root[at[:, 0]], root[at[:, 1]])
+        new = root.copy()
+        np.minimum.at(new, root[at[:, 0]], low)
+        np.minimum.at(new, root[at[:, 1]], low)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    other = np.flatnonzero(root != np.arange(len(names)))
+    return np.stack([names[root[other]], names[other]], axis=1)
+
+
 _FOUND = "link boolean, a long, b long, size long"
 
 
@@ -217,15 +312,16 @@ def _matched(table: pa.Table) -> pa.Table:
     sigs, nodes, pairs, docs = [], [], [], []
     for kind, x, y, z in zip(kinds, *cols, strict=True):
         if kind == _SIG:
-            sigs.append(np.frombuffer(x, U))
-            nodes.append(np.frombuffer(y, np.int64))
+            sigs.append(_from_six(x))
+            which = np.frombuffer(y, np.uint16 if 3 * len(y) == len(x) else np.uint32)
+            nodes.append(np.frombuffer(z, np.int64)[which])
         elif kind == _LINK:
             pairs.append(np.frombuffer(x, np.int64).reshape(-1, 2))
         else:
             docs.append((np.frombuffer(x, np.int64).reshape(2, -1), np.frombuffer(y, np.int64), np.frombuffer(z, np.int64)))
     if sigs:
         pairs.append(_merge(np.concatenate(sigs), np.concatenate(nodes))[2])
-    link = _distinct(np.concatenate(pairs)) if pairs else np.empty((0, 2), np.int64)
+    link = _stars(np.concatenate(pairs)) if pairs else np.empty((0, 2), np.int64)
     ids = np.concatenate([d[0][0] for d in docs]) if docs else np.empty(0, np.int64)
     known = np.concatenate([d[0][1] for d in docs]).astype(bool) if docs else np.empty(0, bool)
     size = np.concatenate([d[1] for d in docs]) if docs else np.empty(0, np.int64)
@@ -252,7 +348,7 @@ def _sets(n: int):
                 right = np.flatnonzero(digests(elements, sizes) == want[a:b])
                 end = np.cumsum(sizes)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(comp[a:b][right]), pa.array(want[a:b][right]), pa.array(sizes[right].astype(np.int64)), pa.array([elements[end[i] - sizes[i] : end[i]].tobytes() for i in right], pa.binary())],
+                    [pa.array(comp[a:b][right]), pa.array(want[a:b][right]), pa.array(sizes[right].astype(np.int64)), pa.array([_six(elements[end[i] - sizes[i] : end[i]] >> U(4)) for i in right], pa.binary())],
                     names=["comp", "node", "size", "elements"],
                 )
 
@@ -314,7 +410,7 @@ def _resolved(num: int, den: int, key: int):
     """mapInArrow function over rows sorted by their first ``key`` columns: links (a, b) of each group."""
 
     def links(nodes, blobs):
-        root = linked_groups([np.frombuffer(x, U) for x in blobs], num, den)
+        root = linked_groups([_from_six(x) for x in blobs], num, den)
         return [(nodes[r], nodes[i]) for i, r in enumerate(root) if i != r]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,7 +438,7 @@ def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
 def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """mapInArrow function: (comp, node, elements, pivot, pivot_elements) to the number of common elements."""
     for batch in batches:
-        common = [len(np.intersect1d(np.frombuffer(x, U), np.frombuffer(y, U), True)) for x, y in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+        common = [len(np.intersect1d(_from_six(x), _from_six(y), True)) for x, y in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (0, 1, 3)), pa.array(common, pa.int64())], names=["comp", "node", "pivot", "common"])
 
 
@@ -394,34 +490,36 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # About 0.11 signatures a byte; a range of two million takes some 100 MB in its task.
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), round(size * 0.11 / 2_000_000), 1)
-    packed = rows.mapInArrow(_packed(n, num, den, parts), _PACKED)
+    often = spark.sparkContext.broadcast(frequent_map(rows, n))
+    packed = rows.mapInArrow(_packed(n, num, den, parts, often), _PACKED)
     found = written(packed.groupBy("p").applyInArrow(_matched, _FOUND))
     members = found.where("not link").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), F.col("size").alias("n_shingles"))
-    candidates = written(connected_components(found.where("link").select("a", "b")).select("node", F.col("root").alias("comp")))
-    nodes = members.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
+    candidates = connected_components(found.where("link").select("a", "b")).select("node", F.col("root").alias("comp"))
+    nodes = members.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("size"))
 
-    # The exact comparison reads the set of one document a node.  A candidate node has one id that is not
-    # null as its representative; nodes without any are compared by their texts' digests alone.
-    wanted = written(candidates.join(nodes, "node").select(F.col("least").alias("doc_id"), "node", "comp"))
+    # The exact comparison reads the set of one document a node.
+    wanted = written(candidates.join(nodes, "node").select(F.col("least").alias("doc_id"), "node", "comp", "size"))
+    sizes = wanted.groupBy("comp").agg(F.sum("size").alias("n"), F.count("*").alias("m"))
+    large = written(sizes.where((F.col("n") > limit[0]) | (F.col("m") > limit[1])).select("comp"))
     filtered = F.broadcast(wanted) if wanted.count() <= broadcast_ids else wanted
     texts = rows.join(filtered, rows.doc_id.eqNullSafe(filtered.doc_id), "inner").select("text", "node", "comp")
-    sets = written(texts.mapInArrow(_sets(n), "comp long, node long, size long, elements binary").dropDuplicates(["comp", "node"]) if _repeats(members) else texts.mapInArrow(_sets(n), "comp long, node long, size long, elements binary"))
-    sizes = sets.groupBy("comp").agg(F.sum("size").alias("n"), F.count("*").alias("m"))
-    large = written(sizes.where((F.col("n") > limit[0]) | (F.col("m") > limit[1])).select("comp"))
+    sets = texts.mapInArrow(_sets(n), "comp long, node long, size long, elements binary")
+    if _repeats(members):
+        sets = sets.dropDuplicates(["comp", "node"])
     if large.isEmpty():
         links = _links_of_small(sets, num, den)
         groups = links.select(F.col("b").alias("node"), F.col("a").alias("root"))
         groups = written(groups.union(groups.select(F.col("root").alias("node"), "root").distinct()))
     else:
-        found_links = [_links_of_small(sets.join(large, "comp", "left_anti"), num, den), *_links_of_large(written(sets.join(large, "comp", "left_semi")), num, den, limit)]
-        links = found_links[0]
-        for more in found_links[1:]:
+        sets = written(sets)
+        links = _links_of_small(sets.join(large, "comp", "left_anti"), num, den)
+        for more in _links_of_large(written(sets.join(large, "comp", "left_semi")), num, den, limit):
             links = links.union(more)
         groups = written(connected_components(links))
     least = groups.join(nodes, "node").groupBy("root").agg(F.min("least").alias("component_id"))
     of_node = groups.join(least, "root").select("node", "component_id")
     return (
-        members.join(nodes, "node", "left").join(of_node, "node", "left")
+        members.join(nodes.drop("size"), "node", "left").join(of_node, "node", "left")
         .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "least")).otherwise(F.col("doc_id")).alias("component_id"))
     )
 
