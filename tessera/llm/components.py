@@ -41,7 +41,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     )
     mark = None
     while True:
-        now = written(_small_star(written(_large_star(now).distinct())).distinct())
+        now = written(_small_star(_large_star(now).distinct()).distinct())
         seen = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b") % 1_000_000_007), F.lit(0))).first()
         if mark == tuple(seen):
             break

@@ -24,11 +24,14 @@ than a set share of the documents are marked in a bit map of fixed size and
 partitioned apart, after all others in the order of emission.  The marking is
 one function for all documents, so it changes the cost and never the result.
 
-*Scale.*  Signatures are sent packed, by ranges of their value; equal
-signatures inside a task are merged into links before the shuffle, so that a
-group with a third of all rows sends one entry a task.  Links of equal
-signatures give candidate components; only documents in one of these have
-their set read again, once, for the exact comparison.  A candidate component
+*Scale.*  Signatures are sent packed, by ranges of their value.  The sets that
+share a signature make a bucket.  A small bucket gives all its pairs, and a
+pair goes on only if the odd sketches of its two sets (parities of element
+counts by hash) differ in no more places than d, which no similar pair does.
+A large bucket gives links to its least set; inside a task it is merged into
+these before the shuffle, so that a group with a third of all rows sends one
+entry a task.  Pairs and links give candidate components; only documents in
+one of these have their set read again, once, for the exact comparison.  A candidate component
 beyond ``limit`` is resolved by pivots (all its members are compared with one
 of them in parallel, and by the triangle inequality of the Jaccard distance
 members that can have no partner among the rest are finished) and what is left
@@ -57,7 +60,9 @@ BROADCAST_IDS = 4_000_000
 _LEAST_BAND = 5
 _FLUSH = 1_000_000
 #: Elements in at least this share of the documents are frequent; looked for in runs of so many documents.
-FREQUENT, _RUN = 0.0005, 8_000
+FREQUENT, _RUN = 0.0003, 16_000
+#: Sets up to which a bucket gives all pairs.
+SMALL = 16
 #: Bits of the map of frequent elements.
 _MAP = 2**24
 U = np.uint64
@@ -160,18 +165,52 @@ def signatures(elements: np.ndarray, sizes: np.ndarray, num: int, den: int, freq
     return sig, some[by]
 
 
-def _merge(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct signatures, sorted; the least node of each; links (least, other), distinct, as a 2-column array."""
-    order = np.argsort(sig)
+def _buckets(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Entries sorted by signature and node without repeats; where each bucket begins and its size."""
+    order = np.lexsort((node, sig))
     sig, node = sig[order], node[order]
+    fresh = np.append(True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])) if len(sig) else np.empty(0, bool)
+    sig, node = sig[fresh], node[fresh]
     begin = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])) if len(sig) else np.empty(0, np.int64)
-    if not len(begin):
-        return sig, node, np.empty((0, 2), np.int64)
-    least = np.minimum.reduceat(node, begin)
-    head = np.repeat(least, np.diff(np.append(begin, len(sig))))
-    other = node != head
-    pairs = np.stack([head[other], node[other]], axis=1)
-    return sig[begin], least, _distinct(pairs)
+    return sig, node, begin, np.diff(np.append(begin, len(sig)))
+
+
+def _to_least(node: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Links (least, other) of buckets."""
+    at = spans(begin, size)
+    pairs = np.stack([np.repeat(node[begin], size), node[at]], axis=1) if len(at) else np.empty((0, 2), np.int64)
+    return _stars(pairs[pairs[:, 0] != pairs[:, 1]])
+
+
+def _all_pairs(node: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Distinct pairs of small buckets."""
+    out = []
+    for m in np.unique(size[size > 1]):
+        rows = node[begin[size == m][:, None] + np.arange(m)]
+        rows = rows[np.lexsort(rows.T[::-1])]
+        rows = rows[np.append(True, (rows[1:] != rows[:-1]).any(axis=1))]
+        i, j = np.triu_indices(m, 1)
+        out.append(_distinct(np.stack([rows[:, i].ravel(), rows[:, j].ravel()], axis=1)))
+    return _distinct(np.concatenate(out)) if out else np.empty((0, 2), np.int64)
+
+
+def odd_sketches(elements: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """For each set the parities of its element counts by hash, about one bit an element (a power of two, 64 at least)."""
+    bits = np.maximum(64, np.left_shift(1, np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64)))
+    at = np.cumsum(bits) - bits
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    h = mix(elements ^ U(0x7F4A7C15F39CC060))
+    place = at[of] + (h & (bits[of] - 1).astype(U)).astype(np.int64)
+    odd = np.packbits((np.bincount(place, minlength=int(bits.sum())) & 1).astype(bool), bitorder="little")
+    return [odd[a // 8 : (a + n) // 8].tobytes() for a, n in zip(at.tolist(), bits.tolist(), strict=True)]
+
+
+def sketch_distance(x: bytes, y: bytes) -> int:
+    """In how many places two sketches differ, the longer one folded; at most the sets' number of differing elements."""
+    p, q = (np.frombuffer(z, np.uint8) for z in ((x, y) if len(x) <= len(y) else (y, x)))
+    while len(q) > len(p):
+        q = q[: len(q) // 2] ^ q[len(q) // 2 :]
+    return int(np.bitwise_count(p ^ q).sum())
 
 
 def _distinct(pairs: np.ndarray) -> np.ndarray:
@@ -229,24 +268,30 @@ def frequent_map(rows: DataFrame, n: int, share: float = FREQUENT) -> np.ndarray
     return np.packbits(bits)
 
 
-_PACKED = "p int, kind int, x binary, y binary, z binary"
-_DOC, _SIG, _LINK = 0, 1, 2
+_PACKED = "p int, kind int, x binary, y binary, z binary, sketches array<binary>"
+_DOC, _SIG, _MERGED, _LINK = 0, 1, 2, 3
 
 
 def _packed(n: int, num: int, den: int, parts: int, frequent):
-    """mapInArrow function: packed documents, signatures (48 bits within their range, and which node) and links."""
-    schema = pa.schema([("p", pa.int32()), ("kind", pa.int32()), ("x", pa.binary()), ("y", pa.binary()), ("z", pa.binary())])
+    """mapInArrow function: packed documents, signatures (48 bits within their range, and which node), merged ones and links."""
+    schema = pa.schema([("p", pa.int32()), ("kind", pa.int32()), ("x", pa.binary()), ("y", pa.binary()), ("z", pa.binary()), ("sketches", pa.list_(pa.binary()))])
+    edges = ((np.arange(1, parts, dtype=U) << U(32)) + U(parts - 1)) // U(parts)
 
-    def flush(sigs, nodes, turn):
-        sig, node, pairs = _merge(np.concatenate(sigs), np.concatenate(nodes))
-        bounds = np.searchsorted(sig >> U(32), ((np.arange(1, parts, dtype=U) << U(32)) + U(parts - 1)) // U(parts))
-        rows = []
+    def entries(kind, sig, node):
+        bounds = np.searchsorted(sig >> U(32), edges)
         for p, (s, d) in enumerate(zip(np.split(sig, bounds), np.split(node, bounds), strict=True)):
             if len(s):
                 table, which = np.unique(d, return_inverse=True)
-                rows.append((p, _SIG, _six(s), which.astype(np.uint16 if len(table) < 2**16 else np.uint32).tobytes(), table.tobytes()))
+                yield p, kind, _six(s), which.astype(np.uint16 if len(table) < 2**16 else np.uint32).tobytes(), table.tobytes(), []
+
+    def flush(sigs, nodes, turn):
+        sig, node, begin, size = _buckets(np.concatenate(sigs), np.concatenate(nodes))
+        big = size > SMALL
+        rest = np.repeat(~big, size)
+        rows = [*entries(_SIG, sig[rest], node[rest]), *entries(_MERGED, sig[begin[big]], node[begin[big]])]
+        pairs = _to_least(node, begin[big], size[big])
         if len(pairs):
-            rows.append((turn % parts, _LINK, pairs.tobytes(), b"", b""))
+            rows.append((turn % parts, _LINK, pairs.tobytes(), b"", b"", []))
         return rows
 
     def batch_of(rows):
@@ -270,7 +315,7 @@ def _packed(n: int, num: int, den: int, parts: int, frequent):
                 known = np.array(part.is_valid().to_numpy(zero_copy_only=False), bool)
                 value = np.array(part.fill_null(0).to_numpy(zero_copy_only=False), np.int64)
                 turn += 1
-                rows.append((int(node[0] % parts), _DOC, np.stack([value, known.astype(np.int64)]).tobytes(), sizes.astype(np.int64).tobytes(), node.tobytes()))
+                rows.append((int(node[0] % parts), _DOC, np.stack([value, known.astype(np.int64)]).tobytes(), sizes.astype(np.int64).tobytes(), node.tobytes(), odd_sketches(elements, sizes)))
                 if held >= _FLUSH:
                     rows += flush(sigs, nodes, turn)
                     sigs, nodes, held = [], [], 0
@@ -302,40 +347,66 @@ def _stars(pairs: np.ndarray) -> np.ndarray:
     return np.stack([names[root[other]], names[other]], axis=1)
 
 
-_FOUND = "link boolean, a long, b long, size long"
+_FOUND = "kind int, a long, b long, size long, sketch binary"
+_LINKED, _PAIR = 1, 2
 
 
 def _matched(table: pa.Table) -> pa.Table:
-    """applyInArrow function for one range of signatures: documents (a null id, b node, size) and links."""
+    """applyInArrow function for one range of signatures: documents (a id, b node, size, sketch), links and pairs."""
     kinds = table.column("kind").to_pylist()
-    cols = [table.column(c).to_pylist() for c in ("x", "y", "z")]
-    sigs, nodes, pairs, docs = [], [], [], []
-    for kind, x, y, z in zip(kinds, *cols, strict=True):
-        if kind == _SIG:
+    cols = [table.column(c).to_pylist() for c in ("x", "y", "z", "sketches")]
+    sigs, nodes, marks, links, docs = [], [], [], [], []
+    for kind, x, y, z, sketches in zip(kinds, *cols, strict=True):
+        if kind in (_SIG, _MERGED):
             sigs.append(_from_six(x))
             which = np.frombuffer(y, np.uint16 if 3 * len(y) == len(x) else np.uint32)
             nodes.append(np.frombuffer(z, np.int64)[which])
+            if kind == _MERGED:
+                marks.append(sigs[-1])
         elif kind == _LINK:
-            pairs.append(np.frombuffer(x, np.int64).reshape(-1, 2))
+            links.append(np.frombuffer(x, np.int64).reshape(-1, 2))
         else:
-            docs.append((np.frombuffer(x, np.int64).reshape(2, -1), np.frombuffer(y, np.int64), np.frombuffer(z, np.int64)))
+            docs.append((np.frombuffer(x, np.int64).reshape(2, -1), np.frombuffer(y, np.int64), np.frombuffer(z, np.int64), sketches))
+    pairs = np.empty((0, 2), np.int64)
     if sigs:
-        pairs.append(_merge(np.concatenate(sigs), np.concatenate(nodes))[2])
-    link = _stars(np.concatenate(pairs)) if pairs else np.empty((0, 2), np.int64)
+        sig, node, begin, size = _buckets(np.concatenate(sigs), np.concatenate(nodes))
+        big = size > SMALL
+        if marks:
+            big |= np.isin(sig[begin], np.concatenate(marks))
+        links.append(_to_least(node, begin[big], size[big]))
+        pairs = _all_pairs(node, begin[~big], size[~big])
+    link = _stars(np.concatenate(links)) if links else np.empty((0, 2), np.int64)
     ids = np.concatenate([d[0][0] for d in docs]) if docs else np.empty(0, np.int64)
     known = np.concatenate([d[0][1] for d in docs]).astype(bool) if docs else np.empty(0, bool)
     size = np.concatenate([d[1] for d in docs]) if docs else np.empty(0, np.int64)
     node = np.concatenate([d[2] for d in docs]) if docs else np.empty(0, np.int64)
+    more = len(link) + len(pairs)
     return pa.table(
         {
-            "link": pa.array(np.repeat([False, True], [len(ids), len(link)])),
-            "a": pa.array(np.append(ids, link[:, 0]), mask=np.append(~known, np.zeros(len(link), bool))),
-            "b": pa.array(np.append(node, link[:, 1])),
-            "size": pa.array(np.append(size, np.zeros(len(link), np.int64))),
+            "kind": pa.array(np.repeat([_DOC, _LINKED, _PAIR], [len(ids), len(link), len(pairs)]).astype(np.int32)),
+            "a": pa.array(np.concatenate([ids, link[:, 0], pairs[:, 0]]), mask=np.append(~known, np.zeros(more, bool))),
+            "b": pa.array(np.concatenate([node, link[:, 1], pairs[:, 1]])),
+            "size": pa.array(np.append(size, np.zeros(more, np.int64))),
+            "sketch": pa.array([x for d in docs for x in d[3]] + [None] * more, pa.binary()),
         }
     )
 
 
+def _near(num: int, den: int):
+    """mapInArrow function: the pairs (a, b) of (a, b, size, size, sketch, sketch) that may be similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            r, s = (batch.column(c).to_numpy() for c in (2, 3))
+            fits = np.minimum(r, s) * den >= np.maximum(r, s) * num
+            d = (r + s) * (den - num) // (den + num)
+            x, y = batch.column(4), batch.column(5)
+            keep = [i for i in np.flatnonzero(fits).tolist() if sketch_distance(x[i].as_py(), y[i].as_py()) <= d[i]]
+            yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
+
+    return run
+
+
 def _sets(n: int):
     """mapInArrow function: (doc_id, text, node, comp) to (comp, node, size, elements), where the text has that node."""
 
@@ -493,9 +564,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     often = spark.sparkContext.broadcast(frequent_map(rows, n))
     packed = rows.mapInArrow(_packed(n, num, den, parts, often), _PACKED)
     found = written(packed.groupBy("p").applyInArrow(_matched, _FOUND))
-    members = found.where("not link").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), F.col("size").alias("n_shingles"))
-    candidates = connected_components(found.where("link").select("a", "b")).select("node", F.col("root").alias("comp"))
-    nodes = members.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("size"))
+    members = found.where(f"kind = {_DOC}").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), F.col("size").alias("n_shingles"), "sketch")
+    nodes = members.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("size"), F.any_value("sketch").alias("sketch"))
+    members = members.drop("sketch")
+    pairs = found.where(f"kind = {_PAIR}").select("a", "b").distinct()
+    for end in ("a", "b"):
+        pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("size").alias(f"size_{end}"), F.col("sketch").alias(f"sketch_{end}")), end)
+    pairs = pairs.select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(_near(num, den), "a long, b long")
+    nodes = nodes.drop("sketch")
+    candidates = connected_components(found.where(f"kind = {_LINKED}").select("a", "b").union(pairs)).select("node", F.col("root").alias("comp"))
 
     # The exact comparison reads the set of one document a node.
     wanted = written(candidates.join(nodes, "node").select(F.col("least").alias("doc_id"), "node", "comp", "size"))
