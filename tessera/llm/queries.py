@@ -5,11 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .mixing import ORACLE as mixing_sql
+
+#: The key of the surrogates; a parameter of the operator, fixed here so that reruns agree.
+PII_KEY = "tessera"
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .storage import shared_folder
+    from .warc import page_number, read_warc, write_warc
+
+    path = shared_folder(spark)
+    write_warc(_table(spark, sf_dir, "pages"), path)
+    found = read_warc(spark, path, with_payload=False).where("kind = 'record'")
+    return found.select(page_number().alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_number("refers_to").alias("refers_to"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judge_quality
 
@@ -24,6 +39,24 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model, keep=["doc_id"]).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_sources
+
+    return mix_sources(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import replace_personal_data
+
+    return replace_personal_data(_table(spark, sf_dir, "documents").select("doc_id", "text"), key=PII_KEY)
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linkgraph import RULES, judge_urls
+
+    return judge_urls(_table(spark, sf_dir, "pages"), RULES, keep=["page_id"])
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .partenum import jaccard_components
 
@@ -39,11 +72,26 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_warc,
         op2_quality_rules,
         op5_toxicity,
+        op6_mixing,
+        op7_pii,
+        op8_url_filters,
         op9_ngram_jaccard_join,
         op10_benchmark_decontamination,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first IS NOT NULL AND first IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to
+FROM f
+""",
+    "op6_mixing": mixing_sql,
+}
