@@ -59,7 +59,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = given.columns
     text = F.col(f"`{text_col}`")
     size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-    u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("double") + 0.5) / 2.0**48
+    u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("double") + 0.5) / 2.0**48
     sized = (
         docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)], F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").isNull().alias("no_source"), F.coalesce(F.col(f"`{source_col}`"), F.lit("")).alias("source"), size.alias("size"), text.alias("text"))
         .withColumn("key", -F.log(u) / quality_weight(F.col("text"), F.col("size"))).drop("text")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .licenses import oracle_sql as licenses_sql
 from .mixing import ORACLE as mixing_sql
 
 #: The key of the surrogates; a parameter of the operator, fixed here so that reruns agree.
@@ -31,6 +32,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(_table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    return scan_licenses(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fit_toxicity, score_toxicity
 
@@ -74,6 +81,7 @@ QUERIES = {
     for f in (
         op1_warc,
         op2_quality_rules,
+        op4_license_scans,
         op5_toxicity,
         op6_mixing,
         op7_pii,
@@ -93,5 +101,6 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to
 FROM f
 """,
+    "op4_license_scans": licenses_sql(),
     "op6_mixing": mixing_sql,
 }
