@@ -32,6 +32,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(_table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import extract_main_text
+
+    return extract_main_text(_table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import scan_licenses
 
@@ -81,6 +87,7 @@ QUERIES = {
     for f in (
         op1_warc,
         op2_quality_rules,
+        op3_html_extraction,
         op4_license_scans,
         op5_toxicity,
         op6_mixing,
