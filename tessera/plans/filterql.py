@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import saved
 from .model import ARROW_KINDS, LEVELS, TAXA
 
 #: Predicates with their argument and what they keep.
@@ -78,18 +79,23 @@ class Graph:
     def tied_to(self, node: str) -> DataFrame:
         """Everything around an object or arrow."""
         me = self.nodes.where(F.col("id") == node)
+        # Only an object has surroundings: a one-row look-up decides which plan is built.
+        found = me.select("taxon", "level", "of").limit(1).collect()
+        if not found:
+            return me.select("id")
+        if found[0].taxon != "object":
+            own_ends = self.arrow_ends(me.where("taxon = 'morphism'")).join(self.nodes.select("id"), "id", "left_semi")
+            return me.select("id").union(own_ends).distinct()
         touching = self.arrows.where((F.col("src") == node) | (F.col("dst") == node)).select("id")
         members = self.data.where(F.col("kind") == node).select(F.col("member").alias("id"))
         drawn = self.arrow_ends(self.arrows.join(members, "id", "left_semi"))
-        kind = me.where("level = 'instance'").select(F.col("of").alias("id")).where("id is not null")
         instances = self.nodes.where((F.col("level") == "instance") & (F.col("of") == node)).select("id")
-        is_object = me.where("taxon = 'object'").select(F.lit(True).alias("yes"))
-        around = kind.union(members).union(drawn).union(instances).union(touching)
-        around = around.join(F.broadcast(is_object), how="left_semi", on=F.col("yes")).union(me.select("id")).distinct()
+        around = me.select("id").union(members).union(drawn).union(instances).union(touching)
+        if found[0].level == "instance" and found[0].of is not None:
+            around = around.union(self.nodes.where(F.col("id") == found[0].of).select("id"))
+        around = saved(around.distinct())
         both = self.arrows.join(around.withColumnRenamed("id", "src"), "src", "left_semi").join(around.withColumnRenamed("id", "dst"), "dst", "left_semi").select("id")
-        induced = both.join(F.broadcast(is_object), how="left_semi", on=F.col("yes"))
-        own_ends = self.arrow_ends(me.where("taxon = 'morphism'").select("src", "dst"))
-        return around.union(induced).union(own_ends).distinct().join(self.nodes.select("id"), "id", "left_semi")
+        return around.union(both).distinct().join(self.nodes.select("id"), "id", "left_semi")
 
     def in_data_of(self, node: str) -> DataFrame:
         """A kind with the members of its diagram and the ends of its arrows."""

@@ -534,7 +534,7 @@ def next_request(m: Model) -> DataFrame:
     return _requests(m)[0].groupBy("user_id").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
 
 
-@query("SELECT user_id, max(ts) AS last, epoch_us((SELECT max(ts) FROM events)) - epoch_us(max(ts)) < 90 * 1000000 AS alive FROM events WHERE event_type = 'click' GROUP BY user_id")
+@query("SELECT user_id, max(ts) AS last, epoch_us((SELECT max(ts) FROM events)) - epoch_us(max(ts)) < 90000000 AS alive FROM events WHERE event_type = 'click' GROUP BY user_id")
 def watcher_liveness(m: Model) -> DataFrame:
     events = m.table("events")
     now = events.agg(F.max("ts")).first()[0]
@@ -564,7 +564,7 @@ def tumbling_requests(m: Model) -> DataFrame:
     return Z.windowed_requests(_requests(m)[0])
 
 
-@query("""WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) < 3600 * 1000000 THEN 0 ELSE 1 END AS fresh FROM events),
+@query("""WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) < 3600000000 THEN 0 ELSE 1 END AS fresh FROM events),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g)
 SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k""")
 def sessionize_events(m: Model) -> DataFrame:

@@ -52,7 +52,7 @@ def next_request(requests: DataFrame, statuses: DataFrame, by: str = "id") -> Da
 def liveness(beats: DataFrame, now, key: str = "user_id", ts: str = "ts", seconds: int = STALE_SECONDS) -> DataFrame:
     """``key, last, alive``: alive where the last heartbeat is less than ``seconds`` before ``now`` (a column)."""
     last = beats.groupBy(key).agg(F.max(ts).alias("last"))
-    return last.withColumn("alive", F.unix_micros(now) - F.unix_micros("last") < seconds * 1_000_000)
+    return last.withColumn("alive", F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("last").cast("timestamp")) < seconds * 1_000_000)
 
 
 def live_stream(beats: DataFrame, seconds: int = STALE_SECONDS) -> DataFrame:
