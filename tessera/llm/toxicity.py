@@ -23,14 +23,22 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 from .storage import drop_columns_clashing
 from .textkit import LOWER_ALNUM, Words, chunks, mix
 
-MAX_TRAIN = 8_000
-DIMENSIONS = 2**20
+MAX_TRAIN = 5_000
+DIMENSIONS = 2**19
 SIZES = (3, 4, 5, 6)
 U = np.uint64
 
 
-def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (word, feature) of the distinct hashed n-grams of each word."""
+def word_features(words: list[bytes], at_once: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (word, feature) of the distinct hashed n-grams of each word, words in order."""
+    parts = [_word_features(words[a : a + at_once]) for a in range(0, len(words), at_once)]
+    if not parts:
+        return np.empty(0, np.int32), np.empty(0, np.int32)
+    of = np.concatenate([p[0] + np.int32(i * at_once) for i, p in enumerate(parts)])
+    return of, np.concatenate([p[1] for p in parts])
+
+
+def _word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     text = "".join(f"\x02{w.decode('utf-8', 'replace')}\x03" for w in words)
     code = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(U)
     end = np.flatnonzero(code == 3) + 1
@@ -44,7 +52,7 @@ def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             h = h * U(0x9FB21C651E98DF25) + code[at + k]
         pairs.append(owner[at] * DIMENSIONS + (mix(h) % U(DIMENSIONS)).astype(np.int64))
     pair = np.unique(np.concatenate(pairs))
-    return pair // DIMENSIONS, pair % DIMENSIONS
+    return (pair // DIMENSIONS).astype(np.int32), (pair % DIMENSIONS).astype(np.int32)
 
 
 def _distinct_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, Words, np.ndarray, np.ndarray]:
@@ -68,6 +76,8 @@ class ToxicityModel:
             return
         doc, word, w, _, place = _distinct_words(texts)
         names = [w.buffer[w.start[i] : w.end[i]] for i in place]
+        doc, word = doc.astype(np.int32), word.astype(np.int32)
+        del w, place
         of, feature = word_features(names)
         toxic = np.bincount(word, y[doc], len(names))
         every = np.bincount(word, minlength=len(names))
@@ -75,8 +85,9 @@ class ToxicityModel:
         q = np.bincount(feature, (every - toxic)[of], DIMENSIONS) + smoothing
         used = np.flatnonzero(np.bincount(feature, minlength=DIMENSIONS))
         ratio = np.log((p / p[used].sum()) / (q / q[used].sum()))[used]
-        column = np.searchsorted(used, feature)
-        scaled = ratio[column]
+        column = np.searchsorted(used, feature).astype(np.int32)
+        del feature
+        scaled = ratio[column].astype(np.float32)
 
         def margin(x):
             each = np.bincount(of, scaled * x[column], len(names))
