@@ -80,9 +80,12 @@ def _record(data: bytes, at: int) -> tuple[dict, bytes, int] | str:
     headers = {}
     for line in data[at:end].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
+        key = name.strip().lower().decode("latin-1")
         if not colon:
             return "bad header line"
-        headers[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+        if key in headers and key in ("warc-type", "warc-record-id", "content-length"):
+            return "header runs into another"
+        headers[key] = value.strip().decode("utf-8", "replace")
     length = headers.get("content-length", "")
     if not re.fullmatch(r"[0-9]{1,18}", length):
         return "no content length"
