@@ -125,9 +125,8 @@ def _card(e: Column, key: str) -> Column:
 
 
 def _phone(e: Column, key: str) -> Column:
-    """The country code after a plus sign stays."""
-    code = F.length(F.regexp_extract(e, r"^\+([0-9]{1,3})[ .(-]", 1))
-    made = lambda digits: F.concat(F.substr(digits, F.lit(1), code), enciphered(F.substr(digits, code + 1, F.length(digits) - code), key, "phone"))
+    """The first digit stays, so that one number has one surrogate with and without marks of format."""
+    made = lambda digits: F.concat(F.substr(digits, F.lit(1), F.lit(1)), enciphered(F.substr(digits, F.lit(2)), key, "phone"))
     return _let(_let(F.regexp_replace(e, "[^0-9]", ""), made), lambda new: _filled(e, new))
 
 
