@@ -1,0 +1,490 @@
+"""The ten operators against brute force, round trips, held-out accuracy and odd input."""
+
+import gzip
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.llm import queries as Q
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+PAGES = "page_id long, url string, html string"
+
+
+def documents(spark, texts, ids=None):
+    ids = ids or list(range(len(texts)))
+    return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in zip(ids, texts, strict=True)], DOCS)
+
+
+def words(rng, n, vocabulary=400):
+    return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
+
+
+ODD = [None, "", " \n\t ", "one", "two words", "same text " * 60, "same text " * 60, "ünï cödé " * 30, "x" * 50_000, "long " + "tail " * 40_000]
+
+
+# WARC
+
+def test_warc_round_trip(spark, sf):
+    rows = Q.op1_warc(spark, sf).collect()
+    pages = {r.page_id: (r.html or "").encode() for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    assert len(rows) == len(pages)
+    first = {}
+    for i in sorted(pages):
+        if len(pages[i]) >= 100:
+            first.setdefault(pages[i], i)
+    for r in rows:
+        raw = pages[r.page_id]
+        other = first.get(raw, r.page_id)
+        assert (r.payload_bytes, r.payload_digest) == (len(raw), hashlib.sha256(raw).hexdigest())
+        assert (r.record_type, r.refers_to) == (("response", None) if other == r.page_id else ("revisit", other))
+
+
+def test_warc_odd_pages(spark, tmp_path):
+    from tessera.llm.warc import page_number, read_warc, write_warc
+
+    html = "é" * 200
+    rows = [(1, "http://a/", html), (2, "http://b/\r\nX: y", html), (2, "http://b/", html), (None, None, html), (3, None, None), (4, "u", ""), (5, "u", "WARC/1.1\r\nnot a record\r\n\r\n")]
+    pages = spark.createDataFrame(rows, PAGES).withColumn("record_type", F.lit("clash"))
+    write_warc(pages, str(tmp_path / "w"))
+    got = read_warc(spark, str(tmp_path / "w")).withColumn("page", page_number()).collect()
+    assert all(r.kind == "record" for r in got)
+    assert Counter((r.page, r.record_type) for r in got) == Counter([(1, "response"), (2, "revisit"), (2, "revisit"), (None, "revisit"), (3, "response"), (4, "response"), (5, "response")])
+    assert next(bytes(r.payload).decode() for r in got if r.page == 5) == rows[-1][2]
+    write_warc(pages.limit(0), str(tmp_path / "none"))
+    assert read_warc(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_warc_salvage():
+    from tessera.llm.warc import salvage
+
+    def record(i, payload):
+        block = b"HTTP/1.1 200 OK\r\n\r\n" + payload
+        head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\nWARC-Payload-Digest: sha256:{hashlib.sha256(payload).hexdigest()}\r\nContent-Type: application/http\r\nContent-Length: {len(block)}\r\n\r\n"
+        return head.encode() + block + b"\r\n\r\n"
+
+    good = [record(i, b"payload %d" % i) for i in range(5)]
+    bad = bytearray(good[1])
+    bad[-6] ^= 1
+    data = good[0] + bytes(bad) + b"junk" + good[2] + good[3][:60] + good[4]
+    found = list(salvage(data))
+    assert [f[3].get("warc-record-id") for f in found if not f[2]] == ["<urn:page:0>", "<urn:page:2>", "<urn:page:4>"]
+    gaps = [(f[0], f[1]) for f in found if f[2]]
+    assert gaps == [(len(good[0]), len(bad) + 4), (len(good[0]) + len(bad) + 4 + len(good[2]), 60)]
+    members = [gzip.compress(g) for g in good[:3]]
+    broken = members[0] + members[1][:-12] + members[2]
+    assert [f[3].get("warc-record-id") for f in salvage(broken) if not f[2]] == ["<urn:page:0>", "<urn:page:2>"]
+    assert sum(f[1] for f in salvage(broken)) == len(broken)
+    assert list(salvage(b"")) == []
+
+
+# Quality
+
+def test_quality_statistics(spark, sf):
+    from tessera.llm.quality import text_statistics
+
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] + ODD + ["a b c a b c", "x\nx\ny\n\nx", "a b a b a"]
+    got = text_statistics([(t or "").encode() for t in texts])
+    pattern = re.compile("[^\x20\x09-\x0d]+")
+    for k, t in enumerate(texts):
+        t = t or ""
+        w = pattern.findall(t)
+        seen, dup = set(), 0
+        for line in t.split("\n"):
+            if pattern.search(line):
+                dup += line in seen
+                seen.add(line)
+        at = {}
+        for i in range(len(w) - 2):
+            at.setdefault(tuple(w[i : i + 3]), []).append(i)
+        covered = {j for v in at.values() if len(v) > 1 for i in v for j in (i, i + 1, i + 2)}
+        want = (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), dup, len(covered))
+        assert tuple(int(got[c][k]) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == want
+
+
+def test_quality_verdicts(spark, sf):
+    rows = Q.op2_quality_rules(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
+    good = [r for r in rows if r.quality == 1 and not r.base_failed]
+    assert sum(r.kept for r in good) >= 0.98 * len(good)
+    bad = [r for r in rows if r.quality == 0]
+    assert sum(not r.kept for r in bad) >= 0.8 * len(bad)
+
+
+def test_quality_odd(spark):
+    from tessera.llm.quality import fit_votes, judge_quality
+
+    docs = documents(spark, ODD).withColumn("kept", F.lit("clash"))
+    rows = judge_quality(docs).collect()
+    assert len(rows) == len(ODD) and all(not r.kept for r in rows if not (r.text or "").strip())
+    assert judge_quality(docs.limit(0)).count() == 0
+    assert 0 < fit_votes(docs.limit(0)).prior < 1
+    assert judge_quality(docs, only_kept=True).columns == docs.columns
+
+
+# HTML
+
+def test_html_extraction():
+    from tessera.llm.html import Page, decoded, extracted, features, fitted_model, generated_page, main_text
+
+    model = fitted_model()
+    rng, right, nodes = random.Random(1234), 0, 0
+    for _ in range(60):
+        html, truth = generated_page(rng)
+        page = Page(html)
+        keep = decoded(page.parent, model.log_odds(features(page)))
+        right += sum(k == t for k, t in zip(keep[1:], truth, strict=True))
+        nodes += len(truth)
+        assert all(keep[p] for k, p in zip(keep[1:], page.parent[1:], strict=True) if k)
+        assert isinstance(main_text(page, keep), str)
+    assert right / nodes > 0.98
+    page = (
+        '<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="ad">Buy now.</div><article><h1>Head &amp; more</h1><p>First   part<br>goes on,\n with &eacute;.'
+        '<p>Second part of the text, which is long enough.</article><section id="comments"><p>I like it.</p></section><footer>&copy; me</footer></body></html>'
+    )
+    assert extracted([page], model) == ["Head & more\nFirst part goes on, with é.\nSecond part of the text, which is long enough."]
+    assert extracted(["", "   ", "<p>"], model) == ["", "", ""]
+
+
+def test_html_query(spark, sf):
+    from tessera.llm.html import extract_main_text
+
+    rows = Q.op3_html_extraction(spark, sf).collect()
+    assert len(rows) == spark.read.parquet(f"{sf}/pages.parquet").count() and all(r.n_chars == len(r.text) for r in rows)
+    html = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    import html as escapes
+
+    for r in rows:
+        body = re.search(r"<article>(.*?)(</article>|<footer|$)", html[r.page_id], re.S)[1]
+        parts = re.split(r"</?(?:p|h1)>", re.sub(r"</?b>", "", body))
+        want = "\n".join(x for x in (re.sub(r"\s+", " ", escapes.unescape(p.replace("<br>", " "))).strip() for p in parts) if x)
+        assert r.text == want
+    odd = spark.createDataFrame([(1, None, None), (2, "u", ""), (2, "u", "<div>" * 3000 + "x")], PAGES).withColumn("text", F.lit(1))
+    assert sorted(r.n_chars for r in extract_main_text(odd).collect())[:2] == [0, 0]
+    assert extract_main_text(odd.limit(0)).count() == 0
+
+
+# Licenses
+
+def test_licenses(spark):
+    from tessera.llm.licenses import TEMPLATES, scan_licenses
+
+    gpl = next(t for label, t in TEMPLATES if label == "gpl")
+    texts = [*ODD, "MIT License, the mit-license. Apache  License!", "prefix words\n\n" + gpl.replace("modify", "change") + "\n\nmore", gpl[: len(gpl) // 3], "the GNU General Public License x"]
+    rows = sorted(scan_licenses(documents(spark, texts).withColumn("score", F.lit(1)), keep=["doc_id"]).collect(), key=lambda r: r.doc_id)
+    a, b, c, d = rows[-4:]
+    assert (a.n_words, a.n_base, a.first_word, a.last_word, a.base_labels) == (7, 3, 0, 5, "apache,mit")
+    assert b.base_labels == "gpl" and b.labels == "gpl" and b.score > 0.8
+    assert c.labels == "" and c.score == 0
+    assert (d.first_word, d.last_word, d.score) == (2, 2, 0.5)
+    assert (rows[0].n_words, rows[0].n_base, rows[0].first_word, rows[0].labels) == (0, 0, None, "")
+    assert scan_licenses(documents(spark, []).limit(0)).count() == 0
+
+
+# Toxicity
+
+def test_toxicity(spark, sf):
+    from tessera.llm.toxicity import fit_toxicity, score_toxicity
+
+    big = "/root/testdata/sf0.01"
+    rows = {r.doc_id: r for r in Q.op5_toxicity(spark, big).collect()}
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for i, r in rows.items())
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{big}/labels.parquet").collect()}
+    held = [(rows[i].score, t) for i, t in labels.items() if rows[i].held_out]
+    pos, neg = [s for s, t in held if t == 1], [s for s, t in held if t == 0]
+    assert sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg)) > 0.9
+    docs = documents(spark, ODD)
+    empty = spark.createDataFrame([], "doc_id long, toxic int")
+    model = fit_toxicity(docs, empty)
+    assert {r.score for r in score_toxicity(docs.withColumn("score", F.lit(1)), model).collect()} == {0.5}
+    assert score_toxicity(docs.limit(0), model).count() == 0
+    one = spark.createDataFrame([(3, 1), (None, 1), (4, None)], "doc_id long, toxic int")
+    assert len(score_toxicity(docs, fit_toxicity(docs, one)).collect()) == len(ODD)
+
+
+# Mixing
+
+def brute_mix(rows):
+    """rows: (id, text, source) to {position: (size, source_size, target, taken)}."""
+    import math
+
+    size = [len(re.findall("[^\x20\x09-\x0d]+", t or "")) for _, t, _ in rows]
+    sources = sorted({s for *_, s in rows}, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sources)}
+    total = {s: sum(n for n, r in zip(size, rows, strict=True) if r[2] == s) for s in sources}
+    target, free, left = {}, set(sources), sum(total.values())
+    while free:
+        share = sum(weight[s] for s in free)
+        full = {s for s in free if left * weight[s] / share >= 3 * total[s]}
+        if not full:
+            target |= {s: left * weight[s] / share for s in free}
+            break
+        for s in full:
+            target[s] = 3.0 * total[s]
+        left -= sum(target[s] for s in full)
+        free -= full
+    return size, total, target, math
+
+
+def test_mixing(spark):
+    from tessera.llm.mixing import mix_sources
+
+    rng = random.Random(5)
+    rows = [(i, words(rng, rng.randrange(0, 60)), rng.choice(["a", "a", "a", "a", "b", "c", None])) for i in range(400)] + [(7, "x y z", "b"), (7, "x y z", "b"), (None, "q w", "d"), (None, None, "d"), (900, "", "e"), (901, "solo " * 900, "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit(0))
+    got = mix_sources(docs).collect()
+    _, total, target, _ = brute_mix(rows)
+    assert len(got) == len(rows)
+    taken = Counter()
+    for r in got:
+        assert r.source_size == total[r.source] and abs(r.target - target[r.source]) < 1e-6 * max(1, target[r.source])
+        assert 0 <= r.taken <= 3 * r.size
+        taken[r.source] += r.taken
+    assert all(abs(taken[s] - target[s]) < 1 + 1e-6 * target[s] for s in total)
+    key = lambda rs: sorted((str(r.doc_id), r.size, r.taken) for r in rs)
+    assert key(got) == key(mix_sources(docs.repartition(7)).collect())
+    assert mix_sources(docs.limit(0)).count() == 0
+
+
+# Personal data
+
+def test_pii(spark):
+    from tessera.llm.pii import PATTERN, replace_personal_data, surrogate, surrogate_collisions
+
+    text = 'Mrs. Anna Schmidt and Mr. Smith: Foo.Bar@Mail5.example.com, foo.bar@mail5.example.com, +1 (853) 555-7168, +18535557168, 8.196.197.208, 4111 1111 1111 1111, 4111111111111111, token = "1eb9c654e721b4f812088970e66a6345cee33dd6".'
+    docs = documents(spark, [text, text, None, "", "no entity 12.5 a@b", *ODD[5:]]).withColumn("n_entities", F.lit("clash"))
+    rows = sorted(replace_personal_data(docs, "k").collect(), key=lambda r: r.doc_id)
+    new = rows[0].text
+    assert rows[1].text == new and rows[2].text is None and rows[3].text == "" and rows[4].text == "no entity 12.5 a@b"
+    for secret in ("Schmidt", "Smith", "Foo.Bar", "foo.bar", "555-7168", "8.196.197.208", "4111 1111 1111 1111", "1eb9c654"):
+        assert secret not in new
+    assert new.startswith("Mrs. ") and " and Mr. " in new and len(re.findall(r"\+1 \(\d{3}\) \d{3}-\d{4}", new)) == 1
+    mails = re.findall(r"\S+@\S+\.com", new)
+    assert len(mails) == 2 and mails[0].lower() == mails[1].lower()
+    cards = re.findall(r"(?<!\d)\d{4} ?\d{4} ?\d{4} ?\d{4}(?!\d)", new)
+    assert len(cards) == 2 and cards[0].replace(" ", "") == cards[1]
+    digits = [int(c) for c in cards[1]]
+    assert sum(d if k % 2 else sum(divmod(d * 2, 10)) for k, d in enumerate(digits)) % 10 == 0
+    assert rows[0].n_entities == 10 and rows[0].entity_types == "card,email,hex,ip,name,phone"
+    many = spark.range(3000).select(F.concat(F.lit("10.1."), F.col("id") % 250, F.lit("."), (F.col("id") / 250).cast("int")).alias("e")).union(spark.range(3000).select(F.concat(F.lit("u"), F.col("id"), F.lit("@x.org"))))
+    made = many.select("e", surrogate(F.col("e"), "k").alias("s"))
+    assert made.select("s").distinct().count() == many.distinct().count()
+    assert made.where(~F.col("s").rlike(f"^(?:{PATTERN})$")).count() == 0
+    assert surrogate_collisions(documents(spark, [text, text.replace("Smith", "Smyth")]), "k").count() == 0
+    assert replace_personal_data(docs.limit(0), "k").count() == 0
+
+
+# URL verdicts
+
+def test_urls(spark, sf):
+    from tessera.llm.linkgraph import RULES, judge_urls
+
+    rows = Q.op8_url_filters(spark, sf).collect()
+    urls = {r.page_id: r.url for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+
+    def judged(url):
+        if url is None or "://" not in url:
+            return "", "", None, None
+        rest = url.split("://", 1)[1]
+        host = re.match("[^/?#]*", rest)[0]
+        path = re.match("[^?#]*", rest[len(host) :])[0]
+        host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+        best = None
+        for what, rule in RULES:
+            h, _, p = rule.partition("/")
+            if (host == h or host.endswith("." + h)) and path.startswith("/" + p) and (best is None or len(rule) > len(best[1])):
+                best = (what, rule)
+        return host, path, best[1] if best else None, best[0] if best else None
+
+    for r in rows:
+        host, path, rule, verdict = judged(urls[r.page_id])
+        assert (r.host, r.path, r.rule) == (host, path, rule) and r.verdict in ("allow", "block") and (verdict is None or r.verdict == verdict)
+    odd = [(1, None, None), (2, "no scheme", ""), (3, "HTTP://WWW.Example.COM/EN/x", "x"), (4, "http://www.example.com/en/a?b#c", None), (5, "x://a.net?/es/", ""), (5, "ftp://b.net/fr/1", "<a href='//c.org/x'>")]
+    got = judge_urls(spark.createDataFrame(odd, PAGES).withColumn("host", F.lit(0)), RULES).collect()
+    assert sorted((r.page_id, r.host, r.path, r.rule) for r in got) == sorted((i, *judged(u)[:3]) for i, u, _ in odd)
+    assert judge_urls(spark.createDataFrame([], PAGES), RULES).count() == 0
+
+
+def test_link_graph(spark):
+    from tessera.llm.linkgraph import judge_urls, propagate
+
+    links = spark.createDataFrame([("t", "a", 3), ("a", "b", 1), ("s", "bad", 1), ("r", "s", 1)], "src string, dst string, n long")
+    seeds = spark.createDataFrame([("t", 1.0, 0.0), ("bad", 0.0, 1.0)], "host string, trust double, distrust double")
+    ranks = {r.host: r for r in propagate(links, seeds).collect()}
+    assert ranks["t"].trust > ranks["a"].trust > ranks["b"].trust > 0 and ranks["bad"].distrust > ranks["s"].distrust > ranks["r"].distrust > 0
+    assert abs(sum(r.trust for r in ranks.values()) - 1) < 1e-6 and abs(sum(r.distrust for r in ranks.values()) - 1) < 1e-6
+    rows = [(0, "http://bad.net/es/", ""), *[(i, f"http://spam{i}.org/x", "<a href='http://bad.net/es/'>") for i in (1, 2)], (3, "http://ok.org/", "<a href='http://other.org/'>")]
+    got = {r.page_id: r.verdict for r in judge_urls(spark.createDataFrame(rows, PAGES), [("block", "net/es/")], threshold=0.1).collect()}
+    assert got == {0: "block", 1: "block", 2: "block", 3: "allow"}
+
+
+# Near duplicates
+
+def brute_components(rows, n=5):
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set())
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= 75 * len(a | sets[j]):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    least = {}
+    for i, (name, _) in enumerate(rows):
+        if name is not None:
+            least[find(i)] = min(least.get(find(i), name), name)
+    return Counter((name, len(s), least.get(find(i)) if s else name) for i, ((name, _), s) in enumerate(zip(rows, sets, strict=True)))
+
+
+def edited(rng, text, share):
+    return " ".join(f"e{rng.randrange(10**6)}" if rng.random() < share else w for w in text.split())
+
+
+def near_texts(rng):
+    texts = list(ODD[:8])
+    passage = words(rng, 60)
+    for _ in range(30):
+        base = words(rng, rng.choice([3, 5, 6, 8, 12, 40, 130, 300]))
+        texts += [base, base.upper(), edited(rng, base, 0.01), edited(rng, base, 0.025), edited(rng, base, 0.05), base + " " + passage, passage + " " + words(rng, 50)]
+        texts += [" ".join(base.split()[: len(base.split()) * 4 // 5])]
+    return texts
+
+
+@pytest.mark.parametrize(("limit", "ids"), [((6_000_000, 20_000), 4_000_000), ((400, 4), 0)])
+def test_near_duplicates(spark, limit, ids):
+    from tessera.llm.partenum import jaccard_components
+
+    rng = random.Random(limit[1])
+    texts = near_texts(rng)
+    rows = [*enumerate(texts), (5, texts[40]), (5, texts[41]), (None, texts[12]), (None, words(rng, 30))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("component_id", F.lit("clash")).repartition(3)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(docs, limit=limit, broadcast_ids=ids).collect())
+    assert got == brute_components(rows)
+
+
+def test_near_duplicates_keep_one(spark):
+    from tessera.llm.partenum import jaccard_components, keep_one_of_each
+
+    rng = random.Random(3)
+    base = words(rng, 100)
+    rows = [(4, base), (2, base + " z"), (2, base + " z"), (9, words(rng, 100)), (None, None), (1, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id or 0 for r in keep_one_of_each(docs).collect()) == [0, 1, 2, 9]
+    assert jaccard_components(docs.limit(0)).count() == 0
+
+
+def test_signature_guarantee():
+    """Any two sets at the threshold share a signature."""
+    import numpy as np
+
+    from tessera.llm.partenum import odd_sketches, signatures, sketch_distance
+
+    rng = np.random.default_rng(0)
+    for size in (1, 2, 3, 4, 5, 7, 8, 12, 31, 64, 127, 128, 129, 200, 511, 513, 900):
+        for _ in range(15):
+            a = rng.integers(0, 2**52, size).astype(np.uint64)
+            cut = int(rng.integers(0, size // 4 + 1))
+            room = int((size - cut) / 0.75 - size)
+            b = np.append(a[cut:], rng.integers(0, 2**52, int(rng.integers(0, max(room, 0) + 1))).astype(np.uint64))
+            common = len(np.intersect1d(a, b))
+            if 100 * common < 75 * (len(a) + len(b) - common):
+                continue
+            often = rng.random(16) < 0.4
+            both = np.append(a, b)
+            sig, by = signatures(both, np.array([len(a), len(b)]), 75, 100, often)
+            assert set(sig[by == 0].tolist()) & set(sig[by == 1].tolist())
+            x, y = odd_sketches(both, np.array([len(a), len(b)]))
+            assert sketch_distance(x, y) <= len(a) + len(b) - 2 * common
+
+
+# Decontamination
+
+def test_contamination(spark):
+    from tessera.llm import fmindex
+    from tessera.llm.fmindex import drop_contaminated, find_contamination
+
+    rng = random.Random(11)
+    items = [(i, words(rng, n, 60)) for i, n in enumerate([1, 2, 5, 12, 13, 14, 40, 90])] + [(8, None), (9, "..."), (None, words(rng, 20)), (4, words(rng, 20))]
+    texts = [*ODD, *[words(rng, 80, 60) for _ in range(30)]]
+    for _, t in items:
+        texts += [words(rng, 20) + " " + (t or "") + ", " + words(rng, 20), (t or "").upper(), words(rng, 3000) + " " + (t or "")]
+    rows = list(enumerate(texts)) + [(3, texts[-2]), (None, texts[-2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_hit", F.lit("clash"))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    pattern = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+    split = lambda t: pattern.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    windows = {}
+    for i, t in items:
+        w = split(t)
+        for k in range(len(w) - min(13, len(w)) + 1) if w else ():
+            windows.setdefault(tuple(w[k : k + min(13, len(w))]), set()).add("null" if i is None else str(i))
+    want = Counter()
+    for i, t in rows:
+        w, hit, found = split(t), set(), set()
+        for size in {len(x) for x in windows}:
+            for k in range(len(w) - size + 1):
+                if (names := windows.get(tuple(w[k : k + size]))) is not None:
+                    hit.update(range(k, k + size))
+                    found |= names
+        want[(i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w))] += 1
+    got = find_contamination(docs, benchmark, keep=["doc_id"]).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == want
+    assert all(sum(b - a for a, b in r.removal_spans) == r.n_hit for r in got)
+    assert drop_contaminated(docs, benchmark).count() == sum(n for k, n in want.items() if not k[-1])
+    assert find_contamination(docs, benchmark.limit(0)).where("contaminated").count() == 0
+    assert find_contamination(docs.limit(0), benchmark).count() == 0
+    pieces = list(fmindex._pieces([5, 2_000_000], 13))
+    assert pieces[0][0] == (0, 0, 5) and all(b[1] == a[2] - 12 for p, q in zip(pieces, pieces[1:]) for a, b in [(p[-1], q[0])] if a[0] == b[0])
+
+
+def test_fm_index():
+    import numpy as np
+
+    from tessera.llm.fmindex import FMIndex
+
+    rng = np.random.default_rng(1)
+    for symbols, n in ((1, 1), (2, 300), (5, 2000), (300, 5000)):
+        text = rng.integers(1, symbols + 1, n)
+        index = FMIndex(text, symbols)
+        for size in (1, 2, 3, 13):
+            some = [text[i : i + size] for i in rng.integers(0, max(1, n - size + 1), 20)] if n >= size else []
+            phrases = np.array([*some, rng.integers(0, symbols + 1, size)])
+            low, high = index.find(phrases)
+            for p, a, b in zip(phrases, low, high, strict=True):
+                want = [i for i in range(n - size + 1) if (text[i : i + size] == p).all()]
+                assert sorted(index.locate(np.arange(a, b)).tolist()) == want
+
+
+# The pipeline
+
+def test_pipeline(spark, sf):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = {r.doc_id for r in Q.op2_quality_rules(spark, sf).where("kept").collect()}
+    now = corpus_pipeline.quality_rules(spark, docs, sf)
+    assert {r.doc_id for r in now.select("doc_id").collect()} == kept and now.columns == docs.columns
+    rows = [(r.doc_id, r.text) for r in now.collect()]
+    one = {c for _, n, c in brute_components(rows) if n}
+    near = corpus_pipeline.ngram_jaccard_join(spark, now, sf)
+    assert {r.doc_id for r in near.select("doc_id").collect()} == one
+    clean = corpus_pipeline.benchmark_decontamination(spark, near, sf)
+    bad = {r.doc_id for r in Q.op10_benchmark_decontamination(spark, sf).where("contaminated").collect()}
+    assert {r.doc_id for r in clean.select("doc_id").collect()} == one - bad
+    changed = corpus_pipeline.pii(spark, clean, sf)
+    assert changed.columns == docs.columns and changed.count() == clean.count()
+    last = {r.doc_id: r.taken for r in corpus_pipeline.mixing(spark, changed, sf).collect()}
+    assert last == {r.doc_id: r.taken for r in corpus_pipeline.run(spark, sf).collect()}
+    assert set(last) <= one - bad and all(t > 0 for t in last.values())
