@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .storage import written
-from .textkit import LOWER, Words, chunks, grams, mix, spans
+from .textkit import LOWER, Words, chunks, grams, mix, slices, spans
 
 ROUNDS = 6
 #: Elements (8 bytes each) and documents of a candidate component that one task resolves.
@@ -58,7 +58,9 @@ LIMIT_ELEMENTS, LIMIT_SETS = 6_000_000, 20_000
 #: Document ids, 8 bytes each, up to which the candidates are broadcast as a filter.
 BROADCAST_IDS = 4_000_000
 _LEAST_BAND = 5
-_FLUSH = 1_000_000
+_FLUSH = 500_000
+#: Bytes of text hashed at once.
+_CHUNK = 700_000
 #: Elements in at least this share of the documents are frequent; looked for in runs of so many documents.
 FREQUENT, _RUN = 0.0003, 16_000
 #: Sets up to which a bucket gives all pairs.
@@ -243,12 +245,12 @@ def _frequent(n: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, docs = [], 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             texts = [t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()]
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, _CHUNK):
                 held.append(shingle_sets(texts[a:b], n)[0])
                 docs += b - a
-                if docs >= _RUN or sum(map(len, held)) > 8 * _FLUSH:
+                if docs >= _RUN or sum(map(len, held)) > 6 * _FLUSH:
                     yield counted(held)
                     held, docs = [], 0
         if held:
@@ -300,11 +302,11 @@ def _packed(n: int, num: int, den: int, parts: int, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = np.unpackbits(frequent.value).astype(bool)
         sigs, nodes, held, turn = [], [], 0, 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             ids = batch.column(0)
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             rows = []
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, _CHUNK):
                 elements, sizes = shingle_sets(texts[a:b], n)
                 node = digests(elements, sizes)
                 sig, by = signatures(elements, sizes, num, den, often)
@@ -411,10 +413,10 @@ def _sets(n: int):
     """mapInArrow function: (doc_id, text, node, comp) to (comp, node, size, elements), where the text has that node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             texts = [t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()]
             want, comp = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, _CHUNK):
                 elements, sizes = shingle_sets(texts[a:b], n)
                 right = np.flatnonzero(digests(elements, sizes) == want[a:b])
                 end = np.cumsum(sizes)
@@ -559,8 +561,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # About 0.11 signatures a byte; a range of two million takes some 100 MB in its task.
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), round(size * 0.11 / 2_000_000), 1)
+    # About 0.11 signatures a byte; a range of a million takes some 50 MB in its task.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), round(size * 0.11 / 1_000_000), 1)
     often = spark.sparkContext.broadcast(frequent_map(rows, n))
     packed = rows.mapInArrow(_packed(n, num, den, parts, often), _PACKED)
     found = written(packed.groupBy("p").applyInArrow(_matched, _FOUND))

@@ -55,6 +55,12 @@ def chunks(texts: list[bytes], most: int = CHUNK_BYTES) -> Iterator[tuple[int, i
         yield begin, len(texts)
 
 
+def slices(batch, rows: int = 1_000) -> Iterator:
+    """An Arrow batch in slices, so that few texts are copied to Python objects at once."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 class Words:
     """The words of some texts: ``hash`` and, for text i, the range
     ``first[i]:first[i + 1]``; ``start``/``end`` are byte positions in ``buffer``."""
