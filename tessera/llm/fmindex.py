@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
 from .storage import drop_columns_clashing
-from .textkit import LOWER_ALNUM, Words, spans
+from .textkit import LOWER_ALNUM, Words, slices, spans
 
-SHARD_WORDS = 400_000
+SHARD_WORDS = 250_000
 SAMPLE = 8
 BLOCK_WINDOWS = 500_000
 U = np.uint64
@@ -248,7 +248,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = blocks.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             texts = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
             begin = 0
             while begin < len(texts):

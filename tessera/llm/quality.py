@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 from .storage import drop_columns_clashing
-from .textkit import KEEP_CASE, Words, chunks, grams, spans
+from .textkit import KEEP_CASE, Words, chunks, grams, slices, spans
 
 RULES = ("length", "word_length", "symbols", "repeated_lines", "repeated_words", "capitals", "function_words", "line_ends", "marks")
 
@@ -153,7 +153,7 @@ def fit_votes(docs: DataFrame, text_col: str = "text") -> VoteModel:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             texts = [t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()]
             for a, b in chunks(texts):
                 seen.update(_codes(votes(text_statistics(texts[a:b]))).tolist())
@@ -186,7 +186,7 @@ def judge_quality(docs: DataFrame, text_col: str = "text", threshold: float = 0.
     given = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)], F.col(f"`{text_col}`").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             texts = [t or b"" for t in batch.column(len(names)).cast(pa.binary()).to_pylist()]
             for a, b in chunks(texts):
                 s = text_statistics(texts[a:b])

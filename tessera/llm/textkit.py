@@ -7,9 +7,11 @@ no Python object is made for a word.  Work is cut into chunks of about
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 CHUNK_BYTES = 2_000_000
 CHUNK_DOCS = 4_000
@@ -56,9 +58,18 @@ def chunks(texts: list[bytes], most: int = CHUNK_BYTES) -> Iterator[tuple[int, i
 
 
 def slices(batch, rows: int = 1_000) -> Iterator:
-    """An Arrow batch in slices, so that few texts are copied to Python objects at once."""
+    """An Arrow batch in slices, so that few texts are copied to Python objects at once.
+
+    After the batch, freed memory goes back to the system: workers live on
+    between stages, and what they hold counts against the executor.
+    """
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
 
 
 class Words:
