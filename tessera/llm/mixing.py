@@ -23,6 +23,8 @@ from .storage import drop_columns_clashing, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
+#: Buckets of keys: this many at least, and one for so many rows.
+LEAST_BUCKETS, BUCKET_ROWS = 1_024, 20_000
 #: Sources up to which their table is broadcast.
 BROADCAST_SOURCES = 200_000
 
@@ -69,7 +71,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         small = sized
     else:
         small = written(sized.select("id", "no_source", "source", "size", "key"))
-    many = max(16, small.count() // 20_000)
+    many = max(LEAST_BUCKETS, small.count() // BUCKET_ROWS)
     bucket = F.floor(F.col("key") / (1 + F.col("key")) * many)
     of = ["no_source", "source"]
 
