@@ -2,11 +2,13 @@
 
 A rule names a host and a path; it fits the host and its subdomains where the
 URL's path starts with the rule's, and the longest fitting rule decides.  For
-other URLs the host decides: personalised PageRank from hosts with allowed
-pages follows links, the same from hosts with blocked pages follows them
-backwards, and a host is blocked where distrust, less trust, for each of its
-pages is above a threshold.  Ranks are joined and summed in Spark round by
-round, each written to the shared folder.  DataFrame functions only.
+other URLs the host decides: trust is personalised PageRank from hosts with
+allowed pages along links, blame flows backwards over links from hosts with
+blocked pages, and a host is blocked where its blame, less its trust for each
+of its pages, is above a threshold.  A rank backwards is shared by all hosts
+that link to a blocked one, so the verdict takes blame, which does not shrink
+with their number.  Both are joined and summed in Spark round by round, each
+round written to the shared folder.  DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -80,6 +82,32 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     return now
 
 
+def blame(links: DataFrame, hosts: DataFrame, damping: float = 0.85, rounds: int = 30, tolerance: float = 1e-6) -> DataFrame:
+    """``(host, blame)``, zero to one, from ``links(src, dst, n)`` and ``hosts(host, pages, distrust)`` (blocked pages).
+
+    The chance that a reader who starts on a page of the host and goes on over
+    a link with chance ``damping`` meets a blocked page.  It hangs on a host's
+    own pages and links, not on how many others link to the same host.  Hosts
+    without blame may not be listed.
+    """
+    own = written(hosts.select("host", "pages", (F.col("distrust") / F.col("pages")).alias("own")))
+    now = written(own.where("own > 0").select("host", F.col("own").alias("blame")))
+    out = links.groupBy("src").agg(F.sum("n").alias("out"))
+    steps = written(links.join(out, "src").join(own.withColumnRenamed("host", "src"), "src").select("src", "dst", (F.col("n") / F.greatest("out", "pages") * damping * (1 - F.col("own"))).alias("w")))
+    if steps.isEmpty():
+        return now
+    base = own.where("own > 0").select("host", F.col("own").alias("blame"))
+    for _ in range(rounds):
+        flow = steps.join(now.withColumnRenamed("host", "dst"), "dst").select(F.col("src").alias("host"), (F.col("w") * F.col("blame")).alias("blame"))
+        new = written(base.union(flow).groupBy("host").agg(F.sum("blame").alias("blame")))
+        both = new.union(now.select("host", -F.col("blame"))).groupBy("host").agg(F.abs(F.sum("blame")).alias("x"))
+        change = both.agg(F.max("x")).first()[0] or 0.0
+        now = new
+        if change < tolerance:
+            break
+    return now
+
+
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "url", html_col: str = "html", threshold: float = 0.5, keep: list[str] | None = None, **how) -> DataFrame:
     """``pages`` with host, path, rule and verdict (allow or block).
 
@@ -96,10 +124,12 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "u
     judged = judged.withColumn("rule", _decided(rules, host, path, 1)).withColumn("by_rule", _decided(rules, host, path, 0))
     hosts = written(judged.where("host != ''").groupBy("host").agg(F.count("*").alias("pages"), F.count_if(F.col("by_rule") == "allow").alias("trust"), F.count_if(F.col("by_rule") == "block").alias("distrust")))
     seeds = hosts.select("host", F.col("trust").cast("double").alias("trust"), F.col("distrust").cast("double").alias("distrust"))
-    ranks = propagate(written(host_links(pages, url_col, html_col)), seeds, **how)
-    total = hosts.agg(F.sum("trust"), F.sum("distrust")).first()
-    score = (F.coalesce("r_distrust", F.lit(0.0)) * float(total[1] or 0) - F.coalesce("r_trust", F.lit(0.0)) * float(total[0] or 0)) / F.col("pages")
-    verdicts = hosts.select("host", "pages").join(ranks.select("host", F.col("trust").alias("r_trust"), F.col("distrust").alias("r_distrust")), "host", "left").select("host", F.when(score > threshold, F.lit("block")).otherwise(F.lit("allow")).alias("by_host"))
+    links = written(host_links(pages, url_col, html_col))
+    ranks = propagate(links, seeds, **how).select("host", F.col("trust").alias("r_trust"))
+    blamed = blame(links, hosts, **how)
+    total = hosts.agg(F.sum("trust")).first()
+    score = F.coalesce("blame", F.lit(0.0)) - F.coalesce("r_trust", F.lit(0.0)) * float(total[0] or 0) / F.col("pages")
+    verdicts = hosts.select("host", "pages").join(ranks, "host", "left").join(blamed, "host", "left").select("host", F.when(score > threshold, F.lit("block")).otherwise(F.lit("allow")).alias("by_host"))
     verdicts = written(verdicts)
     side = F.broadcast(verdicts) if verdicts.count() <= BROADCAST_HOSTS else verdicts
     return judged.join(side, "host", "left").select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(names)], "host", "path", "rule", F.coalesce("by_rule", "by_host", F.lit("allow")).alias("verdict"))

@@ -322,6 +322,19 @@ def test_link_graph(spark):
     assert got == {0: "block", 1: "block", 2: "block", 3: "allow"}
 
 
+@pytest.mark.parametrize("n", [1, 10])
+def test_link_graph_as_registered(spark, tmp_path, n):
+    """However many hosts link to a blocked one, op8's own parameters block them; one link of many does not."""
+    bad = "<a href='http://bad.net/es/'>"
+    rows = [(0, "http://bad.net/es/", ""), *[(i, f"http://spam{i}.org/x", bad) for i in range(1, n + 1)]]
+    rows += [(50, "http://far.org/", "<a href='//spam1.org/'>"), (51, "http://many.org/", bad + "".join(f"<a href='//h{k}.org/'>" for k in range(9)))]
+    rows += [(60 + k, f"http://large.org/{k}", "" if k else bad) for k in range(5)]
+    rows += [(70, "http://good.com/", "<a href='//liked.org/'>"), (71, "http://liked.org/", bad + "<a href='//ok.org/'>"), (72, "http://ok.org/", "<a href='//good.com/'>")]
+    spark.createDataFrame(rows, PAGES).write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: r.verdict for r in Q.op8_url_filters(spark, str(tmp_path)).collect()}
+    assert {i for i, v in got.items() if v == "block"} == {0, *range(1, n + 1), 50} and len(got) == len(rows)
+
+
 # Near duplicates
 
 def brute_components(rows, n=5):
