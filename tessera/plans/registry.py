@@ -238,7 +238,7 @@ def region_layout(m: Model) -> DataFrame:
 def group_layout(m: Model) -> DataFrame:
     from ..operators.layout import layered_groups
 
-    members = m.trees.where("doc_id < 1000000000").select(F.col("section").alias("group"), "id")
+    members = m.trees.select(F.col("section").alias("group"), "id")
     side = lambda end, name: m.trees.select(F.col("id").alias(end), F.col("section").alias(name))
     edges = _dep(m).join(side("src", "group"), "src").join(side("dst", "g2"), "dst").where("group = g2").select("group", "src", "dst")
     return layered_groups(members, edges)

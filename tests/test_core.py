@@ -131,6 +131,16 @@ def test_layout():
     assert set(got["at"]) == set(sizes) and list(got["frames"]) == ["r", "q", ""]
 
 
+def test_group_layout_places_every_document(spark, tmp_path):
+    from tessera.plans.registry import QUERIES
+
+    rows = [(4, "s"), (2, "s"), (2_000_000_000, "s"), (3_000_000_000, "t"), (None, "s"), (None, "s")]
+    spark.createDataFrame([(i, "x", "en", s, 1) for i, s in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["group_layout"](spark, str(tmp_path)).collect()
+    assert sorted((r.group, r.id or "") for r in got) == sorted((s, f"doc-{i}" if i is not None else "") for i, s in rows)
+    assert len({(r.group, r.x, r.y) for r in got}) == len(rows) and {r.id: r.x for r in got}["doc-2"] < {r.id: r.x for r in got}["doc-4"]
+
+
 def test_views(spark):
     trees = spark.createDataFrame([("thm-a", "theorem", None, None, None, None), ("prf-a", "proof", "thm-a", None, None, None), ("prf-b", "proof", None, None, None, None), ("obj-k", "object", None, None, None, None), ("obj-i", "object", None, "obj-k", None, None), ("mor-f", "morphism", None, None, "obj-i", "obj-k"), ("rem-x", "remark", None, None, None, None)], "id string, taxon string, proves string, instance_of string, src string, dst string")
     links = spark.createDataFrame([(1, 1, "thm-a"), (2, 1, "obj-k"), (2, 2, "thm-a")], "section int, link int, id string")
