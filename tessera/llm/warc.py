@@ -67,16 +67,18 @@ def write_warc(pages: DataFrame, path: str, **how) -> None:
 
 
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
-_HEADER_MOST = 65_536
+_HEADER_STOP = re.compile(rb"\r\n(?:\r\n|WARC/1\.[01]\r\n)")
 
 
 def _record(data: bytes, at: int) -> tuple[dict, bytes, int] | str:
     """Headers, block and end of the record at ``at``, or why there is none."""
     if not _VERSION.match(data, at):
         return "no version line"
-    end = data.find(b"\r\n\r\n", at, at + _HEADER_MOST)
-    if end < 0:
+    # A header of any length ends at its empty line; a version line before that is the next record's.
+    stop = _HEADER_STOP.search(data, at)
+    if not stop or stop[0] != b"\r\n\r\n":
         return "header without end"
+    end = stop.start()
     headers = {}
     for line in data[at:end].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
@@ -89,10 +91,10 @@ def _record(data: bytes, at: int) -> tuple[dict, bytes, int] | str:
     length = headers.get("content-length", "")
     if not re.fullmatch(r"[0-9]{1,18}", length):
         return "no content length"
-    begin, stop = end + 4, end + 4 + int(length)
-    if data[stop : stop + 4] != b"\r\n\r\n":
+    begin, last = end + 4, end + 4 + int(length)
+    if data[last : last + 4] != b"\r\n\r\n":
         return "record without end"
-    return headers, data[begin:stop], stop + 4
+    return headers, data[begin:last], last + 4
 
 
 def _checked(headers: dict, block: bytes) -> tuple[bytes, str]:

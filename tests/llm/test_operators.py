@@ -60,6 +60,22 @@ def test_warc_odd_pages(spark, tmp_path):
     assert read_warc(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_warc_long_url(spark, tmp_path):
+    html = "page " * 50
+    rows = [(1, "data:text/html," + "x" * 200_000, html), (2, "http://b/?" + "y" * 65_400, html), (3, "http://c/WARC/1.1", html)]
+    spark.createDataFrame(rows, PAGES).write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: (r.record_type, r.refers_to) for r in Q.op1_warc(spark, str(tmp_path)).collect()}
+    assert got == {1: ("response", None), 2: ("revisit", 1), 3: ("revisit", 1)}
+
+
+def test_warc_header_cut_before_next_record():
+    from tessera.llm.warc import salvage
+
+    cut = b"WARC/1.1\r\nWARC-Type: response\r\n"
+    whole = b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: 1\r\n\r\nx\r\n\r\n"
+    assert [(f[0], f[1], f[2]) for f in salvage(cut + whole)] == [(0, len(cut), "header without end"), (len(cut), len(whole), "")]
+
+
 def test_warc_salvage():
     from tessera.llm.warc import salvage
 
