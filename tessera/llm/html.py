@@ -40,6 +40,8 @@ _CLOSES = (
     (frozenset({"tbody", "thead", "tfoot"}), frozenset({"tbody", "thead", "tfoot", "tr", "td", "th"}), frozenset({"table"})),
     (frozenset({"option"}), frozenset({"option"}), frozenset({"select"})),
 )
+#: Elements that may stand in head; the start of any other one, or text, ends an open head.
+_IN_HEAD = frozenset("head base link meta title style script noscript noframes template".split())
 _RAW = re.compile(r"\s+")
 
 
@@ -58,7 +60,18 @@ class Page(HTMLParser):
         self.feed(html)
         self.close()
 
+    def _end_head(self, anywhere):
+        """End head where it is the innermost open element, or ``anywhere`` with what is open in it."""
+        for k in range(len(self.open) - 1, 0, -1):
+            if self.tag[self.open[k]] == "head":
+                del self.open[k:]
+                return
+            if not anywhere:
+                return
+
     def handle_starttag(self, tag, attrs):
+        if tag not in _IN_HEAD:
+            self._end_head(tag == "body")
         for starts, ends, stops in _CLOSES:
             if tag in starts:
                 for k in range(len(self.open) - 1, 0, -1):
@@ -87,6 +100,8 @@ class Page(HTMLParser):
 
     def handle_data(self, data):
         if data:
+            if data.strip(" \t\n\f\r"):
+                self._end_head(False)
             self.texts.append((self.open[-1], len(self.tag) - 1, data))
 
 

@@ -166,6 +166,20 @@ def test_html_extraction():
     assert extracted(["", "   ", "<p>"], model) == ["", "", ""]
 
 
+def test_html_head_without_end():
+    from tessera.llm.html import Page, extracted, fitted_model, generated_page
+
+    start = "<html><head><meta charset=utf-8><title>T</title><style>p{}</style>"
+    rest = "<article><h1>Some words</h1><p>Text of the page, long enough to be read. It goes on, and on.</p></article>"
+    assert extracted([start + "<body>" + rest, start + rest, start + "<noscript><link rel=x><body>" + rest], fitted_model()) == ["Some words\nText of the page, long enough to be read. It goes on, and on."] * 3
+    assert [Page("<head>\n<title>T</title>" + x).texts[-1][0] for x in ("bare text", "<script></script>bare")] == [0, 0]
+    rng = random.Random(3)
+    for _ in range(60):
+        body = generated_page(rng)[0].partition("<html>")[2]
+        whole, without = (start + end + body for end in ("</head>", ""))
+        assert (Page(whole).tag, Page(whole).parent) == (Page(without).tag, Page(without).parent)
+
+
 def test_html_query(spark, sf):
     from tessera.llm.html import extract_main_text
 
