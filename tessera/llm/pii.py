@@ -17,6 +17,8 @@ distinct surrogates, and one entity the same one in every document and format
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,6 +86,20 @@ def enciphered(x: Column, key: str, what: str, alphabets: tuple[str, ...] = _ALP
     return _let(x, lambda y: F.when(F.length(y) > 0, _let(F.reverse(one(y, "a")), lambda back: F.reverse(one(back, "b")))).otherwise(y))
 
 
+def _enciphered_word(word: str, key: str, what: str) -> str:
+    """``enciphered`` of one word, on the driver."""
+
+    def one(y: str, turn: str) -> str:
+        out = []
+        for i, c in enumerate(y):
+            by = int(hashlib.sha256("\x1f".join((key, what, turn, str(len(y)), y[:i])).encode()).hexdigest()[:8], 16)
+            letters = next((a for a in _ALPHABETS if c in a), c)
+            out.append(letters[(letters.index(c) + by) % len(letters)])
+        return "".join(out)
+
+    return one(one(word, "a")[::-1], "b")[::-1]
+
+
 def _filled(shape: Column, digits: Column, pattern: str = "[^0-9]") -> Column:
     """``shape`` with its digits exchanged in turn."""
     return F.array_join(F.transform(_letters(shape), lambda c, i: F.when(c.rlike("^[0-9]$"), F.substr(digits, F.length(F.regexp_replace(F.substr(shape, F.lit(1), i + 1), pattern, "")), F.lit(1))).otherwise(c)), "")
@@ -142,7 +158,17 @@ def _given(word: Column, key: str) -> Column:
 
 def _name(e: Column, key: str) -> Column:
     forms = F.array(*[F.lit(x) for x in ADDRESSES])
-    word = lambda w: F.when(F.array_contains(forms, F.rtrim(w, F.lit("."))), w).otherwise(F.coalesce(_given(w, key), enciphered(w, key, "name")))
+    # Listed words have surrogates among themselves; a word enciphered to one goes on from there until it leaves the list.
+    leaves = {}
+    for listed in (*ADDRESSES, *FEMALE, *MALE):
+        leaves[listed] = _enciphered_word(listed, key, "name")
+    for listed in leaves:
+        # A cycle of listed words only is never entered from outside.
+        for _ in leaves:
+            leaves[listed] = leaves.get(leaves[listed], leaves[listed])
+    beyond = F.create_map(*[F.lit(x) for pair in leaves.items() for x in pair])
+    other = lambda w: _let(enciphered(w, key, "name"), lambda new: F.coalesce(F.element_at(beyond, new), new))
+    word = lambda w: F.when(F.array_contains(forms, F.rtrim(w, F.lit("."))), w).otherwise(F.coalesce(_given(w, key), other(w)))
     return F.array_join(F.transform(F.split(e, " "), word), " ")
 
 

@@ -282,6 +282,29 @@ def test_mixing(spark):
 
 # Personal data
 
+def test_pii_names_never_meet(spark):
+    """Words that the cipher sends to a listed name keep surrogates of their own."""
+    import hashlib
+
+    from tessera.llm import pii
+
+    def undone(y, turn):
+        out = ""
+        for c in y:
+            by = int(hashlib.sha256("\x1f".join((Q.PII_KEY, "name", turn, str(len(y)), out)).encode()).hexdigest()[:8], 16)
+            letters = next((a for a in pii._ALPHABETS if c in a), c)
+            out += letters[(letters.index(c) - by) % len(letters)]
+        return out
+
+    listed = [*pii.FEMALE, *pii.MALE, *pii.ADDRESSES]
+    before = [undone(undone(x[::-1], "b")[::-1], "a") for x in listed]
+    words = sorted({*listed, *before, *(undone(undone(x[::-1], "b")[::-1], "a") for x in before)})
+    rows = spark.createDataFrame([(w, f"Ms {w}") for w in words], "w string, e string")
+    made = {r.w: (r.s, r.raw) for r in rows.select("w", pii.surrogate(F.col("e"), Q.PII_KEY).alias("s"), pii.enciphered(F.col("w"), Q.PII_KEY, "name").alias("raw")).collect()}
+    assert [made[w][1] for w in before] == listed
+    assert len({s for s, _ in made.values()}) == len(words)
+
+
 def test_pii(spark):
     from tessera.llm.pii import PATTERN, replace_personal_data, surrogate, surrogate_collisions
 
