@@ -1,7 +1,9 @@
 """Intermediate tables in the folder that all executors share.
 
-The folder is the one named by ``spark.checkpoint.dir``.  Where the session
-names none (a local test session), a folder of the warehouse is used instead.
+The folder is the one named by ``spark.checkpoint.dir``.  Only a local session
+may leave it unset: a folder of its warehouse is used then.  On a cluster a
+missing setting is an error, since a machine-local folder would lose tables
+with their executor.
 """
 
 from __future__ import annotations
@@ -10,13 +12,19 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths handed out and not yet removed, in order.
+_PATHS: list[str] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
     """A new path, not yet created, below the shared folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+    _PATHS.append(f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}")
+    return _PATHS[-1]
 
 
 def written(df: DataFrame, *partition_by: str) -> DataFrame:
@@ -32,6 +40,23 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """A mark for ``remove_since``."""
+    return len(_PATHS)
+
+
+def remove_since(spark: SparkSession, at: int, but: int = 0) -> None:
+    """Delete the intermediate tables made since a mark, except the last ``but``.
+
+    Only for tables that no plan still to run reads.
+    """
+    gone = _PATHS[at : len(_PATHS) - but]
+    for path in gone:
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+    del _PATHS[at : len(_PATHS) - but]
+
+
 def drop_columns_clashing(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without columns whose names equal ``names`` in any case."""
     taken = {n.lower() for n in names}

@@ -1,11 +1,15 @@
-"""WARC archives: a writer with revisit records, and a reader that salvages.
+"""WARC archives: a writer with revisit records, and a salvage reader.
 
 The writer needs no Python: records are composed as strings and written by
-Spark's text writer, one file a task and ``RECORDS_PER_FILE`` records.  The
-reader takes whole files as binary, plain or with a gzip member for each
-record.  Where a check fails (version line, header, length, end of record,
-gzip data, payload digest) it logs the bytes as a gap with the reason and goes
-on at the next place where a record or a member can be read.
+Spark's text writer.  Files hold at most ``RECORDS_PER_FILE`` records and, by
+classes of payload size, about ``FILE_BYTES``.  The reader takes whole files
+as binary, plain or with gzip members.  Where a check fails (version line,
+header, length, end of record, gzip data, payload digest) it logs the bytes as
+a gap with the reason and goes on at the next place where a record or a member
+can be read.  A record whose length and end mark are sound but whose payload
+is not is one gap to its end: what looks like a record inside it is payload.
+Of a damaged gzip member the records before the damage are recovered if their
+payload digest holds; the whole member is logged as a gap.
 """
 
 from __future__ import annotations
@@ -14,32 +18,36 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import written
 
 LEAST_SHARED = 100
-RECORDS_PER_FILE = 2_000
+RECORDS_PER_FILE, FILE_BYTES = 2_000, 64_000_000
+#: Greatest payloads of the classes that share files; larger ones have a file each.
+CLASSES = (32_000, 1_000_000, 16_000_000)
+#: Compressed bytes inflated at once.
+_INFLATE = 65_536
 BROADCAST_DIGESTS = 500_000
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _URN = "urn:page:"
 
 
-def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """One WARC record a row, as ``record`` strings without the last line feed.
+def _class(size: Column) -> Column:
+    return reduce(lambda more, k: F.when(size <= CLASSES[k], k).otherwise(more), reversed(range(len(CLASSES))), F.lit(len(CLASSES)))
 
-    Of rows with equal payloads of at least ``LEAST_SHARED`` bytes that with
-    the smallest id is a response and the others revisit it; all other rows are
-    responses.  Null html is an empty payload.  Rows that repeat the smallest
-    id are responses too.  A null id is written as an empty one and is never
-    revisited unless all ids of its payload are null (then all are responses).
-    """
-    html = F.coalesce(F.col(html_col), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"), F.octet_length(html).cast("long").alias("bytes"))
+
+def _composed(pages: DataFrame, id_col: str, url_col: str, html_col: str, date: str) -> tuple[DataFrame, list[int]]:
+    """``(record, class)`` and the classes of sizes that have rows."""
+    html = F.coalesce(F.col(f"`{html_col}`"), F.lit(""))
+    rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url_col}`").alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"), F.octet_length(html).cast("long").alias("bytes"))
+    rows = rows.withColumn("class", _class(F.col("bytes")))
+    classes = sorted(r[0] for r in rows.select("class").distinct().collect())  # at most one row for each class
     shared = written(rows.where(f"bytes >= {LEAST_SHARED}").groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first"))
     # The html is not shuffled while the repeated digests fit a broadcast.
     side = F.broadcast(shared) if shared.count() <= BROADCAST_DIGESTS else shared
@@ -58,12 +66,29 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         F.lit("Content-Type: application/http;msgtype=response"),
         F.concat(F.lit("Content-Length: "), F.octet_length("block")),
     ]
-    return rows.withColumn("block", block).select(F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n"), F.col("block"), F.lit("\r\n\r")).alias("record"))
+    record = F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n"), F.col("block"), F.lit("\r\n\r"))
+    return rows.withColumn("block", block).select(record.alias("record"), "class"), classes
+
+
+def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2024-01-01T00:00:00Z") -> DataFrame:
+    """One WARC record a row, as ``record`` strings without the last line feed.
+
+    Of rows with equal payloads of at least ``LEAST_SHARED`` bytes that with
+    the smallest id is a response and the others revisit it; all other rows are
+    responses.  Null html is an empty payload.  Rows that repeat the smallest
+    id are responses too.  A null id is written as an empty one and is never
+    revisited unless all ids of its payload are null (then all are responses).
+    Other columns are ignored; an empty table gives no record.
+    """
+    return _composed(pages, id_col, url_col, html_col, date)[0].select("record")
 
 
-def write_warc(pages: DataFrame, path: str, **how) -> None:
-    """Write ``pages`` as WARC files below ``path``."""
-    records(pages, **how).write.option("lineSep", "\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2024-01-01T00:00:00Z") -> None:
+    """Write ``pages`` as WARC files below ``path``, a pass for each class of sizes that has rows."""
+    rows, classes = _composed(pages, id_col, url_col, html_col, date)
+    for k in classes or [0]:
+        most = min(RECORDS_PER_FILE, FILE_BYTES // CLASSES[k]) if k < len(CLASSES) else 1
+        rows.where(f"class = {k}").select("record").write.mode("append").option("lineSep", "\n").option("maxRecordsPerFile", most).text(path)
 
 
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
@@ -114,7 +139,8 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, str, dict, bytes]]:
     """All of a file as (offset, length, reason, headers, payload); a reason makes it a gap of lost bytes.
 
     An empty file gives nothing.  Offsets and lengths are those in the file;
-    a gap inside a gzip member has the member's.
+    a gap inside a gzip member has the member's, and a record recovered from a
+    damaged member has the member's offset and length 0.
     """
     at, size, lost, why = 0, len(data), -1, ""
     while at < size:
@@ -134,27 +160,53 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, str, dict, bytes]]:
                 yield lost, at - lost, why, {}, b""
                 lost = -1
             yield from found
+        if found and end > at:
             at = end
             continue
         if lost < 0:
             lost, why = at, reason
-        places = [x for x in (data.find(b"WARC/1.", at + 1), data.find(b"\x1f\x8b\x08", at + 1)) if x >= 0]
+        # A sound length and end mark bound what failed; else the next version line or member may be anywhere behind.
+        after = end if end > at else at + 1
+        places = [x for x in (data.find(b"WARC/1.", after), data.find(b"\x1f\x8b\x08", after)) if x >= 0]
         at = min(places, default=size)
     if lost >= 0:
         yield lost, size - lost, why, {}, b""
 
 
-def _member(data: bytes, at: int) -> tuple[list, str, int]:
-    """What the gzip member at ``at`` holds, why it can't be read, and its end."""
-    inflate = zlib.decompressobj(31)
-    try:
-        plain = inflate.decompress(data[at:])
-    except zlib.error:
-        return [], "bad gzip data", at
+def _inflated(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """What the gzip member at ``at`` holds as far as it can be read, its end, and what is wrong with it."""
+    inflate, view, out, begin = zlib.decompressobj(31), memoryview(data), [], at
+    while begin < len(data) and not inflate.eof:
+        before, block = inflate.copy(), view[begin : begin + _INFLATE]
+        try:
+            out.append(inflate.decompress(block))
+        except zlib.error:
+            # The same block again in ever smaller steps, to keep all before the damage.
+            step = len(block)
+            while step > 1 and len(block):
+                step = max(1, step // 16)
+                while len(block):
+                    kept = before.copy()
+                    try:
+                        out.append(before.decompress(block[:step]))
+                    except zlib.error:
+                        before, block = kept, block[:step]
+                        break
+                    block = block[step:]
+            return b"".join(out), at, "bad gzip data"
+        begin += len(block)
     if not inflate.eof:
-        return [], "gzip member without end", at
-    end = len(data) - len(inflate.unused_data)
-    return [(at, end - at, reason, headers, payload) for _, _, reason, headers, payload in salvage(plain)], "empty gzip member", end
+        return b"".join(out), at, "gzip member without end"
+    return b"".join(out), begin - len(inflate.unused_data), ""
+
+
+def _member(data: bytes, at: int) -> tuple[list, str, int]:
+    """What the gzip member at ``at`` holds, why it can't be read, and its end (``at`` if damaged)."""
+    plain, end, reason = _inflated(data, at)
+    if reason:
+        sound = [f for f in salvage(plain) if not f[2] and f[3].get("warc-type") != "revisit" and f[3].get("warc-payload-digest", "").startswith("sha256:")]
+        return [(at, 0, "", headers, payload) for _, _, _, headers, payload in sound], reason, at
+    return [(at, end - at, why, headers, payload) for _, _, why, headers, payload in salvage(plain)], "empty gzip member", end
 
 
 READ = "path string, offset long, length long, kind string, reason string, record_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
@@ -163,6 +215,7 @@ READ = "path string, offset long, length long, kind string, reason string, recor
 def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """All records (kind ``record``) and lost bytes (kind ``gap``, with offset, length and reason) of the files at ``path``.
 
+    Equal records are all returned; a folder of empty files gives no row.
     payload_digest and payload_bytes are those of the full payload; for a
     revisit, which carries none, they are read from its header.
     """
