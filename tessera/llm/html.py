@@ -24,9 +24,10 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .storage import drop_columns_clashing
 
-#: Elements by their use in HTML.
+#: Elements by their use in HTML.  Dropped are those whose content is no text of the page: scripts,
+#: controls, what stands in for media or scripts where these are off, and source annotations of formulas.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("script style noscript template head title textarea select option button input svg math iframe object canvas audio video".split())
+DROPPED = frozenset("script style noscript template head title textarea select option button input iframe object canvas audio video annotation annotation-xml".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -49,54 +50,73 @@ class Page(HTMLParser):
     """A page's elements in order, and its texts with the element each stands in.
 
     Arrays by element: tag, parent (-1 for a root), names (class, id and role,
-    lower-cased), last (the last element below it).  Unclosed and stray tags
-    are mended by the rules of HTML that matter for nesting.
+    lower-cased).  Unclosed and stray tags are mended by the rules of HTML that
+    matter for nesting; the work for a tag does not grow with the open ones.
+    Declarations of any form and comments without an end are no text.
     """
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.tag, self.parent, self.names, self.texts = ["#page"], [-1], [""], []
-        self.open = [0]
+        self.open, self.depths, self.blocks = [0], {}, []
         self.feed(html)
+        # What the parser has not taken is text only where it starts no markup.
+        if self.rawdata.startswith(("<!", "<?")) or (self.rawdata.startswith("</") and self.rawdata[2:3].isalpha()) or (self.rawdata.startswith("<") and self.rawdata[1:2].isalpha()):
+            self.rawdata = ""
         self.close()
 
+    def parse_html_declaration(self, i):
+        """``<![`` outside foreign content is a comment up to the next ``>``, whatever its keyword."""
+        if self.rawdata.startswith("<![CDATA[", i):
+            end = self.rawdata.find("]]>", i)
+            if end >= 0:
+                if any(self.depths.get(x) for x in ("math", "svg")):
+                    self.handle_data(self.rawdata[i + 9 : end])
+                return end + 3
+        if self.rawdata.startswith("<![", i):
+            return self.parse_bogus_comment(i)
+        return super().parse_html_declaration(i)
+
+    def _deepest(self, names):
+        return max((self.depths[x][-1] for x in names if self.depths.get(x)), default=0)
+
+    def _cut(self, k):
+        """End the innermost open elements down to place ``k``."""
+        while len(self.open) > k:
+            name = self.tag[self.open.pop()]
+            self.depths[name].pop()
+            if name in BLOCK:
+                self.blocks.pop()
+
     def _end_head(self, anywhere):
         """End head where it is the innermost open element, or ``anywhere`` with what is open in it."""
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.tag[self.open[k]] == "head":
-                del self.open[k:]
-                return
-            if not anywhere:
-                return
+        k = self._deepest(("head",))
+        if k and (anywhere or k == len(self.open) - 1):
+            self._cut(k)
 
     def handle_starttag(self, tag, attrs):
         if tag not in _IN_HEAD:
             self._end_head(tag == "body")
         for starts, ends, stops in _CLOSES:
-            if tag in starts:
-                for k in range(len(self.open) - 1, 0, -1):
-                    name = self.tag[self.open[k]]
-                    if name in ends:
-                        del self.open[k:]
-                        break
-                    if name in stops or (name in BLOCK and name != "p" and "p" in ends):
-                        break
+            if tag in starts and (k := self._deepest(ends)) > self._deepest(stops):
+                if "p" not in ends or not self.blocks or self.blocks[-1] <= k:
+                    self._cut(k)
         self.tag.append(tag)
         self.parent.append(self.open[-1])
         self.names.append(" ".join(v for k, v in attrs if v and k in ("class", "id", "role")).lower())
         if tag not in VOID:
+            self.depths.setdefault(tag, []).append(len(self.open))
+            if tag in BLOCK:
+                self.blocks.append(len(self.open))
             self.open.append(len(self.tag) - 1)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.tag[self.open[k]] == tag:
-                del self.open[k:]
-                return
-            if tag not in BLOCK and self.tag[self.open[k]] in BLOCK:
-                return
+        if k := self._deepest((tag,)):
+            if tag in BLOCK or not self.blocks or self.blocks[-1] < k:
+                self._cut(k)
 
     def handle_data(self, data):
         if data:
@@ -113,68 +133,78 @@ TOKENS = (
 TAGS = "article main section div p h1 h2 h3 ul ol li a nav header footer aside form table td blockquote pre span b body".split()
 _TOKEN, _TAG = {t: i for i, t in enumerate(TOKENS)}, {t: i for i, t in enumerate(TAGS)}
 _SPLIT = re.compile(r"[^a-z]+")
-_INLINE = frozenset("b i em strong span u small sub sup a mark abbr cite code q s font big tt label time br wbr img".split())
-N_NUMBERS = 17
+#: Elements whose features are laid out at once.
+ROWS = 50_000
+
+
+class Features:
+    """The features of a page's elements: numbers, and bit masks of tag and tokens, their own and of all above."""
+
+    def __init__(self, page: Page):
+        n = len(page.tag)
+        parent = np.array(page.parent)
+        own, link, marks = (np.zeros(n, np.float32) for _ in range(3))
+        depth, place = np.zeros(n, np.float32), np.zeros(n, np.float32)
+        hidden, in_link = np.zeros(n, bool), np.zeros(n, bool)
+        kids = [0] * n
+        tags, tokens = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        for i in range(n):
+            name, p = page.tag[i], page.parent[i]
+            if name in _TAG:
+                tags[i] = 1 << _TAG[name]
+            if page.names[i]:
+                tokens[i] = sum(1 << k for k in {_TOKEN[t] for t in _SPLIT.split(page.names[i]) if t in _TOKEN})
+            if i:
+                depth[i] = depth[p] + 1
+                hidden[i] = hidden[p] or name in DROPPED
+                in_link[i] = in_link[p] or name == "a"
+                place[i] = kids[p]
+                kids[p] += 1
+        above_tags, above_tokens = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        for i in range(1, n):
+            p = page.parent[i]
+            above_tags[i] = above_tags[p] | tags[p]
+            above_tokens[i] = above_tokens[p] | tokens[p]
+        self.masks = ((tags, len(TAGS)), (tokens, len(TOKENS)), (above_tags, len(TAGS)), (above_tokens, len(TOKENS)))
+        for at, _, data in page.texts:
+            if hidden[at]:
+                continue
+            chars = len(data.strip())
+            own[at] += chars
+            marks[at] += data.count(".") + data.count(",") + data.count("?") + data.count("!")
+            if in_link[at]:
+                link[at] += chars
+        is_tag = lambda t: np.array([x == t for x in page.tag], np.float32)
+        below, text = np.ones(n, np.float32), own.copy()
+        paras, items, links = is_tag("p"), is_tag("li"), is_tag("a")
+        for i in range(n - 1, 0, -1):
+            p = page.parent[i]
+            for x in (below, text, link, marks, paras, items, links):
+                x[p] += x[i]
+        total = max(float(text[0]), 1.0)
+        kids = np.array(kids, np.float32)
+        up = np.maximum(parent, 0)
+        one = np.float32(1)
+        self.numbers = np.stack(
+            [
+                depth, np.log1p(text), np.log1p(own), link / np.maximum(text, one), text / below, np.log1p(below), marks / np.maximum(text, one) * 100, np.log1p(paras), np.log1p(items),
+                np.log1p(links), text / total, text / np.maximum(text[up], one), place, place / np.maximum(kids[up], one), np.log1p(kids), link[up] / np.maximum(text[up], one), np.log1p(paras[up]),
+            ],
+            axis=1,
+        ).astype(np.float32)
+
+    def __len__(self) -> int:
+        return len(self.numbers)
+
+    def rows(self, begin: int, end: int) -> np.ndarray:
+        """Some elements by all features."""
+        bits = [((mask[begin:end, None] >> np.arange(n, dtype=np.uint64)) & np.uint64(1)).astype(np.float32) for mask, n in self.masks]
+        return np.concatenate([self.numbers[begin:end], *bits], axis=1)
 
 
 def features(page: Page) -> np.ndarray:
-    """Elements by features."""
-    n = len(page.tag)
-    parent = np.array(page.parent)
-    own, link, marks, para = (np.zeros(n) for _ in range(4))
-    hidden = np.zeros(n, bool)
-    in_link = np.zeros(n, bool)
-    depth = np.zeros(n)
-    for i in range(1, n):
-        p = page.parent[i]
-        depth[i] = depth[p] + 1
-        hidden[i] = hidden[p] or page.tag[i] in DROPPED
-        in_link[i] = in_link[p] or page.tag[i] == "a"
-    for at, _, data in page.texts:
-        if hidden[at]:
-            continue
-        chars = len(data.strip())
-        own[at] += chars
-        marks[at] += data.count(".") + data.count(",") + data.count("?") + data.count("!")
-        if in_link[at]:
-            link[at] += chars
-    is_p = np.array([t == "p" for t in page.tag])
-    is_li = np.array([t == "li" for t in page.tag])
-    below = np.ones(n)
-    paras, items, links = is_p.astype(float), is_li.astype(float), np.array([t == "a" for t in page.tag], float)
-    text = own.copy()
-    for i in range(n - 1, 0, -1):
-        p = page.parent[i]
-        for x in (below, text, link, marks, paras, items, links):
-            x[p] += x[i]
-    total = max(text[0], 1.0)
-    kids = np.bincount(parent[1:], minlength=n).astype(float) if n > 1 else np.zeros(n)
-    place = np.zeros(n)
-    seen: dict[int, int] = {}
-    for i in range(1, n):
-        place[i] = seen.get(page.parent[i], 0)
-        seen[page.parent[i]] = seen.get(page.parent[i], 0) + 1
-    up = np.maximum(parent, 0)
-    numbers = np.stack(
-        [
-            depth, np.log1p(text), np.log1p(own), link / np.maximum(text, 1), text / below, np.log1p(below), marks / np.maximum(text, 1) * 100, np.log1p(paras), np.log1p(items),
-            np.log1p(links), text / total, text / np.maximum(text[up], 1), place, place / np.maximum(kids[up], 1), np.log1p(kids), link[up] / np.maximum(text[up], 1), np.log1p(paras[up]),
-        ],
-        axis=1,
-    )
-    tags, tokens = np.zeros((n, len(TAGS))), np.zeros((n, len(TOKENS)))
-    for i in range(n):
-        if page.tag[i] in _TAG:
-            tags[i, _TAG[page.tag[i]]] = 1
-        for t in _SPLIT.split(page.names[i]) if page.names[i] else ():
-            if t in _TOKEN:
-                tokens[i, _TOKEN[t]] = 1
-    above_tags, above_tokens = np.zeros_like(tags), np.zeros_like(tokens)
-    for i in range(1, n):
-        p = page.parent[i]
-        above_tags[i] = np.maximum(above_tags[p], tags[p])
-        above_tokens[i] = np.maximum(above_tokens[p], tokens[p])
-    return np.concatenate([numbers, tags, tokens, above_tags, above_tokens], axis=1).astype(np.float32)
+    """All elements of a page by all features."""
+    return (f := Features(page)).rows(0, len(f))
 
 
 class BoostedTrees:
@@ -240,13 +270,13 @@ def decoded(parent: list[int], log_odds: np.ndarray) -> np.ndarray:
 
 
 def main_text(page: Page, keep: np.ndarray) -> str:
-    """The texts of accepted elements: white space squeezed inside a block, blocks on lines of their own."""
+    """The texts of accepted elements: white space (of Unicode, no-break spaces too) squeezed inside a block, blocks on lines of their own."""
     n = len(page.tag)
     dropped = [False] * n
     block = [0] * n
     for i in range(1, n):
         p = page.parent[i]
-        dropped[i] = dropped[p] or page.tag[i] in DROPPED or (not keep[i] and page.tag[i] not in _INLINE)
+        dropped[i] = dropped[p] or page.tag[i] in DROPPED or not keep[i]
         block[i] = i if page.tag[i] in BLOCK else block[p]
     blocks, now, where = [], [], None
     before = 0
@@ -330,13 +360,22 @@ def generated_page(rng: random.Random) -> tuple[str, list[bool]]:
 
         el(tag, False, attrs, inside)
 
+    def inline():
+        roll = rng.random()
+        if roll < 0.12:
+            el(rng.choice(["a", "span"]), False, f'class="{rng.choice(["ad", "ad sponsor", "ad advert", "promo", "share", "social share", "sponsor"])}"', words(1, 8))
+        elif roll < 0.2:
+            el(rng.choice(["a", "span", "em", "b", "time", "small", "cite", "abbr", "code"]), True, f'class="{rng.choice(["term", "ref", "text", "title", "highlight", "external", "note", "date"])}"', words(1, 8))
+        else:
+            el(rng.choice(["b", "i", "em", "strong", "a", "a", "span", "code", "sub", "math", "small", "mark", "q", "u", "font"]), True, rng.choice(["", "", 'href="/x"']), words(1, rng.choice([5, 5, 25])))
+
     def paragraph():
         roll = rng.random()
         if roll < 0.68:
             def inside():
                 out.append(words(1, 60) + " ")
                 for _ in range(rng.choice([0, 0, 0, 1, 2])):
-                    el(rng.choice(["b", "i", "em", "strong", "a", "span"]), True, "", words(1, 5))
+                    inline()
                     out.append(" " + words(1, 30))
 
             el("p", True, "", inside, rng.random() < 0.8)
@@ -419,29 +458,51 @@ def fitted_model(pages: int = 700, seed: int = 7) -> BoostedTrees:
 
 def extracted(htmls: list[str], model: BoostedTrees) -> list[str]:
     """The main text of each page."""
+    out = []
     pages = [Page(h) for h in htmls]
-    odds = model.log_odds(np.concatenate([features(p) for p in pages])) if pages else np.empty(0)
-    out, at = [], 0
-    for p in pages:
-        n = len(p.tag)
-        out.append(main_text(p, decoded(p.parent, odds[at : at + n])))
-        at += n
+    of = [Features(p) for p in pages]
+    # Small pages share a block of rows; a large one is cut into several.
+    odds = [np.empty(len(f)) for f in of]
+    blocks, held = [], 0
+    for k, f in enumerate(of):
+        for begin in range(0, len(f), ROWS):
+            end = min(len(f), begin + ROWS)
+            if held + end - begin > ROWS:
+                _fill(odds, of, blocks, model)
+                blocks, held = [], 0
+            blocks.append((k, begin, end))
+            held += end - begin
+    _fill(odds, of, blocks, model)
+    for p, x in zip(pages, odds, strict=True):
+        out.append(main_text(p, decoded(p.parent, x)))
     return out
 
 
+def _fill(odds: list[np.ndarray], of: list[Features], blocks: list[tuple[int, int, int]], model: BoostedTrees) -> None:
+    if blocks:
+        got, at = model.log_odds(np.concatenate([of[k].rows(a, b) for k, a, b in blocks])), 0
+        for k, a, b in blocks:
+            odds[k][a:b] = got[at : at + b - a]
+            at += b - a
+
+
 def extract_main_text(pages: DataFrame, html_col: str = "html", keep: list[str] | None = None, model: BoostedTrees | None = None, at_once: int = 500_000) -> DataFrame:
     """``pages`` with text (empty if none) and n_chars, its code points.
 
     Null and empty html has no text.  Equal pages get equal texts; pages are
-    judged one by one, ``at_once`` characters of html at a time.  Columns with
-    added names give way.
+    judged one by one, ``at_once`` characters of html at a time.  Any string is
+    a page: malformed markup is mended, never an error.  Columns with added
+    names give way.  An empty table gives an empty one.
     """
     kept = drop_columns_clashing(pages.select(*keep) if keep else pages, "text", "n_chars")
     names = kept.columns
     given = pages.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)], F.col(f"`{html_col}`").alias("_html"))
-    shared = pages.sparkSession.sparkContext.broadcast(model or fitted_model())
+    # Only arrays are broadcast: their reader needs no module of this package.
+    shared = pages.sparkSession.sparkContext.broadcast(vars(model or fitted_model()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = BoostedTrees.__new__(BoostedTrees)
+        vars(trees).update(shared.value)
         for batch in batches:
             htmls = [h or "" for h in batch.column(len(names)).to_pylist()]
             texts, begin = [], 0
@@ -450,7 +511,7 @@ def extract_main_text(pages: DataFrame, html_col: str = "html", keep: list[str]
                 while end < len(htmls) and (end == begin or size + len(htmls[end]) <= at_once):
                     size += len(htmls[end])
                     end += 1
-                texts += extracted(htmls[begin:end], shared.value)
+                texts += extracted(htmls[begin:end], trees)
                 begin = end
             more = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *more], names=[*(f"_{i}" for i in range(len(names))), "text", "n_chars"])

@@ -99,6 +99,62 @@ def test_warc_salvage():
     assert list(salvage(b"")) == []
 
 
+def _record(i, payload, digest=True, kind="response"):
+    block = b"HTTP/1.1 200 OK\r\n\r\n" + payload
+    said = f"WARC-Payload-Digest: sha256:{hashlib.sha256(payload).hexdigest()}\r\n" if digest else ""
+    return f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:page:{i}>\r\n{said}Content-Type: application/http\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+
+def _flipped(raw, at):
+    return raw[:at] + bytes([raw[at] ^ 1]) + raw[at + 1 :]
+
+
+def test_warc_forged_inner_record():
+    """What looks like a record inside a damaged payload is not one; a wrong length hides no later record."""
+    from tessera.llm.warc import salvage
+
+    first, last = _record(1, b"<p>before " + _record("http://evil/", b"evil") + b" after"), _record(2, b"good")
+    damaged = _flipped(first, first.index(b"before"))
+    found = list(salvage(damaged + last))
+    assert [(f[0], f[1], f[2]) for f in found] == [(0, len(first), "payload digest differs"), (len(first), len(last), "")]
+    for wrong in (b"Content-Length: 9", b"Content-Length: 99999", b"Content-Length: x"):
+        short = re.sub(rb"Content-Length: \d+", wrong, _record(3, b"some payload"), count=1)
+        found = list(salvage(short + last))
+        assert [(f[2] == "", f[1]) for f in found] == [(False, len(short)), (True, len(last))]
+
+
+def test_warc_many_members_and_damage():
+    from tessera.llm.warc import salvage
+
+    rng = random.Random(2)
+    good = [_record(i, rng.randbytes(20_000)) for i in range(3000)]
+    data = b"".join(gzip.compress(g, 1) for g in good)
+    assert [f[3]["warc-record-id"] for f in salvage(data)] == [f"<urn:page:{i}>" for i in range(3000)]
+    # One member of many records with damage: what the inflater still gives and a digest vouches for is recovered.
+    many = gzip.compress(b"".join([*good[:50], _record(50, b"no digest", digest=False), *good[51:100]]))
+    broken = _flipped(many, len(many) * 9 // 10)
+    found = list(salvage(broken + gzip.compress(good[7])))
+    ids = [f[3]["warc-record-id"] for f in found if not f[2]]
+    lost = {f"<urn:page:{i}>" for i in range(100)} - set(ids)
+    assert ids[-1] == "<urn:page:7>" and len(lost) == 2 and "<urn:page:50>" in lost and (0, len(broken)) in [(f[0], f[1]) for f in found if f[2]]
+    plain = [_record(i, words(rng, 3000).encode()) for i in range(100)]
+    cut = gzip.compress(b"".join(plain))
+    ids = [f[3]["warc-record-id"] for f in salvage(cut[: len(cut) * 9 // 10]) if not f[2]]
+    assert ids == [f"<urn:page:{i}>" for i in range(len(ids))] and 85 < len(ids) < 92
+    assert [f[2] for f in salvage(many[:-20])][-1] == "gzip member without end"
+
+
+def test_warc_files_by_size(spark, tmp_path):
+    from tessera.llm.warc import page_number, read_warc, write_warc
+
+    rows = [(i, f"http://h/{i}", "x" * n + str(i)) for i, n in enumerate([10] * 30 + [40_000] * 130 + [2_000_000] * 6 + [17_000_000])]
+    write_warc(spark.createDataFrame(rows, PAGES).coalesce(1), str(tmp_path / "w"))
+    files = sorted(f.stat().st_size for f in (tmp_path / "w").glob("part*"))
+    assert len(files) == 7 and files[-1] < 20_000_000
+    got = {r.page: r.payload_bytes for r in read_warc(spark, str(tmp_path / "w"), with_payload=False).select(page_number().alias("page"), "payload_bytes").collect()}
+    assert got == {i: len(h) for i, _, h in rows}
+
+
 # Quality
 
 def test_quality_statistics(spark, sf):
@@ -180,6 +236,72 @@ def test_html_head_without_end():
         assert (Page(whole).tag, Page(whole).parent) == (Page(without).tag, Page(without).parent)
 
 
+ARTICLE = "<html><body><nav><a href=/>Home</a></nav><article><h1>Title of it</h1><p>Some text of the page that is long enough, %s and it goes on for a while, as texts do.</p><p>More of the same text here, it is long.</p></article></body></html>"
+
+
+@pytest.mark.parametrize(
+    ("given", "want"),
+    [
+        ("<![foo bar]]>", ""), ("a<![if x]>b<![endif]-->c", "abc"), ("<!-- x -->", ""), ("<!bogus>y", "y"), ("<?pi?>z", "z"), ("<span class='ad sponsor'>Buy now</span>", ""), ("<a class='ad advert'>Buy this</a>", ""),
+        ("<b>bold words</b>", "bold words"), ("<a href='/x'>link</a>", "link"), ("So <math><mi>x</mi>=2</math> holds", "So x=2 holds"), ("<svg><text>label</text></svg>", "label"), ("1 < 2 & 3 &lt; 4 &#233;\u00a0", "1 < 2 & 3 < 4 é"),
+        ("</i></b></x>", ""), ("<math><annotation>\\x</annotation><mn>3</mn></math>", "3"), ("<![CDATA[gone]]>", ""),
+    ],
+)
+def test_html_odd_markup(given, want):
+    from tessera.llm.html import extracted, fitted_model
+
+    got = extracted([ARTICLE % given], fitted_model())[0].split("\n")
+    assert got == ["Title of it", re.sub(r"\s+", " ", f"Some text of the page that is long enough, {want} and it goes on for a while, as texts do."), "More of the same text here, it is long."]
+
+
+def test_html_pages_of_other_make():
+    """Hand-written layouts that the generator does not make."""
+    from tessera.llm.html import extracted, fitted_model
+
+    text = ["The council met on Tuesday to talk about the bridge, which has been closed since May.", "Work is to begin in autumn, the mayor said, and to last for two years at least.", "A ferry will run until then, every half hour, and free of charge for all."]
+    paras = "".join(f"<p>{t}</p>" for t in text)
+    pages = [
+        f"<body><table width=100%><tr><td><ul class=menu><li><a href=/a>Home</a><li><a href=/b>News</a><li><a href=/c>Sport</a></ul></td><td>{paras}</td></tr></table><div id=footer>Copyright 2020</div></body>",
+        f"<body><div class='navbar'><a href=/>Home</a> <a href=/n>News</a></div><main><div class='story'><h2>A bridge</h2>{paras}</div></main><div class='newsletter subscribe'><form>Mail <input></form></div></body>",
+        f"<!doctype html><html lang=en><body><header class='site-header'><h1>The Daily</h1></header><div class='layout'><section class='content'>{paras}</section><aside class='sidebar'><p>Most read today</p></aside></div><section class='comments-area'><p>First!</p></section>",
+    ]
+    for k, got in enumerate(extracted(pages, fitted_model())):
+        assert got.split("\n")[-3:] == text and len(got.split("\n")) == (4 if k == 1 else 3)
+
+
+def test_html_unclosed_comment_and_deep_pages():
+    import time
+
+    from tessera.llm.html import Features, Page, extracted, features, fitted_model
+
+    whole = ARTICLE % "x"
+    assert extracted([whole.replace("</body>", "<!-- open <p>secret words that are long enough to read.")], fitted_model()) == extracted([whole], fitted_model())
+    began = time.time()
+    for n in (100_000,):
+        Page("<b>" * n + "</i>" * n)
+        Page("<i><p>" + "<b>" * n + "</i>" * n)
+        Page("<div>" * n + "<li>" * n + "</ul>" * n)
+    assert time.time() - began < 60
+    f = Features(Page(whole))
+    assert (f.rows(2, 5) == features(Page(whole))[2:5]).all()
+
+
+def test_html_fuzz(spark, sf):
+    from tessera.llm.html import Page, extract_main_text
+
+    rng, base = random.Random(9), [r.html for r in spark.read.parquet(f"{sf}/pages.parquet").limit(100).collect() if r.html]
+    junk = ["<![", "<!", "]]>", "<!--", "-->", "</", "<", "&#", "&", "&#xD800;", "<?", "<![CDATA[", "<script>", "</script>", "<a <b", "='", '"', "\0", "<p/>", "</p/>", "<![if"]
+    pages = []
+    for k in range(10_000):
+        h = base[k % len(base)][:2500]
+        for _ in range(rng.randint(1, 4)):
+            at = rng.randrange(len(h) + 1)
+            h = h[:at] + rng.choice(junk) + h[at + rng.randrange(3) :]
+        Page(h)
+        pages.append((k, "u", h))
+    assert extract_main_text(spark.createDataFrame(pages[:600], PAGES)).where("n_chars = length(text)").count() == 600
+
+
 def test_html_query(spark, sf):
     from tessera.llm.html import extract_main_text
 
