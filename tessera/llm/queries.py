@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from .licenses import oracle_sql as licenses_sql
 from .mixing import ORACLE as mixing_sql
-
-#: The key of the surrogates; a parameter of the operator, fixed here so that reruns agree.
-PII_KEY = "tessera"
+from .pii import TEST_KEY as PII_KEY  # noqa: F401
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,9 +57,9 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .pii import replace_personal_data
+    from .pii import pii_key, replace_personal_data
 
-    return replace_personal_data(_table(spark, sf_dir, "documents").select("doc_id", "text"), key=PII_KEY)
+    return replace_personal_data(_table(spark, sf_dir, "documents").select("doc_id", "text"), key=pii_key(spark))
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,9 @@ scaled by its naive Bayes log-count ratio, and logistic regression with an L2
 penalty is fitted on the scaled features.  The model is linear in words, so a
 word's contribution is computed once for a chunk of texts.
 
-The fit uses at most ``MAX_TRAIN`` labelled texts (those with the smallest hash
-of their id); every text is scored, whole.
+The fit uses at most ``MAX_TRAIN`` labelled texts and ``MAX_BYTES`` of their
+distinct words (those with the smallest hash of their id); every text is
+scored, whole.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .storage import drop_columns_clashing
+from .storage import drop_columns_clashing, written
 from .textkit import LOWER_ALNUM, Words, chunks, mix
 
-MAX_TRAIN = 5_000
+MAX_TRAIN, MAX_BYTES = 5_000, 64_000_000
 DIMENSIONS = 2**19
 SIZES = (3, 4, 5, 6)
 U = np.uint64
@@ -165,12 +166,30 @@ def _words_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), batch.column(1), batch.column(2)], names=["words", "label", "doc_id"])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN) -> ToxicityModel:
-    """Fit on at most ``max_train`` labelled rows.  Rows with a null id or label are left out."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN, max_bytes: int = MAX_BYTES) -> ToxicityModel:
+    """Fit on at most ``max_train`` labelled ids and ``max_bytes`` of distinct words.
+
+    Ids are taken in the order of their hash; texts go on being taken until the
+    bytes are spent (the first one always counts).  Rows with a null id or
+    label are left out; of several labels of an id the greatest counts; several
+    rows of a labelled id all count.  Null and empty texts count as texts
+    without words.  Without labels, or with one class only, the model is an
+    intercept.  Other columns are ignored.
+    """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(max_train)
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
-    got = rows.select("_text", "_label", "_id").mapInArrow(_words_only, "words binary, label int, doc_id long").collect()
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text")).join(F.broadcast(chosen), "_id")
+    rows = written(rows.select("_text", "_label", "_id").mapInArrow(_words_only, "words binary, label int, doc_id long").withColumn("turn", F.xxhash64("doc_id")))
+    # Bounded by max_train ids with, as a rule, one row each; sizes first, then the words that fit.
+    each = rows.groupBy("turn", "doc_id").agg(F.sum(F.octet_length("words")).alias("bytes")).collect()
+    spent, last = 0, None
+    for r in sorted(each, key=lambda r: (r.turn, r.doc_id)):
+        if last is not None and spent + r.bytes > max_bytes:
+            break
+        spent, last = spent + r.bytes, (r.turn, r.doc_id)
+    if last is None:
+        return ToxicityModel([], np.empty(0))
+    got = rows.where((F.col("turn") < last[0]) | ((F.col("turn") == last[0]) & (F.col("doc_id") <= last[1]))).collect()
     got.sort(key=lambda r: (r.doc_id, bytes(r.words)))
     return ToxicityModel([bytes(r.words) for r in got], np.array([r.label for r in got]))
 
@@ -179,17 +198,21 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
     """``docs`` with score (0 to 1) and predicted (1 if score >= threshold, else 0).
 
     Null and empty texts get the score of the intercept.  Equal texts get
-    equal scores.  Columns with these two names give way.
+    equal scores, and repeated rows and ids are scored each by its own text.
+    Columns with these two names give way; an empty table gives an empty one.
     """
     kept = drop_columns_clashing(docs.select(*keep) if keep else docs, "score", "predicted")
     names = kept.columns
     given = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)], F.col(f"`{text_col}`").alias("_text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # Only arrays are broadcast: their reader needs no module of this package.
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted = ToxicityModel.__new__(ToxicityModel)
+        vars(fitted).update(shared.value)
         for batch in batches:
             texts = [t or b"" for t in batch.column(len(names)).cast(pa.binary()).to_pylist()]
-            score = np.concatenate([shared.value.scores(texts[a:b]) for a, b in chunks(texts, 4_000_000)]) if texts else np.empty(0)
+            score = np.concatenate([fitted.scores(texts[a:b]) for a, b in chunks(texts, 4_000_000)]) if texts else np.empty(0)
             more = [pa.array(score), pa.array((score >= threshold).astype(np.int32))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *more], names=[*(f"_{i}" for i in range(len(names))), "score", "predicted"])
 
