@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .licenses import oracle_sql as licenses_sql
+from .linkgraph import oracle_sql as urls_sql
 from .mixing import ORACLE as mixing_sql
 from .pii import TEST_KEY as PII_KEY  # noqa: F401
 
@@ -108,4 +109,5 @@ FROM f
 """,
     "op4_license_scans": licenses_sql(),
     "op6_mixing": mixing_sql,
+    "op8_url_filters": urls_sql(),
 }
