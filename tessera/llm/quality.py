@@ -4,7 +4,9 @@ Nine rules look at statistics of the whole text and vote good, bad or abstain.
 Expectation-maximisation over the counts of all vote patterns (at most 3^9,
 summed over every document) estimates how often each rule is right, without
 labels; a document's posterior probability of being good decides, where usual
-filters would ask that all rules pass.  Two reads of the text, no shuffle of it.
+filters would ask that all rules pass.  The text is read and counted once: the
+counts and the pattern of each row are written to the shared folder, the fit
+and the verdicts read them from there.  No shuffle of the text.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-from .storage import drop_columns_clashing
+from .storage import drop_columns_clashing, written
 from .textkit import KEEP_CASE, Words, chunks, grams, slices, spans
 
 RULES = ("length", "word_length", "symbols", "repeated_lines", "repeated_words", "capitals", "function_words", "line_ends", "marks")
@@ -150,21 +152,36 @@ class VoteModel:
 
 def fit_votes(docs: DataFrame, text_col: str = "text") -> VoteModel:
     """EM over the vote patterns of every row (nulls count as empty texts; an empty table leaves the prior)."""
+    return _fitted(_counted(docs, [], text_col))
+
+
+def _fitted(counted: DataFrame) -> VoteModel:
+    rows = counted.groupBy("code").agg(F.count("*").alias("many")).collect()  # at most 3^9 rows
+    return VoteModel({r.code: r.many for r in rows})
+
+
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def _counted(docs: DataFrame, names: list[str], text_col: str) -> DataFrame:
+    """Columns ``_0`` and so on of ``names``, the counts, and the code of the votes, for each row."""
+    given = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)], F.col(f"`{text_col}`").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
         for batch in (part for whole in batches for part in slices(whole)):
-            texts = [t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()]
+            texts = [t or b"" for t in batch.column(len(names)).cast(pa.binary()).to_pylist()]
             for a, b in chunks(texts):
-                seen.update(_codes(votes(text_statistics(texts[a:b]))).tolist())
-        yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.int64()), pa.array(seen.values(), pa.int64())], names=["code", "many"])
+                s = text_statistics(texts[a:b])
+                part = batch.slice(a, b - a).select(list(range(len(names))))
+                more = [*(pa.array(s[c].astype(np.int64)) for c in COUNTS), pa.array(_codes(votes(s)))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*part.schema.names, *COUNTS, "code"])
 
-    rows = docs.select(text_col).mapInArrow(run, "code long, many long").groupBy("code").agg(F.sum("many").alias("many")).collect()
-    return VoteModel({r.code: r.many for r in rows})
+    fields = [StructField(f"_{i}", docs.schema[c].dataType) for i, c in enumerate(names)]
+    return given.mapInArrow(run, StructType([*fields, *(StructField(c, LongType()) for c in COUNTS), StructField("code", LongType())]))
 
 
 ADDED = [
-    *(StructField(c, LongType()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
+    *(StructField(c, LongType()) for c in COUNTS),
     StructField("base_failed", BooleanType()),
     StructField("kept", BooleanType()),
     StructField("quality_probability", DoubleType()),
@@ -178,28 +195,16 @@ def judge_quality(docs: DataFrame, text_col: str = "text", threshold: float = 0.
     repeated three-word windows.  kept: base passed and posterior at least
     ``threshold``.  Null texts have no words and fail.  Equal rows are judged
     alike.  Columns with names of added ones give way.  ``keep`` names the
-    columns to keep; ``only_kept`` returns the input columns of kept rows.
+    columns to keep; ``only_kept`` returns the input columns of kept rows.  An
+    empty table gives an empty one.
     """
-    model = model or fit_votes(docs, text_col)
-    kept = docs if only_kept else drop_columns_clashing(docs.select(*keep) if keep else docs, *[f.name for f in ADDED])
-    names = kept.columns
-    given = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)], F.col(f"`{text_col}`").alias("_text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole)):
-            texts = [t or b"" for t in batch.column(len(names)).cast(pa.binary()).to_pylist()]
-            for a, b in chunks(texts):
-                s = text_statistics(texts[a:b])
-                p = model.probability(votes(s))
-                failed = (s["n_words"] < 50) | (100 * s["n_repeat_words"] > 50 * s["n_words"])
-                good = ~failed & (p >= threshold)
-                part = batch.slice(a, b - a).select(list(range(len(names))))
-                if only_kept:
-                    yield part.filter(pa.array(good))
-                else:
-                    more = [pa.array(s[f.name].astype(np.int64)) for f in ADDED[:5]] + [pa.array(failed), pa.array(good), pa.array(p)]
-                    yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*part.schema.names, *(f.name for f in ADDED)])
-
-    fields = [StructField(f"_{i}", kept.schema[i].dataType) for i in range(len(names))]
-    out = given.mapInArrow(run, StructType(fields + ([] if only_kept else ADDED)))
-    return out.withColumnsRenamed({f"_{i}": c for i, c in enumerate(names)})
+    names = (docs if only_kept else drop_columns_clashing(docs.select(*keep) if keep else docs, *[f.name for f in ADDED])).columns
+    counted = written(_counted(docs, names, text_col))
+    model = model or _fitted(counted)
+    # A row's posterior hangs on its pattern only: the verdict on each pattern is a constant of the plan.
+    codes = [r.code for r in counted.select("code").distinct().collect()]  # at most 3^9 rows
+    table = counted.sparkSession.createDataFrame(list(zip(codes, map(float, model.probability(_of_code(np.array(codes, np.int64)))), strict=True)), "code long, quality_probability double")
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    judged = counted.join(F.broadcast(table), "code").withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("quality_probability") >= threshold))
+    own = [F.col(f"_{i}").alias(c) for i, c in enumerate(names)]
+    return judged.where("kept").select(*own) if only_kept else judged.select(*own, *[f.name for f in ADDED])
