@@ -7,7 +7,10 @@ positions sampled every ``SAMPLE`` words of text.  Benchmark phrases are found
 by backward search over wavelet ranks, located by walking back to a sampled
 position, and merged into spans of words.  Longer texts are indexed in pieces
 that overlap by one word less than a window, so memory is bounded by the
-shard.  The benchmark is the query set: it is sent as word hashes, in blocks.
+shard.  The benchmark is the query set: its windows are sent as word hashes in
+blocks of ``BLOCK_WINDOWS``, each a broadcast of its own.  The driver makes one
+block at a time, and a task holds one at a time where there are several; a
+larger benchmark costs more blocks on executors' disks, not more memory.
 There is no shuffle.
 """
 
@@ -137,22 +140,37 @@ def suffix_order(text: np.ndarray, symbols: int) -> np.ndarray:
     return order
 
 
-def _window_blocks(items: list[tuple], window: int) -> list[dict[int, tuple[np.ndarray, list[list]]]]:
-    """Blocks of distinct windows: for each length their word hashes and the items of each."""
-    blocks, now, held = [], defaultdict(lambda: defaultdict(set)), 0
-    texts = [(t or "").encode() for _, t in items]
-    w = Words(texts, LOWER_ALNUM) if texts else None
-    for i, (item, _) in enumerate(items):
-        h = w.hash[w.first[i] : w.first[i + 1]]
+def _window_blocks(items: Iterator[tuple], window: int, most: int) -> Iterator[dict[int, tuple[np.ndarray, list[list]]]]:
+    """Blocks of about ``most`` windows, distinct inside a block: for each length their word hashes and the items of each."""
+    now, held = defaultdict(lambda: defaultdict(set)), 0
+
+    def packed(block):
+        return {size: (np.frombuffer(b"".join(of), U).reshape(-1, size), [list(x) for x in of.values()]) for size, of in block.items()}
+
+    for item, text in items:
+        h = Words([(text or "").encode()], LOWER_ALNUM).hash
         size = min(window, len(h))
         for k in range(len(h) - size + 1) if size else ():
             now[size][h[k : k + size].tobytes()].add(item)
             held += 1
-        if held >= BLOCK_WINDOWS:
-            blocks.append(now)
-            now, held = defaultdict(lambda: defaultdict(set)), 0
-    blocks.append(now)
-    return [{size: (np.frombuffer(b"".join(of), U).reshape(-1, size), [list(x) for x in of.values()]) for size, of in b.items()} for b in blocks if b]
+            if held >= most:
+                yield packed(now)
+                now, held = defaultdict(lambda: defaultdict(set)), 0
+    if held:
+        yield packed(now)
+
+
+class _Blocks:
+    """Broadcast blocks in turn; with more than one, each is let go before the next is read."""
+
+    def __init__(self, blocks: list):
+        self.blocks = blocks
+
+    def __iter__(self):
+        for block in self.blocks:
+            yield block.value
+            if len(self.blocks) > 1 and hasattr(block, "_value"):
+                del block._value
 
 
 def _pieces(count: np.ndarray, window: int) -> Iterator[list[tuple[int, int, int]]]:
@@ -227,7 +245,9 @@ FOUND = [
 ]
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, num: int = 1, den: int = 20, keep: list[str] | None = None, only_clean: bool = False) -> DataFrame:
+def find_contamination(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, num: int = 1, den: int = 20, keep: list[str] | None = None, only_clean: bool = False, block_windows: int = BLOCK_WINDOWS
+) -> DataFrame:
     """``docs`` with what a benchmark leaves in each text.
 
     Adds n_words, n_hit (words inside any occurrence of a window), n_items,
@@ -239,15 +259,16 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     equal rows are judged alike; an item without words has no window; items
     with a null id count by the text "null".  An empty benchmark finds nothing.
     """
-    items = [(r[0], r[1]) for r in benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")), F.col(item_text_col)).toLocalIterator()]
-    blocks = docs.sparkSession.sparkContext.broadcast(_window_blocks(items, window))
+    context = docs.sparkSession.sparkContext
+    items = ((r[0], r[1]) for r in benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")), F.col(item_text_col)).toLocalIterator())
+    blocks = [context.broadcast(block) for block in _window_blocks(items, window, block_windows)]
     kept = docs if only_clean else drop_columns_clashing(docs.select(*keep) if keep else docs, *[f.name for f in FOUND])
     names = kept.columns
     given = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)], F.col(f"`{text_col}`").alias("_text"))
     at = len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = blocks.value
+        known = _Blocks(blocks)
         for batch in (part for whole in batches for part in slices(whole)):
             texts = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
             begin = 0
