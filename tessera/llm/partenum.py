@@ -24,7 +24,8 @@ than a set share of the documents are marked in a bit map of fixed size and
 partitioned apart, after all others in the order of emission.  The marking is
 one function for all documents, so it changes the cost and never the result.
 
-*Scale.*  Signatures are sent packed, by ranges of their value.  The sets that
+*Scale.*  Signatures are sent packed, by ranges of their value, and beyond
+``COARSE`` ranges in two steps, so that packed rows stay long.  The sets that
 share a signature make a bucket.  A small bucket gives all its pairs, and a
 pair goes on only if the odd sketches of its two sets (parities of element
 counts by hash) differ in no more places than d, which no similar pair does.
@@ -47,6 +48,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .components import connected_components
 from .storage import written
@@ -67,6 +69,10 @@ FREQUENT, _RUN = 0.0003, 16_000
 SMALL = 16
 #: Bits of the map of frequent elements.
 _MAP = 2**24
+#: Ranges of signatures up to which they are dealt at once; beyond, in two steps, so that packed rows stay long.
+COARSE = 2_048
+#: A set with more copies than this share of all rows (and this many) is joined by broadcast: at most HOT such sets.
+HOT, LEAST_HOT = 10_000, 64
 U = np.uint64
 
 
@@ -263,11 +269,12 @@ def frequent_map(rows: DataFrame, n: int, share: float = FREQUENT) -> np.ndarray
     """Flags, by remainder, of elements in at least ``share`` of the documents (an estimate that only steers cost)."""
     total = rows.count()
     met = rows.select("text").mapInArrow(_frequent(n), "element long, many long").groupBy("element").agg(F.sum("many").alias("many"))
-    bits = np.zeros(_MAP, bool)
-    # Packed by the map's own remainders: the driver gets no more rows than the map has flags.
-    for r in met.where(F.col("many") >= max(6, share * total)).select(F.expr(f"element & {_MAP - 1}").alias("r")).distinct().toLocalIterator():
-        bits[r.r] = True
-    return np.packbits(bits)
+    often = met.where(F.col("many") >= max(6, share * total)).select(F.expr(f"element & {_MAP - 1}").alias("r"))
+    # Flags are or-ed into words of 32 in Spark: at most _MAP / 32 rows reach the driver, however many elements are frequent.
+    words = often.groupBy(F.expr("r div 32").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(r % 32 as int)))").alias("bits")).toArrow()
+    flags = np.zeros(_MAP // 32, np.uint32)
+    flags[words["w"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
+    return np.packbits(np.unpackbits(flags.view(np.uint8), bitorder="little"))
 
 
 _PACKED = "p int, kind int, x binary, y binary, z binary, sketches array<binary>"
@@ -329,6 +336,53 @@ def _packed(n: int, num: int, den: int, parts: int, frequent):
     return run
 
 
+def _split(fine: int):
+    """mapInArrow function: packed rows with each range cut into ``fine`` ones by the upper 32 of a signature's 48 bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+        size, turn = 0, 0
+
+        def flushed(schema):
+            rows = []
+            for (p, kind), parts in held.items():
+                sig, node = (np.concatenate(x) for x in zip(*parts, strict=True))
+                to = ((sig >> U(16)) * U(fine)) >> U(32)
+                order = np.argsort(to, kind="stable")
+                sig, node, to = sig[order], node[order], to[order]
+                begin = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+                for a, b in zip(begin, np.append(begin[1:], len(to)), strict=True):
+                    table, which = np.unique(node[a:b], return_inverse=True)
+                    rows.append((p * fine + int(to[a]), kind, _six(sig[a:b]), which.astype(np.uint16 if len(table) < 2**16 else np.uint32).tobytes(), table.tobytes(), []))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+        schema = None
+        for batch in batches:
+            schema, kinds, rest = batch.schema, batch.column(1).to_pylist(), []
+            for i, kind in enumerate(kinds):
+                p = batch.column(0)[i].as_py()
+                if kind in (_SIG, _MERGED):
+                    x, y, z = (batch.column(c)[i].as_py() for c in (2, 3, 4))
+                    sig = _from_six(x)
+                    held.setdefault((p, kind), []).append((sig, np.frombuffer(z, np.int64)[np.frombuffer(y, np.uint16 if 3 * len(y) == len(x) else np.uint32)]))
+                    size += len(sig)
+                    if size >= _FLUSH:
+                        yield flushed(schema)
+                        size = 0
+                else:
+                    turn += 1
+                    rest.append((i, p * fine + turn % fine))
+            if rest:
+                at = pa.array([i for i, _ in rest], pa.int64())
+                part = batch.take(at)
+                yield pa.RecordBatch.from_arrays([pa.array([p for _, p in rest], pa.int32()), *part.columns[1:]], schema=schema)
+        if size:
+            yield flushed(schema)
+
+    return run
+
+
 def _stars(pairs: np.ndarray) -> np.ndarray:
     """The components of some links as stars: (least node, other)."""
     if not len(pairs):
@@ -548,26 +602,33 @@ def _links_of_small(sets: DataFrame, num: int, den: int) -> DataFrame:
     return sets.select("comp", "node", "elements").repartition("comp").sortWithinPartitions("comp", "node").mapInArrow(_resolved(num, den, 1), "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 75, den: int = 100, limit: tuple[int, int] = (LIMIT_ELEMENTS, LIMIT_SETS), broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 75, den: int = 100, **how) -> DataFrame:
     """Components of documents joined at Jaccard similarity ``num/den``.
 
     Returns ``(doc_id, n_shingles, component_id)``, one row for each row of
     ``docs``; component_id is the smallest id reachable by links.  Null and
     empty texts have no shingles and are linked with nothing.  A null id is
     allowed: it never becomes a component id unless all ids of its component
-    are null.  Rows with equal ids are judged each by its own text.  Other
-    columns are ignored.
+    are null.  Rows with equal ids are judged each by its own text.  An empty
+    table gives an empty one.  Other columns are ignored.
     """
+    return _components(docs, id_col, text_col, n, num, den, **how).select("doc_id", "n_shingles", "component_id")
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, n: int = 5, num: int = 75, den: int = 100, limit: tuple[int, int] = (LIMIT_ELEMENTS, LIMIT_SETS), broadcast_ids: int = BROADCAST_IDS, coarse: int = COARSE) -> DataFrame:
+    """``jaccard_components`` with the digest of each row's set (node) and of its component (root)."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # About 0.11 signatures a byte; a range of a million takes some 50 MB in its task.
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), round(size * 0.11 / 1_000_000), 1)
     often = spark.sparkContext.broadcast(frequent_map(rows, n))
-    packed = rows.mapInArrow(_packed(n, num, den, parts, often), _PACKED)
+    packed = rows.mapInArrow(_packed(n, num, den, min(parts, coarse), often), _PACKED)
+    if parts > coarse:
+        packed = written(packed.repartition(coarse, "p")).mapInArrow(_split(-(-parts // coarse)), _PACKED)
     found = written(packed.groupBy("p").applyInArrow(_matched, _FOUND))
     members = found.where(f"kind = {_DOC}").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), F.col("size").alias("n_shingles"), "sketch")
-    nodes = members.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("size"), F.any_value("sketch").alias("sketch"))
+    nodes = members.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("size"), F.any_value("sketch").alias("sketch"), F.count("*").alias("copies"))
     members = members.drop("sketch")
     pairs = found.where(f"kind = {_PAIR}").select("a", "b").distinct()
     for end in ("a", "b"):
@@ -596,11 +657,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             links = links.union(more)
         groups = written(connected_components(links))
     least = groups.join(nodes, "node").groupBy("root").agg(F.min("least").alias("component_id"))
-    of_node = groups.join(least, "root").select("node", "component_id")
-    return (
-        members.join(nodes.drop("size"), "node", "left").join(of_node, "node", "left")
-        .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "least")).otherwise(F.col("doc_id")).alias("component_id"))
-    )
+    of_node = groups.join(least, "root").select("node", "root", "component_id")
+    found_of = written(nodes.join(of_node, "node", "left").select("node", "copies", F.coalesce("root", "node").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id")))
+    # Sets with very many copies would each be one task of a shuffled join; there are at most HOT of them.
+    most = max(LEAST_HOT, (found_of.agg(F.sum("copies")).first()[0] or 0) // HOT)
+    hot = F.broadcast(found_of.where(F.col("copies") > most).select("node", F.lit(True).alias("hot"), "root", "component_id"))
+    marked = members.join(hot, "node", "left")
+    rest = marked.where("hot is null").drop("hot", "root", "component_id").join(found_of.where(F.col("copies") <= most).drop("copies"), "node", "left")
+    columns = ["doc_id", "node", "n_shingles", "root", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")]
+    return marked.where("hot").select(*columns).union(rest.select(*columns))
 
 
 def _repeats(members: DataFrame) -> bool:
@@ -608,18 +673,44 @@ def _repeats(members: DataFrame) -> bool:
     return not members.groupBy("doc_id").count().where("count > 1").isEmpty()
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_ids: int = BROADCAST_IDS, **how) -> DataFrame:
+def _with_node(n: int, fields: int):
+    """mapInArrow function: rows whose last column is the text, with the digest of its set in its place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole)):
+            texts = [t or b"" for t in batch.column(fields).cast(pa.binary()).to_pylist()]
+            for a, b in chunks(texts, _CHUNK):
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*part.columns[:fields], pa.array(digests(*shingle_sets(texts[a:b], n)))], names=[*part.schema.names[:fields], "_node"])
+
+    return run
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_ids: int = BROADCAST_IDS, n: int = 5, **how) -> DataFrame:
     """``docs`` with one document of each component: that with the smallest id.
 
-    Of several rows with that id one stays.  Documents without words stay.
+    Documents without words stay.  Null ids count as greater than all others.
+    Of rows with one id only that whose text is in the component goes with it;
+    of several rows of the smallest id in a component, and of rows in a
+    component without any id, one with the smallest digest of its set stays.
     """
-    groups = written(jaccard_components(docs, id_col, text_col, **how))
-    gone = groups.where("n_shingles > 0 and doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = written(gone)
-    side = F.broadcast(gone) if gone.count() <= broadcast_ids else gone
-    kept = docs.join(side, docs[id_col] == side["_gone"], "left_anti")
-    again = written(groups.where("n_shingles > 0 and doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")))
-    if again.isEmpty():
-        return kept
-    once = kept.join(again, kept[id_col] == again["_again"], "left_semi").dropDuplicates([id_col])
-    return kept.join(again, kept[id_col] == again["_again"], "left_anti").unionByName(once)
+    groups = written(_components(docs, id_col, text_col, n=n, **how))
+    some = groups.where("n_shingles > 0")
+    side = lambda ids: F.broadcast(ids) if ids.count() <= broadcast_ids else ids
+    odd = written(groups.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("_odd")))
+    of_id = F.col(f"`{id_col}`").cast("long")
+    gone = written(some.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct())
+    if odd.isEmpty():
+        return docs.join(side(gone), of_id == F.col("_gone"), "left_anti")
+    odd = side(odd)
+    plain = docs.join(odd, of_id.eqNullSafe(F.col("_odd")), "left_anti")
+    plain = plain.join(side(gone), of_id == F.col("_gone"), "left_anti")
+    # Rows with a null or repeated id are told apart by their sets.
+    names = docs.columns
+    rows = docs.join(odd, of_id.eqNullSafe(F.col("_odd")), "left_semi").select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)], F.col(f"`{text_col}`").alias("_text"))
+    schema = StructType([*(StructField(f"_{i}", docs.schema[i].dataType) for i in range(len(names))), StructField("_node", LongType())])
+    rows = rows.mapInArrow(_with_node(n, len(names)), schema).withColumn("_id", F.col(f"_{names.index(id_col)}").cast("long"))
+    keepers = some.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("k")).select("k.doc_id", "k.node")
+    empty = rows.where("_node = 0")
+    kept = rows.where("_node != 0").join(keepers, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_node") == F.col("node")), "left_semi").dropDuplicates(["_id", "_node"])
+    return plain.union(empty.union(kept).select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(names)]))

@@ -78,7 +78,7 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fmindex import find_contamination
 
-    return find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), keep=["doc_id"]).drop("removal_spans")
 
 
 QUERIES = {
@@ -110,4 +110,34 @@ FROM f
     "op4_license_scans": licenses_sql(),
     "op6_mixing": mixing_sql,
     "op8_url_filters": urls_sql(),
+    "op9_ngram_jaccard_join": r"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT r, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i : i + 4], ' ')))) AS x FROM d WHERE len(w) > 0),
+n AS MATERIALIZED (SELECT r, count(*) AS n FROM s GROUP BY r),
+same AS MATERIALIZED (SELECT r, min(r) OVER (PARTITION BY k) AS g FROM (SELECT r, md5(array_to_string(list_sort(list(x)), chr(10))) AS k FROM s GROUP BY r)),
+f AS MATERIALIZED (SELECT s.r, x, n FROM s JOIN same ON s.r = same.r AND s.r = same.g JOIN n ON n.r = s.r),
+p AS MATERIALIZED (
+  SELECT a.r AS a, b.r AS b FROM f a JOIN f b ON a.x = b.x AND a.r < b.r AND 100 * a.n >= 75 * b.n AND 100 * b.n >= 75 * a.n
+  GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+e AS MATERIALIZED (SELECT a, b FROM p UNION ALL SELECT b, a FROM p UNION ALL SELECT g, r FROM same UNION ALL SELECT r, g FROM same),
+reach AS (SELECT r AS a, r AS b FROM same UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+least AS (SELECT reach.a AS r, min(doc_id) AS c FROM reach JOIN d ON d.r = reach.b GROUP BY reach.a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, CASE WHEN n IS NULL THEN d.doc_id ELSE c END AS component_id FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN least ON least.r = d.r
+""",
+    "op10_benchmark_decontamination": r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+k AS (SELECT item, w, least(13, len(w)) AS size FROM i WHERE len(w) > 0),
+win AS MATERIALIZED (SELECT DISTINCT item, size, array_to_string(w[pos : pos + size - 1], ' ') AS x FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS pos FROM k)),
+z AS (SELECT DISTINCT size FROM win),
+o AS (SELECT r, size, pos, array_to_string(w[pos : pos + size - 1], ' ') AS x FROM (SELECT d.r, d.w, z.size, unnest(range(1, len(d.w) - z.size + 2)) AS pos FROM d, z WHERE len(d.w) >= z.size)),
+hit AS MATERIALIZED (SELECT o.r, o.size, o.pos, win.item FROM o JOIN win ON o.size = win.size AND o.x = win.x),
+words AS (SELECT r, count(DISTINCT pos) AS n FROM (SELECT r, unnest(range(pos, pos + size)) AS pos FROM (SELECT DISTINCT r, size, pos FROM hit)) GROUP BY r),
+items AS (SELECT r, count(DISTINCT item) AS n, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM hit GROUP BY r)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(words.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+       coalesce(words.n, 0) > 0 AND 20 * coalesce(words.n, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN words ON words.r = d.r LEFT JOIN items ON items.r = d.r
+""",
 }

@@ -198,6 +198,44 @@ def test_quality_odd(spark):
     assert judge_quality(docs, only_kept=True).columns == docs.columns
 
 
+def test_quality_twin(spark, sf):
+    """Posterior and verdict of every document against expectation-maximisation in plain Python over single documents."""
+    import math
+
+    import numpy as np
+
+    from tessera.llm.quality import RULES, judge_quality, text_statistics, votes
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: (r.text or "") for r in docs.collect()}
+    v = {i: votes(text_statistics([t.encode()]))[0].tolist() for i, t in texts.items()}
+    prior, right = 0.7, [[0.8] * len(RULES), [0.8] * len(RULES)]
+
+    def posterior(row):
+        odds = [math.log(1 - prior), math.log(prior)]
+        for vote, r0, r1 in zip(row, *right, strict=True):
+            odds[1] += math.log(r1) if vote == 1 else math.log(1 - r1) if vote == -1 else 0
+            odds[0] += math.log(r0) if vote == -1 else math.log(1 - r0) if vote == 1 else 0
+        return 1 / (1 + math.exp(min(700, odds[0] - odds[1])))
+
+    for _ in range(500):
+        p = {i: posterior(row) for i, row in v.items()}
+        before, prior = prior, (sum(p.values()) + 14) / (len(p) + 20)
+        new = [[], []]
+        for k in range(len(RULES)):
+            good = [sum(p[i] for i in v if v[i][k] == x) for x in (1, -1)]
+            bad = [sum(1 - p[i] for i in v if v[i][k] == x) for x in (1, -1)]
+            new[1].append((good[0] + 16) / (sum(good) + 20))
+            new[0].append((bad[1] + 16) / (sum(bad) + 20))
+        old, right = right, np.clip(new, 0.55, 0.995).tolist()
+        if abs(before - prior) + max(abs(a - b) for x, y in zip(old, right, strict=True) for a, b in zip(x, y, strict=True)) < 1e-9:
+            break
+    for r in judge_quality(docs, keep=["doc_id"]).collect():
+        failed = r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words
+        assert abs(r.quality_probability - posterior(v[r.doc_id])) < 1e-6
+        assert r.base_failed == failed and r.kept == (not failed and r.quality_probability >= 0.5)
+
+
 # HTML
 
 def test_html_extraction():
@@ -849,15 +887,21 @@ def near_texts(rng):
     return texts
 
 
-@pytest.mark.parametrize(("limit", "ids"), [((6_000_000, 20_000), 4_000_000), ((400, 4), 0)])
-def test_near_duplicates(spark, limit, ids):
+@pytest.mark.parametrize(("limit", "ids", "coarse"), [((6_000_000, 20_000), 4_000_000, 2_048), ((400, 4), 0, 3)])
+def test_near_duplicates(spark, limit, ids, coarse, monkeypatch):
+    """Exact against brute force, also with small components resolved by pivots, ranges cut in two steps and copies joined by broadcast."""
+    from tessera.llm import partenum
     from tessera.llm.partenum import jaccard_components
 
+    if coarse == 3:
+        monkeypatch.setattr(partenum, "LEAST_HOT", 2)
+        monkeypatch.setattr(partenum, "HOT", 10**6)
+
     rng = random.Random(limit[1])
     texts = near_texts(rng)
     rows = [*enumerate(texts), (5, texts[40]), (5, texts[41]), (None, texts[12]), (None, words(rng, 30))]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("component_id", F.lit("clash")).repartition(3)
-    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(docs, limit=limit, broadcast_ids=ids).collect())
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(docs, limit=limit, broadcast_ids=ids, coarse=coarse).collect())
     assert got == brute_components(rows)
 
 
@@ -869,6 +913,12 @@ def test_near_duplicates_keep_one(spark):
     rows = [(4, base), (2, base + " z"), (2, base + " z"), (9, words(rng, 100)), (None, None), (1, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id or 0 for r in keep_one_of_each(docs).collect()) == [0, 1, 2, 9]
+    # Copies without ids, and an id on a copy and on a text of its own.
+    own, other = words(rng, 80), words(rng, 70)
+    rows = [(2, base), (None, base + " z"), (5, base), (5, own), (None, other), (None, other), (None, other + " q"), (7, None), (None, "")]
+    kept = Counter((r.doc_id, r.text) for r in keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    last = [k for k in kept if k[0] is None and k[1]]
+    assert len(last) == 1 and last[0][1].startswith(other) and sum(kept.values()) == 5 and {(2, base), (5, own), (7, None), (None, "")} <= set(kept)
     assert jaccard_components(docs.limit(0)).count() == 0
 
 
@@ -936,6 +986,51 @@ def test_contamination(spark):
     assert pieces[0][0] == (0, 0, 5) and all(b[1] == a[2] - 12 for p, q in zip(pieces, pieces[1:]) for a, b in [(p[-1], q[0])] if a[0] == b[0])
 
 
+@pytest.mark.parametrize("block", [500_000, 40])
+def test_contamination_long_text(spark, block):
+    """A text of several shards with windows over each cut, and a benchmark of one or many blocks."""
+    from tessera.llm.fmindex import SHARD_WORDS, find_contamination
+
+    rng = random.Random(5)
+    item = [f"b{rng.randrange(500)}" for _ in range(60)]
+    text = [f"t{k % 9973}" for k in range(2 * SHARD_WORDS + 5_000)]
+    places = [0, SHARD_WORDS - 30, SHARD_WORDS - 12 + 250, 2 * SHARD_WORDS - 60, len(text) - 60]
+    for p in places:
+        text[p : p + 60] = item
+    docs = spark.createDataFrame([(1, " ".join(text)), (2, "short " + " ".join(item[10:40]))], "doc_id long, text string")
+    items = spark.createDataFrame([("x", " ".join(item)), ("y", " ".join(item[20:50])), ("z", "none of it")], "item_id string, text string")
+    got = {r.doc_id: r for r in find_contamination(docs, items, block_windows=block).collect()}
+    assert [list(s) for s in got[1].removal_spans] == [[p, p + 60] for p in places] and got[1].n_hit == 300 and not got[1].contaminated
+    assert (got[2].n_hit, got[2].n_items, got[2].contaminated) == (30, 2, True)
+
+
+def test_executors_without_the_repository(tmp_path, sf):
+    """All ten run where Python workers can't import this package."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    repo = Path(__file__).resolve().parents[2]
+    code = f"""
+import os, sys
+os.environ["PYTHONPATH"] = ""
+from pyspark.sql import SparkSession
+s = SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "3g").config("spark.checkpoint.dir", {str(tmp_path / "shared")!r}).config("spark.sql.warehouse.dir", {str(tmp_path / "w")!r}).getOrCreate()
+s.range(8).repartition(4).rdd.map(lambda x: 1).count()
+sys.path.insert(0, {str(repo)!r})
+from tessera.llm import queries
+def importable(_):
+    import importlib.util
+    return importlib.util.find_spec("tessera") is not None
+assert not any(s.sparkContext.parallelize(range(4), 4).map(importable).collect())
+for name, run in queries.QUERIES.items():
+    print(name, run(s, {sf!r}).count())
+"""
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, text=True, timeout=900)
+    assert out.returncode == 0 and out.stdout.count("op") >= 10, out.stderr[-2000:]
+
+
 def test_fm_index():
     import numpy as np
 
