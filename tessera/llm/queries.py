@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from .licenses import oracle_sql as licenses_sql
 from .linkgraph import oracle_sql as urls_sql
 from .mixing import ORACLE as mixing_sql
-from .pii import TEST_KEY as PII_KEY  # noqa: F401
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1070,3 +1070,27 @@ def test_pipeline(spark, sf):
     last = {r.doc_id: r.taken for r in corpus_pipeline.mixing(spark, changed, sf).collect()}
     assert last == {r.doc_id: r.taken for r in corpus_pipeline.run(spark, sf).collect()}
     assert set(last) <= one - bad and all(t > 0 for t in last.values())
+
+
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    """Nulls in every column, empty and repeated rows, clashing names and empty tables."""
+    import corpus_pipeline
+    from tessera.llm.storage import mark
+
+    rng = random.Random(12)
+    good = [" ".join(rng.choice(["the", "of", "and", "to", *(f"word{rng.randrange(3000)}" for _ in range(8))]) for _ in range(120)) + "." for _ in range(6)]
+    rows = [(1, good[0], "en", "a", 9), (2, good[0], "en", "a", 9), (2, good[0], "en", "a", 9), (None, good[1], None, None, None), (None, good[1], None, None, None), (3, None, "en", "a", 1), (4, "", "en", None, 0), (5, good[2] + " Mr Smith", "en", "b", 5), (6, good[3], "de", "b", 5), (7, good[4], "en", "c", 5)]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("size", F.lit("x")).withColumn("kept", F.lit(True)).withColumn("pairs", F.lit(1)).withColumn("component_id", F.lit(2.5)).withColumn("_node", F.lit(3)).withColumn("n_hit", F.lit("y"))
+    spark.createDataFrame([(1, good[3]), (None, None), (2, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for table in (docs, docs.limit(0)):
+        table.write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+        begin, now = mark(), spark.read.parquet(str(tmp_path / "documents.parquet"))
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            after = stage(spark, now, str(tmp_path))
+            assert after.columns == docs.columns
+            now = after
+        ids = [r.doc_id for r in now.collect()]
+        assert sorted(ids, key=str) == ([1, 5, 7, None] if table is docs else [])
+        out = corpus_pipeline.run(spark, str(tmp_path))
+        assert sorted((r.doc_id for r in out.collect()), key=str) == sorted(ids, key=str) and "taken" in out.columns
+        assert mark() > begin
