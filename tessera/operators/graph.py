@@ -13,69 +13,88 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows up to which one side of a round's join is broadcast.
+BROADCAST_ROWS = 500_000
+
+
 def saved(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back."""
+    """``df`` written to the shared checkpoint folder and read back (a local session may leave the folder unset)."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     path = f"{base.rstrip('/')}/rounds-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def reachable(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """All pairs (src, dst) with a path of at least one edge, by doubling: paths of length up to 2^k after k rounds."""
-    known = saved(edges.select("src", "dst").distinct())
-    size = known.count()
-    for _ in range(rounds):
-        step = known.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-        known = saved(known.select("src", "dst").union(step.join(known.select(F.col("src").alias("b"), "dst"), "b").select(F.col("a").alias("src"), "dst")).distinct())
-        now = known.count()
-        if now == size:
-            break
-        size = now
-    return known
+def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, a saved table, as a broadcast side if it has at most ``most`` rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def _closed(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All pairs with a path, and the pairs met again by a path of two edges or more.
+
+    New pairs of a round are joined with all known ones, so path lengths
+    double, and a round writes only what it finds.
+    """
+    new = saved(edges.select("src", "dst").distinct())
+    known, again = new, new.limit(0)
+    while not new.isEmpty():
+        longer = new.select("src", F.col("dst").alias("mid")).join(known.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()
+        found = saved(longer.join(known.withColumn("old", F.lit(True)), ["src", "dst"], "left"))
+        new, again = found.where("old is null").select("src", "dst"), again.union(found.where("old").select("src", "dst"))
+        known = known.union(new)
+    return known, again
+
 
+def reachable(edges: DataFrame) -> DataFrame:
+    """All pairs (src, dst) with a path of at least one edge; cycles are allowed."""
+    return _closed(edges)[0]
 
-def transitive_reduction(edges: DataFrame, closure: DataFrame | None = None) -> DataFrame:
-    """Edges u-v of an acyclic graph that no longer path from u to v replaces."""
+
+def transitive_reduction(edges: DataFrame) -> DataFrame:
+    """Edges u-v of an acyclic graph that no longer path from u to v replaces.
+
+    A shortest detour falls into two halves that are no edges themselves, so
+    the closure meets every edge that has one again.
+    """
     edges = edges.select("src", "dst").distinct()
-    closure = reachable(edges) if closure is None else closure
-    longer = edges.select("src", F.col("dst").alias("mid")).join(closure.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()
-    return edges.join(longer, ["src", "dst"], "left_anti")
+    return edges.join(_closed(edges)[1], ["src", "dst"], "left_anti")
 
 
-def longest_path_depth(nodes: DataFrame, edges: DataFrame, rounds: int = 10_000) -> DataFrame:
+def longest_path_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``id, depth``: 0 without predecessors, else the greatest depth of these plus one; nodes on or behind a cycle get null."""
-    edges = edges.select("src", "dst").distinct()
-    depth = saved(nodes.select("id", F.lit(0).alias("depth")))
-    front = depth
-    for _ in range(rounds):
-        front = saved(front.join(edges, front.id == edges.src).groupBy(F.col("dst").alias("id")).agg((F.max("depth") + 1).alias("depth")))
-        if front.isEmpty():
-            return depth
-        if front.agg(F.max("depth")).first()[0] > 0:
-            depth = saved(depth.unionByName(front).groupBy("id").agg(F.max("depth").alias("depth")))
-    return depth
+    layers = peeled(nodes, edges)[1]
+    return nodes.select("id").distinct().join(layers, "id", "left")
 
 
 def peeled(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(core, layers)``: edges left when nodes without predecessors are taken away again and again, and the
-    round in which each other node went (its longest-path depth)."""
-    left_nodes, left = saved(nodes.select("id").distinct()), saved(edges.where("src != dst").select("src", "dst").distinct())
-    loops = edges.where("src = dst").select("src", "dst").distinct()
-    layers, k = None, 0
-    while True:
-        free = left_nodes.join(left.select(F.col("dst").alias("id")).union(loops.select(F.col("dst").alias("id"))).distinct(), "id", "left_anti")
-        free = saved(free.withColumn("depth", F.lit(k)))
-        if free.isEmpty():
-            break
-        layers = free if layers is None else layers.union(free)
-        left_nodes = saved(left_nodes.join(free, "id", "left_anti"))
-        left = saved(left.join(free.select(F.col("id").alias("src")), "src", "left_anti").select("src", "dst"))
-        k += 1
-    if layers is None:
-        layers = left_nodes.limit(0).withColumn("depth", F.lit(0))
-    return left.union(loops), layers
+    round in which each other node went (its longest-path depth).
+
+    A round writes, for the nodes still there, how many predecessors they wait
+    for; only the edges of the nodes that just went are counted.  Edges from a
+    node that is not among ``nodes`` hold nobody back.
+    """
+    ids = saved(nodes.select("id").distinct())
+    pairs = edges.join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
+    pairs = saved(pairs.distinct())
+    waits = pairs.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("need"))
+    state = saved(ids.join(waits, "id", "left").select("id", F.coalesce("need", F.lit(0).cast("long")).alias("need")))
+    layers, k = state.where("need = 0").select("id", F.lit(0).alias("depth")), 0
+    free = state.where("need = 0").select("id")
+    while (n := free.count()):
+        gone = F.broadcast(free) if n <= BROADCAST_ROWS else free
+        met = pairs.join(gone.select(F.col("id").alias("src")), "src").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("met"))
+        state = saved(state.where("need > 0").join(met, "id", "left").select("id", (F.col("need") - F.coalesce("met", F.lit(0))).alias("need")))
+        free, k = state.where("need = 0").select("id"), k + 1
+        layers = layers.union(free.select("id", F.lit(k).alias("depth")))
+    left = state.where("need > 0")
+    return pairs.join(left.select(F.col("id").alias("src")), "src", "left_semi").select("src", "dst"), layers
 
 
 def has_cycle(nodes: DataFrame, edges: DataFrame) -> bool:

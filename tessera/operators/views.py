@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.model import ARROW_KINDS, PROVABLE
+from .graph import saved
 
 
 def kind_rank(kind: Column) -> Column:
@@ -30,10 +31,16 @@ def kind_level_between(arrows: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def inverse_pairs(arrows: DataFrame) -> DataFrame:
-    """Mutual arrows of one kind as one edge, kept by the smaller id: ``id, inverse, a, b``."""
-    back = arrows.select(F.col("id").alias("inverse"), F.col("kind").alias("k"), F.col("src").alias("b"), F.col("dst").alias("a"))
-    joined = arrows.join(back, (F.col("src") == F.col("a")) & (F.col("dst") == F.col("b")) & (F.col("kind") == F.col("k")))
-    return joined.where("id < inverse").select("id", "inverse", "a", "b")
+    """Arrows that name each other as ``inverse`` as one edge, kept by the smaller id: ``id, inverse, a, b, up_to``.
+
+    ``arrows(id, kind, src, dst, inverse, up_to)``; arrows of kind ``instance``
+    and one-sided or own inverses make no pair; the edge is up to something if
+    either arrow is.
+    """
+    drawn = arrows.where("kind != 'instance'")
+    back = drawn.select(F.col("id").alias("inverse"), F.col("inverse").alias("named"), F.col("up_to").alias("back_up_to"))
+    joined = drawn.join(back, "inverse").where("named = id and id < inverse")
+    return joined.select("id", "inverse", F.col("src").alias("a"), F.col("dst").alias("b"), (F.coalesce("up_to", F.lit(False)) | F.coalesce("back_up_to", F.lit(False))).alias("up_to"))
 
 
 def box_arrows(arrows: DataFrame) -> DataFrame:
@@ -105,7 +112,7 @@ def first_section(links: DataFrame) -> DataFrame:
     return links.withColumn("row", row).where("row = 1").select("id", "section", "link")
 
 
-def build_groups(links: DataFrame, trees: DataFrame, dependencies: DataFrame, rounds: int = 64) -> DataFrame:
+def build_groups(links: DataFrame, trees: DataFrame, dependencies: DataFrame) -> DataFrame:
     """Reading groups ``id, section, pass, place``: listed members, then proofs, instances, morphisms, then the rest.
 
     A proof joins the group of what it proves (``proves``, else its first
@@ -113,10 +120,13 @@ def build_groups(links: DataFrame, trees: DataFrame, dependencies: DataFrame, ro
     instance that of its kind; an arrow that of its source, else its target.
     Whoever is left is in section null.  ``trees(id, taxon, proves, instance_of, src, dst)``.
     """
-    have = first_section(links).join(trees.select("id"), "id", "left_semi").select("id", "section", F.lit(0).alias("pass"), F.col("link").cast("string").alias("key"))
+    have = saved(first_section(links).join(trees.select("id"), "id", "left_semi").select("id", "section", F.lit(0).alias("pass"), F.col("link").cast("string").alias("key")))
     anchors = proof_anchor(trees.where("taxon = 'proof'").select("id", "proves"), dependencies, trees.select("id", "taxon")).where("anchor is not null")
-    for _ in range(rounds):
-        new = anchors.join(have.select(F.col("id").alias("anchor"), "section", F.col("pass").alias("p")), "anchor").where("p = 0 or anchor < id").join(have.select("id"), "id", "left_anti").select("id", "section", F.lit(1).alias("pass"), F.col("id").alias("key"))
+    waiting = saved(anchors.join(have.select("id"), "id", "left_anti"))
+    new = have.select("id", "section", "pass")
+    # Each round only what was placed in the one before can place more.
+    while True:
+        new = saved(waiting.join(new.select(F.col("id").alias("anchor"), "section", F.col("pass").alias("p")), "anchor").where("p = 0 or anchor < id").select("id", "section", F.lit(1).alias("pass"), F.col("id").alias("key")))
         if new.isEmpty():
             break
         have = have.union(new)
@@ -140,11 +150,11 @@ def index_groups(links: DataFrame, trees: DataFrame, dependencies: DataFrame) ->
     have = have.union(free.join(have.select(F.col("id").alias("instance_of"), "title"), "instance_of").select("id", "title"))
     arrows = trees.where("taxon = 'morphism'").join(have.select("id"), "id", "left_anti")
     src, dst = (have.select(F.col("id").alias(s), F.col("title").alias(f"{s}_title")) for s in ("src", "dst"))
-    have = have.union(arrows.join(src, "src", "left").join(dst, "dst", "left").withColumn("title", F.coalesce("src_title", "dst_title")).where("title is not null").select("id", "title"))
+    have = saved(have.union(arrows.join(src, "src", "left").join(dst, "dst", "left").withColumn("title", F.coalesce("src_title", "dst_title")).where("title is not null").select("id", "title")))
     while True:
         proofs = trees.where("taxon = 'proof'").join(have.select("id"), "id", "left_anti")
         near = dependencies.join(have.select(F.col("id").alias("ref"), "title"), "ref").groupBy("id").agg(F.min_by(F.struct("title", "ref"), "pos").alias("g"))
-        new = proofs.join(near, "id").select("id", "g.title")
+        new = saved(proofs.join(near, "id").select("id", "g.title"))
         if new.isEmpty():
             return have
         have = have.union(new)
@@ -169,6 +179,29 @@ def last_heading(lines: DataFrame, by: list[str], order: list[str]) -> DataFrame
     return lines.withColumn("heading", F.last("heading", ignorenulls=True).over(w))
 
 
+def chunked(rows: DataFrame, by: list[str], order: list[str], size: int = 15, step: int = 64) -> DataFrame:
+    """``rows`` with ``chunk`` and ``offset`` by their place in a group."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
+    return rows.withColumn("chunk", F.floor(place / size)).withColumn("offset", (place * step).cast("long"))
+
+
+def references(pages: DataFrame, known: DataFrame, pattern: str, id_col: str, text_col: str) -> DataFrame:
+    """Each reference that ``pattern`` finds in a text, ``(id, target, alive)``: whether ``known(target)`` has it."""
+    found = pages.select(id_col, F.explode(F.regexp_extract_all(text_col, F.lit(pattern), F.lit(1))).alias("target"))
+    return found.join(known.select("target").distinct().withColumn("alive", F.lit(True)), "target", "left").select(id_col, "target", F.coalesce("alive", F.lit(False)).alias("alive"))
+
+
+def unknown_keys(rows: DataFrame, id_col: str, json_col: str, known: list[str], own: str = "x_") -> DataFrame:
+    """``(id, key)`` of the keys of JSON objects that are not known and no extension."""
+    keys = F.array_except(F.json_object_keys(json_col), F.array(*[F.lit(k) for k in known]))
+    return rows.select(id_col, F.explode(F.filter(keys, lambda k: ~F.startswith(k, F.lit(own)))).alias("key"))
+
+
+def repeated(rows: DataFrame, *key: str) -> DataFrame:
+    """Keys on several rows, with ``n``."""
+    return rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
+
+
 def stacked(heights: DataFrame, by: list[str], gap: float = 26.0) -> DataFrame:
     """``heights`` with the running offset ``y`` of what stands before."""
     w = Window.partitionBy(*by).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)

@@ -67,7 +67,8 @@ class Graph:
     @functools.cached_property
     def with_ends(self) -> DataFrame:
         """Nodes with level and region of an arrow's ends."""
-        end = lambda side: self.nodes.select(F.col("id").alias(f"{side}_id"), F.col("level").alias(f"{side}_level"), F.col("region").alias(f"{side}_region"))
+        placed = self.nodes.where("level is not null or region is not null")  # others have nothing to give
+        end = lambda side: placed.select(F.col("id").alias(f"{side}_id"), F.col("level").alias(f"{side}_level"), F.col("region").alias(f"{side}_region"))
         src, dst = end("src"), end("dst")
         arrows = self.nodes.where("taxon = 'morphism'").join(src, F.col("src") == F.col("src_id"), "left").join(dst, F.col("dst") == F.col("dst_id"), "left")
         return self.nodes.where("taxon != 'morphism'").unionByName(arrows, allowMissingColumns=True)

@@ -119,10 +119,14 @@ class Model:
         return objects.union(things).union(arrows).union(prose)
 
     def graph(self):
+        from ..operators.graph import saved
         from .filterql import Graph
 
+        # The joins behind these views run once, however often a filter asks.
+        if "pairs" not in self.__dict__:
+            self.pairs = saved(self.pairs)
         regions = [(r.r_name, r.r_name) for r in self.table("region").orderBy("r_name").collect()]
-        return Graph(self.nodes, self.arrows.select("id", "kind", "src", "dst"), self.kind_data, self.about, regions)
+        return Graph(saved(self.nodes), self.arrows.select("id", "kind", "src", "dst"), self.kind_data, self.about, regions)
 
 
 _TAXA_SQL = "[" + ", ".join(f"'{t}'" for t in PROSE) + "]"

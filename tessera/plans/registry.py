@@ -113,9 +113,12 @@ def kind_level_between(m: Model) -> DataFrame:
     return W.kind_level_between(m.arrows, W.type_edges(m.arrows, m.instances))
 
 
-@query("SELECT a.id, b.id AS inverse, a.src AS a, a.dst AS b FROM transforms a JOIN transforms b ON a.src = b.dst AND a.dst = b.src WHERE a.id < b.id", "transforms")
+@query("""WITH t AS (SELECT id, CASE WHEN n % 5 != 0 THEN 'tra-' || split_part(id, '-', 3) || '-' || split_part(id, '-', 2) END AS inverse, src, dst, n % 2 = 0 AS up_to FROM transforms)
+SELECT a.id, b.id AS inverse, a.src AS a, a.dst AS b, a.up_to OR b.up_to AS up_to FROM t a JOIN t b ON a.inverse = b.id AND b.inverse = a.id WHERE a.id < b.id""", "transforms")
 def inverse_pairs(m: Model) -> DataFrame:
-    return W.inverse_pairs(m.transforms)
+    part = lambda k: F.split("id", "-")[k]
+    named = m.transforms.withColumn("inverse", F.when(F.col("n") % 5 != 0, F.concat_ws("-", F.lit("tra"), part(2), part(1)))).withColumn("up_to", F.col("n") % 2 == 0)
+    return W.inverse_pairs(named)
 
 
 @query("""SELECT box, way, kind, count(*) AS n, min(id) AS first, list_position(['data', 'transform', 'extract', 'property', 'instance', 'generalizes', 'construction', 'hom'], kind) AS rank
@@ -164,21 +167,25 @@ def dep_edges(m: Model) -> DataFrame:
     return _dep(m).join(m.trees.select(F.col("id").alias("src")), "src", "left_semi").select("src", "dst")
 
 
-@query("""SELECT l.page_id, l.target, l.target IN (SELECT DISTINCT regexp_extract(url, '://[^/]+/([a-z]{2})/', 1) FROM pages) AS alive
-FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="/([^"]*)"', 1)) AS target FROM pages) l""")
-def links_status(m: Model) -> DataFrame:
+_HREF = 'href="/([^"]*)"'
+_LANGUAGES = "SELECT DISTINCT regexp_extract(url, '://[^/]+/([a-z]{2})/', 1) FROM pages"
+
+
+def _page_links(m: Model) -> DataFrame:
     pages = m.table("pages")
-    found = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), F.lit(1))).alias("target"))
-    known = pages.select(F.regexp_extract("url", "://[^/]+/([a-z]{2})/", 1).alias("target")).distinct().withColumn("alive", F.lit(True))
-    return found.join(known, "target", "left").select("page_id", "target", F.coalesce("alive", F.lit(False)).alias("alive"))
+    return W.references(pages, pages.select(F.regexp_extract("url", "://[^/]+/([a-z]{2})/", 1).alias("target")), _HREF, "page_id", "html")
 
 
-@query("""SELECT l.page_id, l.target FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="/([^"]*)"', 1)) AS target FROM pages) l
-WHERE l.target NOT IN (SELECT DISTINCT regexp_extract(url, '://[^/]+/([a-z]{2})/', 1) FROM pages)""")
+@query(f"""SELECT l.page_id, l.target, l.target IN ({_LANGUAGES}) AS alive
+FROM (SELECT page_id, unnest(regexp_extract_all(html, '{_HREF}', 1)) AS target FROM pages) l""")
+def links_status(m: Model) -> DataFrame:
+    return _page_links(m)
+
+
+@query(f"""SELECT l.page_id, l.target FROM (SELECT page_id, unnest(regexp_extract_all(html, '{_HREF}', 1)) AS target FROM pages) l
+WHERE l.target NOT IN ({_LANGUAGES})""")
 def dangling_refs(m: Model) -> DataFrame:
-    pages = m.table("pages")
-    found = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), F.lit(1))).alias("target"))
-    return found.join(pages.select(F.regexp_extract("url", "://[^/]+/([a-z]{2})/", 1).alias("target")).distinct(), "target", "left_anti").select("page_id", "target")
+    return _page_links(m).where("not alive").select("page_id", "target")
 
 
 _REACH = "WITH e AS (SELECT DISTINCT j AS src, i AS dst FROM dependencies), reach AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM reach r JOIN e ON r.dst = e.src)\n"
@@ -229,7 +236,7 @@ def region_layout(m: Model) -> DataFrame:
 
     kinds = m.kinds.collect()  # nations and regions
     count = {r["of"]: r["count"] for r in m.instances.groupBy("of").count().collect()}
-    sizes = {r.id: (180.0, float(object_box_height(min(8, count.get(r.id, 0))))) for r in kinds}
+    sizes = {r.id: (180.0, float(object_box_height(count.get(r.id, 0)))) for r in kinds}
     out = plane(sorted({r.region for r in kinds if r.region}), {r.id: r.region for r in kinds}, sizes, [{"id": r.id, "from": r.src, "to": r.dst} for r in m.transforms.collect()])
     return m.spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in sorted(out["at"].items())], "id string, x double, y double")
 
@@ -308,18 +315,17 @@ def group_edges(m: Model) -> DataFrame:
     return W.group_edges(_dep(m), m.trees.select("id", "section"))
 
 
-@query("""WITH c AS (SELECT doc_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '\\s+')[1:5], lambda x: x != ''))) AS concept FROM documents)
+@query("""WITH c AS (SELECT doc_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x != ''))) AS concept FROM documents)
 SELECT concept, min(doc_id) AS first, list('doc-' || doc_id ORDER BY doc_id) AS trees FROM c GROUP BY concept""")
 def by_concept(m: Model) -> DataFrame:
-    words = F.array_distinct(F.filter(F.slice(F.split(F.lower("text"), r"\s+"), 1, 5), lambda x: x != ""))
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != ""))
     teaches = m.table("documents").select(keyed("doc", "doc_id").alias("id"), F.explode(words).alias("concept"))
     return W.by_concept(teaches, m.trees.select("id", F.col("doc_id").alias("place")))
 
 
 @query("""SELECT source AS section, CAST((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 15 AS BIGINT) AS chunk, doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) * 64 AS "offset" FROM documents""")
 def dag_chunks(m: Model) -> DataFrame:
-    row = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    return m.table("documents").select(F.col("source").alias("section"), F.floor(row / 15).alias("chunk"), "doc_id", (row * 64).cast("long").alias("offset"))
+    return W.chunked(m.table("documents").select(F.col("source").alias("section"), "doc_id"), ["section"], ["doc_id"])
 
 
 @query("SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS heading FROM events")
@@ -336,19 +342,19 @@ def stacked_sections(m: Model) -> DataFrame:
 
 # Text, search, vectors, matching
 
-_FOLD = "translate(lower({}), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿčćšžđ', 'aaaaaaceeeeiiiinooooouuuuyyccszd')"
+_FOLD = "translate(strip_accents(lower({})), 'đ', 'd')"
 QUERY_TEXT = "The anonat ration"
 
 
-@query(f"SELECT doc_id, list_filter(string_split_regex({_FOLD.format('substr(text, 1, 60)')}, '[^a-z0-9]+'), lambda t: len(t) >= 2) AS tokens FROM documents")
+@query(f"SELECT doc_id, list_filter(string_split_regex({_FOLD.format('text')}, '[^a-z0-9]+'), lambda t: len(t) >= 2) AS tokens FROM documents")
 def fold_tokens(m: Model) -> DataFrame:
-    return m.table("documents").select("doc_id", T.tokens(F.substring("text", 1, 60)).alias("tokens"))
+    return m.table("documents").select("doc_id", T.tokens(F.col("text")).alias("tokens"))
 
 
 def _lexical_sql() -> str:
     words = S.query_words(QUERY_TEXT)
     parts = [f"CASE WHEN list_contains(own, '{w}') THEN 3 WHEN contains(f, '{w}') THEN 1 ELSE 0 END" for w in words]
-    return f"f AS (SELECT doc_id, {_FOLD.format('text')} AS f FROM documents), o AS (SELECT *, string_split_regex(f, '[^a-z0-9]+') AS own FROM f), s AS (SELECT doc_id, CAST({' + '.join(parts)} + CASE WHEN contains(f, '{S.fold_query(QUERY_TEXT)}') THEN 5 ELSE 0 END AS BIGINT) AS lexical FROM o)"
+    return f"f AS (SELECT doc_id, {_FOLD.format('text')} AS f FROM documents), o AS (SELECT *, string_split_regex(f, '[^a-z0-9]+') AS own FROM f), s AS (SELECT doc_id, CAST({' + '.join(parts)} + CASE WHEN contains(f, '{T.fold_text(QUERY_TEXT)}') THEN 5 ELSE 0 END AS BIGINT) AS lexical FROM o)"
 
 
 @query(f"WITH {_lexical_sql()} SELECT doc_id, lexical FROM s")
@@ -382,31 +388,32 @@ def quantize_vectors(m: Model) -> DataFrame:
 c AS (SELECT query, x.vec_id, round({_DOT.format("q.e", "x.embedding")} / sqrt({_DOT.format("x.embedding", "x.embedding")}), 6) AS cosine FROM q, embeddings x WHERE query != vec_id)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, vec_id) AS place FROM c) WHERE place <= 5""")
 def cosine_topk(m: Model) -> DataFrame:
-    rows = m.table("embeddings").select("vec_id", "embedding")
-    q = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("e"))
-    pairs = q.join(rows, F.col("query") != F.col("vec_id")).select("query", "vec_id", F.round(V.cosine(F.col("e"), F.col("embedding")), 6).alias("cosine"))
-    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), "vec_id"))
-    return pairs.withColumn("place", place).where("place <= 5")
+    rows = m.table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return S.vector_topk(rows.where("id % 50 = 0"), rows, 5).select("query", F.col("id").alias("vec_id"), "cosine", "place")
 
 
 _MATCH_WORDS = "list_distinct(list_filter(string_split_regex(translate(lower({}), 'čćšžđ', 'ccszd'), '[^a-z0-9]+'), lambda t: len(t) > 2))"
-_MATCH = f"""WITH c AS (SELECT 'item-' || item_id AS candidate, {_MATCH_WORDS.format("text")} AS w, {_MATCH_WORDS.format("substr(text, 1, 40)")} AS t FROM benchmark),
-d AS (SELECT 'doc-' || doc_id AS id, {_MATCH_WORDS.format("substr(text, 1, 200)")} AS w, {_MATCH_WORDS.format("substr(text, 1, 60)")} AS t FROM documents),
-p AS (SELECT candidate, id, CASE WHEN len(c.w) + len(d.w) = 0 THEN 0 ELSE len(list_intersect(c.w, d.w)) / len(list_distinct(list_concat(c.w, d.w)))::DOUBLE END AS concepts,
+_MATCH = f"""WITH c AS (SELECT 'item-' || item_id AS candidate, {_MATCH_WORDS.format("text")} AS w, {_MATCH_WORDS.format("split_part(text, chr(10), 1)")} AS t, x.embedding AS v FROM benchmark LEFT JOIN embeddings x ON vec_id = item_id AND item_id % 3 != 0),
+d AS (SELECT 'doc-' || doc_id AS id, {_MATCH_WORDS.format("text")} AS w, {_MATCH_WORDS.format("substr(text, 1, 60)")} AS t, x.embedding AS v FROM documents LEFT JOIN embeddings x ON vec_id = doc_id AND doc_id % 4 != 0),
+p AS (SELECT candidate, id, {_DOT.format("c.v", "d.v")} / sqrt({_DOT.format("d.v", "d.v")}) / sqrt({_DOT.format("c.v", "c.v")}) AS cosine,
+  CASE WHEN len(c.w) + len(d.w) = 0 THEN 0 ELSE len(list_intersect(c.w, d.w)) / len(list_distinct(list_concat(c.w, d.w)))::DOUBLE END AS concepts,
   CASE WHEN least(len(c.t), len(d.t)) = 0 THEN 0 ELSE len(list_intersect(c.t, d.t)) / least(len(c.t), len(d.t))::DOUBLE END AS title_overlap FROM c, d),
-r AS (SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY round(0.5 * concepts + 0.3 * title_overlap, 9) DESC, id) AS place FROM p),
-b AS (SELECT candidate, CASE WHEN title_overlap >= 0.9 AND concepts >= 0.5 THEN 'duplicate' WHEN concepts >= 0.5 THEN 'related' ELSE 'novel' END AS hint FROM r WHERE place = 1)
+r AS (SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY round(coalesce(cosine, 0) + 0.5 * concepts + 0.3 * title_overlap, 9) DESC, id) AS place FROM p),
+b AS (SELECT candidate, CASE WHEN cosine >= 0.92 OR (title_overlap >= 0.9 AND concepts >= 0.5) THEN 'duplicate' WHEN cosine >= 0.86 OR concepts >= 0.5 THEN 'related' ELSE 'novel' END AS hint FROM r WHERE place = 1)
 """
 
 
 def _matches(m: Model) -> DataFrame:
-    none = F.lit(None).cast("array<float>").alias("vector")
-    candidates = m.table("benchmark").select(keyed("item", "item_id").alias("id"), T.title_tokens(F.substring("text", 1, 40)).alias("words"), T.title_tokens(F.col("text")).alias("concepts"), none)
-    items = m.table("documents").select(keyed("doc", "doc_id").alias("id"), T.title_tokens(F.substring("text", 1, 60)).alias("words"), T.title_tokens(F.substring("text", 1, 200)).alias("concepts"), none)
-    return S.match(candidates, items)
+    """Benchmark items against documents: concepts from whole texts, a title in the first line (60 characters of a document), vectors of some."""
+    vectors = m.table("embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    side = lambda rows, key, least: rows.join(vectors.where(F.col("vec_id") % least != 0), F.col(key) == F.col("vec_id"), "left")
+    unit = F.transform("vector", lambda x: x / V.norm(F.col("vector"))).alias("vector")
+    items = side(m.table("benchmark"), "item_id", 3).select(keyed("item", "item_id").alias("id"), T.title_tokens(F.substring_index("text", "\n", 1)).alias("words"), T.title_tokens(F.col("text")).alias("concepts"), unit)
+    trees = side(m.table("documents"), "doc_id", 4).select(keyed("doc", "doc_id").alias("id"), T.title_tokens(F.substring("text", 1, 60)).alias("words"), T.title_tokens(F.col("text")).alias("concepts"), "vector")
+    return S.match(items, trees)
 
 
-@query(_MATCH + "SELECT r.candidate, r.id, r.place, CAST(NULL AS DOUBLE) AS cosine, round(r.concepts, 6) AS concepts, round(r.title_overlap, 6) AS title_overlap, b.hint FROM r JOIN b ON r.candidate = b.candidate WHERE r.place <= 5")
+@query(_MATCH + "SELECT r.candidate, r.id, r.place, round(r.cosine, 4) AS cosine, round(r.concepts, 6) AS concepts, round(r.title_overlap, 6) AS title_overlap, b.hint FROM r JOIN b ON r.candidate = b.candidate WHERE r.place <= 5")
 def match_candidates(m: Model) -> DataFrame:
     return _matches(m)
 
@@ -416,9 +423,21 @@ def match_hint(m: Model) -> DataFrame:
     return _matches(m).where("place = 1").groupBy("hint").agg(F.count("*").alias("n"))
 
 
-@query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '(?s)\x60\x60\x60.*?\x60\x60\x60', ' ', 'g'), '[*_\x60#>]', '', 'g'), '[ \t\r\n\x0b\f]+', ' ', 'g')) AS plain FROM documents WHERE NOT contains(text, '$') AND NOT contains(text, '[[')""")
+def _steps(text: str, *steps: tuple[str, str]) -> str:
+    for pattern, put in steps:
+        text = f"regexp_replace({text}, '{pattern}', '{put}', 'g')"
+    return text
+
+
+_PLAIN = _steps(
+    "text", (r"(?s)\x60\x60\x60.*?\x60\x60\x60", " "), (r"(?s)\$\$(.*?)\$\$", r" \1 "), (r"\\\$", "\x01"), (r"\$([^$\n]*)\$", r" \1 "), ("\x01", r"\\$"),
+    (r"\[\[[^\[\]|#]+(?:#[^\]|]*)?\|([^\]]*)\]\]", r"\1"), (r"\[\[([^\[\]|#]+)(?:#[^\]|]*)?\]\]", r"\1"), (r"[*_\x60#>]", ""), (r"[ \t\r\n\x0b\f]+", " "),
+)
+
+
+@query(f"SELECT doc_id, trim({_PLAIN}) AS plain FROM documents")
 def body_to_text(m: Model) -> DataFrame:
-    return m.table("documents").where(~F.contains("text", F.lit("$")) & ~F.contains("text", F.lit("[["))).select("doc_id", T.body_to_text(F.col("text")).alias("plain"))
+    return m.table("documents").select("doc_id", T.body_to_text(F.col("text")).alias("plain"))
 
 
 # Integrity and merging over the model views
@@ -458,13 +477,12 @@ def rule_violations(m: Model) -> DataFrame:
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 def duplicate_ids(m: Model) -> DataFrame:
-    return m.table("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).where("n > 1")
+    return W.repeated(m.table("lineitem"), "l_orderkey", "l_linenumber")
 
 
 @query("SELECT event_id, k AS key FROM (SELECT event_id, unnest(json_keys(props)) AS k FROM events) WHERE k NOT IN ('id', 'taxon') AND NOT starts_with(k, 'x_')")
 def unknown_keys(m: Model) -> DataFrame:
-    keys = F.array_except(F.json_object_keys("props"), F.array(F.lit("id"), F.lit("taxon")))
-    return m.table("events").select("event_id", F.explode(F.filter(keys, lambda k: ~F.startswith(k, F.lit("x_")))).alias("key"))
+    return W.unknown_keys(m.table("events"), "event_id", "props", ["id", "taxon"])
 
 
 def _merge_sides(m: Model):
@@ -498,20 +516,21 @@ def firewall(m: Model) -> DataFrame:
 
 
 @query("""SELECT d.source AS section, list_sort(list(DISTINCT d.lang)) AS teaches, list_filter(list_sort(list(DISTINCT p.lang)), lambda x: NOT list_contains(list(DISTINCT d.lang), x)) AS requires
-FROM documents d LEFT JOIN documents p ON p.doc_id = d.doc_id // 2 WHERE d.source = 'src3' GROUP BY d.source""")
+FROM documents d LEFT JOIN documents p ON p.doc_id = d.doc_id // 2 GROUP BY d.source""")
 def concept_union(m: Model) -> DataFrame:
     docs = m.table("documents").select("doc_id", "lang", "source")
     pre = docs.select(F.col("doc_id").alias("half"), F.col("lang").alias("before"))
-    picked = docs.where("source = 'src3'").join(pre, F.floor(F.col("doc_id") / 2) == F.col("half"), "left").select(F.array("lang").alias("teaches"), F.array_compact(F.array("before")).alias("requires"))
-    return M.concept_union(picked).select(F.lit("src3").alias("section"), "teaches", "requires")
+    each = docs.join(pre, F.floor(F.col("doc_id") / 2) == F.col("half"), "left").select(F.col("source").alias("section"), F.array("lang").alias("teaches"), F.array_compact(F.array("before")).alias("requires"))
+    return M.concept_union(each, "section")
 
 
-@query("""WITH p AS (SELECT doc_id AS id, lang AS title, source AS note FROM documents WHERE doc_id % 2 = 0), n AS (SELECT doc_id AS id, upper(lang) AS title, 'new' AS note FROM documents WHERE doc_id % 3 = 0)
+@query("""WITH p AS (SELECT doc_id AS id, lang AS title, source AS note FROM documents WHERE doc_id % 3 != 2), n AS (SELECT doc_id AS id, upper(lang) AS title, 'new' AS note FROM documents WHERE doc_id % 3 != 1)
 SELECT coalesce(p.id, n.id) AS id, CASE WHEN n.id IS NOT NULL THEN n.title ELSE p.title END AS title, coalesce(p.note, n.note) AS note FROM p FULL JOIN n ON p.id = n.id""")
 def upsert_preserve(m: Model) -> DataFrame:
+    """A third of the documents on either side alone and a third on both: all are in the result."""
     docs = m.table("documents")
-    prior = docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.col("lang").alias("title"), F.col("source").alias("note"))
-    new = docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), F.upper("lang").alias("title"), F.lit("new").alias("note"))
+    prior = docs.where("doc_id % 3 != 2").select(F.col("doc_id").alias("id"), F.col("lang").alias("title"), F.col("source").alias("note"))
+    new = docs.where("doc_id % 3 != 1").select(F.col("doc_id").alias("id"), F.upper("lang").alias("title"), F.lit("new").alias("note"))
     return M.upsert(prior, new, ["title"])
 
 
@@ -594,12 +613,22 @@ def crossing_boxes(m: Model) -> DataFrame:
     return rows.where(F.greatest(F.lit(0.0), a0, b0) <= F.least(F.lit(1.0), a1, b1)).select("id", "box")
 
 
-@query()
+@query("""SELECT n_nationkey, 'T ' || n_name AS title, 3 AS corners, list_value('A', 'B', 'C') AS names, n_name AS first, 3 AS arrows, 'iso' AS head, CASE WHEN n_nationkey % 3 = 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS bend,
+CASE WHEN n_nationkey % 2 = 0 THEN NULL ELSE 'the paths do not share their ends' END AS equation, CASE WHEN n_nationkey % 3 = 1 THEN 3 ELSE 2 END AS errors FROM nation""")
 def parse_cd(m: Model) -> DataFrame:
-    from ..functions.diagram import parse_json
+    from ..functions.diagram import parsed
 
-    source = F.concat(F.lit("A @ 0,0 : "), F.col("n_name"), F.lit("\nB @ 1,0 : B\nC @ 1,1 : C\nf: A -> B : f\ng: B -> C : g\nh: A -> C : h [dashed]\nf g = h : def"))
-    return m.table("nation").select("n_nationkey", parse_json(source).alias("diagram"))
+    k = F.col("n_nationkey")
+    bend = F.when(k % 3 == 0, "0.5").when(k % 3 == 1, "7").otherwise("0")
+    source = F.concat(
+        F.lit("% title: T "), F.col("n_name"), F.lit("\nA @ 0,0 : "), F.col("n_name"), F.lit("\nB @ 1,0\nC @ 1,1 : {[a]}\nD @ -1,0 : no\nf: A -> B : f [iso, above, bend="), bend,
+        F.lit("]\ng: B -> C : g\nh: A -> C : h [dashed]\nh: A -> B : twice\nf g = "), F.when(k % 2 == 0, "h").otherwise("g"), F.lit(" : [[def-x|by it]]"),
+    )
+    d = m.table("nation").select("n_nationkey", "n_name", parsed(source).alias("d"))
+    return d.select(
+        "n_nationkey", F.col("d.title").alias("title"), F.size("d.corners").alias("corners"), F.col("d.corners.name").alias("names"), F.col("d.corners")[0]["tex"].alias("first"), F.size("d.arrows").alias("arrows"),
+        F.col("d.arrows")[0]["head"].alias("head"), F.col("d.arrows")[0]["bend"].alias("bend"), F.col("d.equations")[0]["error"].alias("equation"), F.size("d.errors").alias("errors"),
+    )
 
 
 assert len(PROSE) == 14

@@ -96,6 +96,7 @@ def test_text(spark):
         return spark.range(1).select(col.alias("x")).first().x
 
     lit = F.lit
+    assert one(text.fold(lit("Őř Ǖ x\u0301 Ł"))) == text.fold_text("Őř Ǖ x\u0301 Ł") == "or u x ł"
     assert one(text.fold(lit("Čevapi Đ É"))) == "cevapi d e" and one(text.tokens(lit("a bb, Bb c3"))) == ["bb", "bb", "c3"]
     assert one(text.body_to_text(lit("# T **b** [[def-x|lab]] [[def-y#a]]\n```cd\nA\n``` $x$ $$y$$"))) == "T b lab def-y x y"
     assert one(text.links(lit("[[a]] [[b#c|d]] [[a]]"))) == ["a", "b", "a"] and one(text.plain_title(lit(r"On $\mathbb{R}$"))) == "On R"
@@ -147,6 +148,10 @@ def test_views(spark):
     deps = spark.createDataFrame([("prf-b", 0, "rem-x"), ("prf-b", 1, "thm-a")], "id string, pos int, ref string")
     got = {r.id: (r.section, r["pass"], r.place) for r in views.build_groups(links, trees, deps).collect()}
     assert got == {"thm-a": (1, 0, 1), "prf-a": (1, 1, 2), "prf-b": (1, 1, 3), "obj-k": (2, 0, 1), "obj-i": (2, 2, 2), "mor-f": (2, 3, 3), "rem-x": (None, 4, 1)}
+    # A chain of proofs of proofs of any length is followed to its end.
+    long = [("thm-a", "theorem", None)] + [(f"prf-{k:03}", "proof", f"prf-{k - 1:03}" if k else "thm-a") for k in range(70)]
+    chain = spark.createDataFrame([(*x, None, None, None) for x in long], trees.schema)
+    assert {r.section for r in views.build_groups(links.where("id = 'thm-a' and section = 1"), chain, deps.limit(0)).collect()} == {1}
     done = spark.createDataFrame([("thm-a",)], "id string")
     assert {r.id: r.state for r in views.readiness(trees, deps, done).collect()} == {"thm-a": "done", "prf-a": "ready", "prf-b": "not", "obj-k": "ready", "obj-i": "ready", "mor-f": "ready", "rem-x": "ready"}
     named = links.withColumn("title", F.concat(F.lit("S"), F.col("section").cast("string")))
@@ -169,10 +174,105 @@ def test_search_and_merge(spark):
     assert merge.manifest([{"id": "a", "teaches": ["x"], "requires": ["x", "y"]}], "blog", "My Title", "en", "me", "CC0", "2024-01-01")["requires"] == ["y"]
 
 
-def test_diagram():
-    got = diagram.parse("% title: Square\nA @ 0,0 : X\nB @ 1,0 : Y\nC @ 1,1 : Z\nf: A -> B : f [left, bend=10]\ng: B -> C : g\nh: A -> C : h\nf g = h : def\nf h = g : [[thm-x]]\nwhat is this?")
-    assert got["title"] == "Square" and len(got["arrows"]) == 3 and got["arrows"][0]["bend"] == 10 and "error" not in got["equations"][0] and "error" in got["equations"][1]
+def test_diagram(spark):
+    got = diagram.parse("% title: Square\nA @ 0,0 : X\nB @ 1,0 : Y\nC @ 1,1 : Z\nf: A -> B : f [left, bend=0.5]\ng: B -> C : g\nh: A -> C : h\nf g = h : def\nf h = g : [[thm-x]]\nwhat is this?")
+    assert got["title"] == "Square" and len(got["arrows"]) == 3 and got["arrows"][0]["bend"] == 0.5 and not got["equations"][0]["error"] and got["equations"][1]["error"]
     assert len(got["errors"]) == 1 and diagram.composite(["f", "g"], got["arrows"]) == r"g \circ f"
+    # A corner and an arrow need no label, names may begin with an underscore, a title only counts on the first line.
+    got = diagram.parse("_a @ 0,1\n% title: late\nB' @ 2,0:\n_a -> B'\nx: _a -> B' : {[k]} [iso, above, dotted, shift=-2]\nid = x : def")
+    assert got["title"] == "" and [c["name"] for c in got["corners"]] == ["_a", "B'"] and got["arrows"][0]["name"] is None and got["errors"] == []
+    assert [got["arrows"][1][k] for k in ("tex", "head", "side", "line", "shift")] == ["{[k]}", "iso", "above", "dotted", -2] and got["equations"][0]["error"]
+    head = "A @ 0,0\nB @ 1,0\nf: A -> B : f"
+    for line, errors, arrows in (
+        ("A @ 1,1", 1, 1), ("C @ -1,0", 1, 1), ("C @ 0.5,0", 1, 1), ("f: B -> A : again", 1, 1), ("g: A -> C", 1, 1), ("g: A -> A", 1, 1), ("g: A -> B : x [bend=2]", 1, 2), ("g: A -> B : x [shift=1.5]", 1, 2),
+        ("g: A -> B : x [solid]", 1, 2), ("g: A -> B : x [double, mono]", 1, 2), ("g: A -> B : x [hook, mapsto]", 0, 2), (r"g: A -> B : [\alpha]", 0, 2), ("g: A -> B : x [bend=-1, equal]", 0, 2),
+    ):
+        got = diagram.parse(f"{head}\n{line}")
+        assert (len(got["errors"]), len(got["arrows"])) == (errors, arrows), line
+    loop = "A @ 0,0\nB @ 1,0\nf: A -> B\ng: B -> A\n"
+    for line, fine in (("f g = id : def", True), ("id = g f : [[thm-a|by it]]", True), ("f = id : def", False), ("f g = f g", False), ("f f = f : def", False), ("f x = f : def", False), ("f g f = f : because", False), ("id id = id : def", True)):
+        assert (diagram.parse(loop + line)["equations"][0]["error"] is None) == fine, line
+    rows = spark.createDataFrame([(head,), (None,)], "s string").select(diagram.parsed("s").alias("d"))
+    assert [len(r.d.arrows) for r in rows.collect()] == [1, 0]
+
+
+def brute_reach(pairs):
+    reach = set(pairs)
+    while more := {(a, d) for a, b in reach for c, d in reach if b == c} - reach:
+        reach |= more
+    return reach
+
+
+def test_graph_against_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    for cyclic in (False, True):
+        pairs = {(a, b) for a, b in ((rng.randrange(14), rng.randrange(14)) for _ in range(26)) if cyclic or a < b}
+        edges, nodes = spark.createDataFrame(sorted(pairs), "src int, dst int"), spark.createDataFrame([(i,) for i in range(15)], "id int")
+        reach = brute_reach(pairs)
+        assert set(map(tuple, graph.reachable(edges).collect())) == reach
+        if not cyclic:
+            assert set(map(tuple, graph.transitive_reduction(edges).collect())) == {(a, b) for a, b in pairs if not any((a, w) in pairs and (w, b) in reach for w in range(15))}
+        bad = {i for i in range(15) if any((c, c) in reach and (c == i or (c, i) in reach) for c in range(15))}
+        depth = {}
+        for i in range(15):
+            depth[i] = None if i in bad else 0
+        for _ in range(15):
+            for a, b in pairs:
+                if depth[a] is not None and depth[b] is not None:
+                    depth[b] = max(depth[b], depth[a] + 1)
+        assert {r.id: r.depth for r in graph.longest_path_depth(nodes, edges).collect()} == depth
+        assert graph.has_cycle(nodes, edges) == bool(bad)
+    chain = spark.range(40).selectExpr("id as src", "id + 1 as dst")
+    assert graph.longest_path_depth(spark.range(41), chain).agg({"depth": "max"}).first()[0] == 40
+    three = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4)], "src long, dst long")
+    assert {r.depth for r in graph.longest_path_depth(spark.range(1, 5), three).collect()} == {None}
+    empty = edges.limit(0)
+    assert graph.reachable(empty).count() == 0 and graph.transitive_reduction(empty).count() == 0 and graph.longest_path_depth(nodes.limit(0), empty).count() == 0
+
+
+def test_cycles_are_turned_against_the_grain():
+    def turned(*arrows):
+        return layout.break_cycles(list("abcd"), [{"id": i, "kind": k, "from": x, "to": y} for i, k, x, y in arrows])
+
+    # The node with more forward arrows out of it begins, so the arrow back to it is turned; other kinds have no say.
+    assert turned(("1", "hom", "b", "a"), ("2", "construction", "a", "b")) == {"2"}
+    assert turned(("1", "construction", "b", "a"), ("2", "construction", "a", "b")) == {"1"}
+    assert turned(("1", "instance", "a", "b"), ("2", "hom", "b", "a"), ("3", "data", "a", "a")) == set()
+    assert turned(("1", "generalizes", "a", "b"), ("2", "data", "a", "c"), ("3", "hom", "c", "a"), ("4", "hom", "b", "c")) == {"1", "2"}
+
+
+def test_match_and_vector_topk(spark):
+    import random
+
+    rng = random.Random(7)
+    word = lambda n: [f"w{rng.randrange(40)}" for _ in range(n)]
+    rows = [(f"i{k:03}", sorted(set(word(4))), sorted(set(word(rng.choice([0, 3, 9])))), [rng.gauss(0, 1) for _ in range(4)] if k % 3 else None) for k in range(60)]
+    schema = "id string, words array<string>, concepts array<string>, vector array<double>"
+    asked = [("c1", rows[3][1], rows[3][2], [1.0, 0.0, 0.0, 0.0]), ("c2", [], [], None), ("c3", ["none"], ["none"], [0.0] * 4)]
+    got = search.match(spark.createDataFrame(asked, schema), spark.createDataFrame(rows, schema).repartition(3), 4).collect()
+
+    def scored(c, i):
+        both, least = len(set(c[2]) | set(i[2])), min(len(c[1]), len(i[1]))
+        cos = sum(a * b for a, b in zip(c[3], i[3])) / sum(b * b for b in i[3]) ** 0.5 if c[3] and any(c[3]) and i[3] else None
+        concepts, title = len(set(c[2]) & set(i[2])) / both if both else 0, len(set(c[1]) & set(i[1])) / least if least else 0
+        return round((cos or 0) + 0.5 * concepts + 0.3 * title, 9), cos, concepts, title
+
+    for c in asked:
+        want = sorted(rows, key=lambda i: (-scored(c, i)[0], i[0]))[:4]
+        mine = sorted((r for r in got if r.candidate == c[0]), key=lambda r: r.place)
+        assert [r.id for r in mine] == [w[0] for w in want]
+        for r, w in zip(mine, want, strict=True):
+            _, cos, concepts, title = scored(c, w)
+            assert (r.cosine is None) == (cos is None) and abs((r.cosine or 0) - (cos or 0)) < 1e-4 and abs(r.concepts - concepts) < 1e-6 and abs(r.title_overlap - title) < 1e-6
+    vectors = spark.createDataFrame([(k, r[3]) for k, r in enumerate(rows)], "id long, vector array<double>")
+    top = search.vector_topk(vectors.where("id % 20 = 1"), vectors.repartition(3), 3).collect()
+    cos = lambda a, b: round(sum(x * y for x, y in zip(a, b, strict=True)) / sum(y * y for y in b) ** 0.5, 6)
+    for q in (1, 41):
+        want = sorted((k for k in range(60) if k != q and rows[k][3]), key=lambda k: (-cos(rows[q][3], rows[k][3]), k))[:3]
+        assert [r.id for r in sorted((r for r in top if r.query == q), key=lambda r: r.place)] == want
+    assert search.vector_topk(vectors.limit(0), vectors, 3).count() == 0 and search.match(spark.createDataFrame([], schema), spark.createDataFrame(rows, schema)).count() == 0
 
 
 HEADER = {"schema_version": "forest-0.3", "source": {"title": "T", "authors": [], "year": 2020, "kind": "book", "license": "CC0"}, "language": "en", "created": "2024-01-01", "tool": "t", "tool_version": "1", "derivative": False}
