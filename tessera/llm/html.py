@@ -497,7 +497,7 @@ def extract_main_text(pages: DataFrame, html_col: str = "html", keep: list[str]
     kept = drop_columns_clashing(pages.select(*keep) if keep else pages, "text", "n_chars")
     names = kept.columns
     given = pages.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)], F.col(f"`{html_col}`").alias("_html"))
-    # Only arrays are broadcast: their reader needs no module of this package.
+    # Only arrays are broadcast, so that who unpacks them needs no module of this package.
     shared = pages.sparkSession.sparkContext.broadcast(vars(model or fitted_model()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

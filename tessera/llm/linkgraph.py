@@ -6,7 +6,7 @@ other URLs the host decides: trust is personalised PageRank from hosts with
 allowed pages along links, distrust flows backwards over links from hosts with
 blocked pages, and a host is blocked where its distrust, less its trust for
 each of its pages, is above a threshold.  Distrust of a host is the chance
-that a reader who follows its links meets a blocked page: unlike a rank
+that one who follows its links meets a blocked page: unlike a rank
 backwards, which all hosts that link to a blocked one would share, it does not
 shrink with their number, and one half is the point from which that is more
 likely than not.
@@ -119,7 +119,7 @@ def pagerank(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
 def backward_distrust(links: DataFrame, hosts: DataFrame, damping: float = 0.85, rounds: int = 30, tolerance: float = 1e-6, **how) -> DataFrame:
     """``(host, distrust)``, zero to one, from ``links(src, dst, n)`` and ``hosts(host, pages, blocked)`` (pages of each, and how many are blocked).
 
-    The chance that a reader who starts on a page of the host and goes on over
+    The chance that one who starts on a page of the host and goes on over
     a link with chance ``damping`` meets a blocked page.  It hangs on a host's
     own pages and links, not on how many others link to the same host.  Hosts
     without distrust may not be listed.

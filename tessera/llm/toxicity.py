@@ -204,7 +204,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
     kept = drop_columns_clashing(docs.select(*keep) if keep else docs, "score", "predicted")
     names = kept.columns
     given = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)], F.col(f"`{text_col}`").alias("_text"))
-    # Only arrays are broadcast: their reader needs no module of this package.
+    # Only arrays are broadcast, so that who unpacks them needs no module of this package.
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,8 +1,8 @@
-"""WARC archives: a writer with revisit records, and a salvage reader.
+"""WARC archives: a writer with revisit records, and reading that salvages.
 
 The writer needs no Python: records are composed as strings and written by
 Spark's text writer.  Files hold at most ``RECORDS_PER_FILE`` records and, by
-classes of payload size, about ``FILE_BYTES``.  The reader takes whole files
+classes of payload size, about ``FILE_BYTES``.  Whole files are read
 as binary, plain or with gzip members.  Where a check fails (version line,
 header, length, end of record, gzip data, payload digest) it logs the bytes as
 a gap with the reason and goes on at the next place where a record or a member
