@@ -135,7 +135,7 @@ def advance(status: str | None, turn: int, action: str, questions: int = 3) -> t
 
 
 def progress_marks(marks: DataFrame) -> DataFrame:
-    """``user_id, id``: what each reader has mastered after the last reset; ``marks(user_id, id, action, at)`` with action mark, unmark or reset."""
+    """``user_id, id``: what each user has mastered after the last reset; ``marks(user_id, id, action, at)`` with action mark, unmark or reset."""
     resets = marks.where("action = 'reset'").groupBy("user_id").agg(F.max("at").alias("reset"))
     rest = marks.where("action != 'reset'").join(resets, "user_id", "left").where("reset is null or at > reset")
     last = rest.groupBy("user_id", "id").agg(F.max_by("action", F.struct("at", "action")).alias("action"))
