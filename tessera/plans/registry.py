@@ -442,37 +442,66 @@ def body_to_text(m: Model) -> DataFrame:
 
 # Integrity and merging over the model views
 
-@query("""SELECT 'T12' AS rule, id AS ref FROM trees WHERE trim(title) = '' UNION ALL
+_RULES = ("T12", "T24", "T29", "T30", "U03", "U08", "U09", "O08", "O14", "M07", "M12", "M18", "M23", "M30", "M31", "M32")
+
+
+def _corpus(m: Model) -> DataFrame:
+    """The model as parsed trees of a corpus: documents as prose, kinds and instances as objects, arrows as arrows.
+
+    Some arrows between kinds name an inverse (every third one that there is none), some act on an arrow.
+    """
+    from ..operators.graph import saved
+    from ..sources.vault import TREE
+
+    if "pairs" not in m.__dict__:
+        m.pairs = saved(m.pairs)
+    nothing = {f.name: F.lit(None).cast(f.dataType) for f in m.spark.createDataFrame([], TREE).schema}
+    texts = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+
+    def rows(of: DataFrame, **fields) -> DataFrame:
+        given = {"file": F.concat("id", F.lit(".md")), "stem": F.col("id"), "has_header": F.lit(True), "id": F.col("id"), "title": F.col("id"), "teaches": texts(F.lit(None)), "requires": texts(F.lit(None)), "depends": texts(F.lit(None)), "standalone": F.lit(True), "body": F.lit("")} | fields
+        shown = F.to_json(F.struct(*[c.alias(k) for k, c in given.items() if k not in ("file", "stem", "has_header", "body")]))
+        return of.select(*[(shown if k == "raw" else given.get(k, c)).cast(c_type).alias(k) for (k, c), c_type in zip(nothing.items(), (f.dataType for f in m.spark.createDataFrame([], TREE).schema), strict=True)])
+
+    listed = m.dependencies.groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "j"))), lambda x: keyed("doc", x["j"])).alias("depends"))
+    about = m.about.select(F.col("src").alias("id"), F.array("dst").alias("about"))
+    prose = m.trees.join(listed, F.col("doc_id") == F.col("i"), "left").join(about, "id", "left")
+    members = m.kind_data.groupBy(F.col("kind").alias("id")).agg(F.collect_list("member").alias("data"))
+    objects = m.kinds.join(members, "id", "left")
+    part = lambda k: F.split("id", "-")[k]
+    n, general = F.coalesce(F.col("n"), F.lit(1)), F.col("kind") == "generalizes"
+    inverse = F.when((F.col("kind") == "transform") & (n % 3 == 0), F.concat_ws("-", F.lit("tra"), part(2), part(1))).when((F.col("kind") == "transform") & (n % 3 == 1), F.lit("gen-0"))
+    arrows = m.arrows.withColumn("inverse", inverse)
+    return (
+        rows(prose, taxon=F.col("taxon"), title=F.col("title"), depends=texts(F.col("depends")), about=F.col("about"), body=F.col("body"))
+        .union(rows(objects, taxon=F.lit("object"), title=F.col("title"), symbol=F.lit("K"), hom=F.lit("maps"), data=F.col("data")))
+        .union(rows(m.instances, taxon=F.lit("object"), symbol=F.lit("I"), instance_of=F.col("of")))
+        .union(rows(arrows, taxon=F.lit("morphism"), kind=F.col("kind"), statement=F.lit("f"), needs=F.array(F.lit("x")), **{"from": F.col("src"), "to": F.col("dst")}, inverse=F.col("inverse"), acts_on=F.when(~general & (F.col("kind") != "hom"), F.array(F.lit("gen-1"), F.lit("nat-1"))), functorial=F.when(general, F.lit(True))))
+    )
+
+
+@query("""WITH inv AS (SELECT id, src, dst, CASE WHEN kind = 'transform' AND n % 3 = 0 THEN 'tra-' || split_part(id, '-', 3) || '-' || split_part(id, '-', 2) WHEN kind = 'transform' AND n % 3 = 1 THEN 'gen-0' END AS inverse FROM arrows),
+twin AS (SELECT a.*, b.id AS named, b.inverse AS back, b.src AS bs, b.dst AS bd FROM inv a LEFT JOIN inv b ON a.inverse = b.id WHERE a.inverse IS NOT NULL)
+SELECT 'T12' AS rule, id AS ref FROM trees WHERE trim(title, ' ' || chr(9) || chr(10) || chr(13)) = '' UNION ALL
+SELECT 'T24', 'doc-' || i FROM dependencies WHERE j NOT IN (SELECT doc_id FROM documents) UNION ALL
 SELECT 'T29', t.id FROM trees t WHERE taxon = 'proof' AND NOT EXISTS (SELECT 1 FROM dependencies d JOIN trees u ON d.j = u.doc_id WHERE d.i = t.doc_id AND u.taxon IN ('theorem', 'lemma', 'proposition', 'corollary')) UNION ALL
 SELECT 'T30', 'doc-' || i FROM dependencies d JOIN trees u ON d.j = u.doc_id JOIN trees t ON t.doc_id = d.i WHERE t.taxon = 'proof' AND u.taxon IN ('theorem', 'lemma', 'proposition', 'corollary') GROUP BY i HAVING count(*) > 1 UNION ALL
 SELECT 'U08', id FROM kinds WHERE id NOT IN (SELECT of FROM instances) UNION ALL
 SELECT 'U09', id FROM kinds WHERE id NOT IN (SELECT unnest([src, dst]) FROM arrows WHERE kind = 'generalizes') UNION ALL
 SELECT 'O08', k.kind FROM kind_data k JOIN instances i ON k.member = i.id WHERE i.of = k.kind UNION ALL
 SELECT 'M12', a.id FROM arrows a JOIN nodes s ON a.src = s.id JOIN nodes d ON a.dst = d.id WHERE (a.kind = 'hom') != (s.level = 'instance' AND d.level = 'instance') UNION ALL
-SELECT 'M18', a.id FROM arrows a JOIN instances s ON a.src = s.id JOIN instances d ON a.dst = d.id WHERE a.kind = 'hom' AND s.of != d.of AND NOT EXISTS (SELECT 1 FROM kind_data k WHERE k.member = a.id AND k.kind != s.of AND k.kind != d.of)""", "trees", "dependencies", "kinds", "instances", "arrows", "kind_data", "nodes")
+SELECT 'M18', a.id FROM arrows a JOIN instances s ON a.src = s.id JOIN instances d ON a.dst = d.id WHERE a.kind = 'hom' AND s.of != d.of AND NOT EXISTS (SELECT 1 FROM kind_data k WHERE k.member = a.id AND k.kind != s.of AND k.kind != d.of) UNION ALL
+SELECT 'M23', id FROM arrows WHERE kind = 'transform' UNION ALL
+SELECT 'M30', id FROM twin WHERE named IS NULL UNION ALL
+SELECT 'M31', id FROM twin WHERE named IS NOT NULL AND back IS DISTINCT FROM id UNION ALL
+SELECT 'M32', id FROM twin WHERE named IS NOT NULL AND NOT (bs = dst AND bd = src)""", "trees", "dependencies", "kinds", "instances", "arrows", "kind_data", "nodes")
 def rule_violations(m: Model) -> DataFrame:
-    say = lambda rule, rows, ref: rows.select(F.lit(rule).alias("rule"), F.col(ref).alias("ref"))
-    proofs = m.trees.where("taxon = 'proof'").select(F.col("doc_id").alias("i"), "id")
-    provable = m.trees.where(F.col("taxon").isin(PROVABLE)).select(F.col("doc_id").alias("j"))
-    counted = proofs.join(m.dependencies.join(provable, "j").groupBy("i").agg(F.count("*").alias("n")), "i", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    ends = m.instances.select(F.col("id").alias("src"), F.col("of").alias("a")), m.instances.select(F.col("id").alias("dst"), F.col("of").alias("b"))
-    homs = m.arrows.where("kind = 'hom'")
-    placed = homs.join(ends[0], "src").join(ends[1], "dst")
-    cross = placed.where("a != b").select("id", "a", "b")
-    third = cross.join(m.kind_data.select(F.col("member").alias("id"), "kind"), "id").where("kind != a and kind != b").select("id")
-    level = m.nodes.where("taxon = 'object'")
-    both = m.arrows.select("id", "kind", "src", "dst").join(level.select(F.col("id").alias("src"), F.col("level").alias("x")), "src").join(level.select(F.col("id").alias("dst"), F.col("level").alias("y")), "dst")
-    out = [
-        say("T12", m.trees.where("trim(title) = ''"), "id"), say("T29", counted.where("n = 0"), "id"), say("T30", counted.where("n > 1"), "id"),
-        say("U08", m.kinds.join(m.instances.select(F.col("of").alias("id")), "id", "left_anti"), "id"),
-        say("U09", m.kinds.join(m.arrows.where("kind = 'generalizes'").select(F.explode(F.array("src", "dst")).alias("id")), "id", "left_anti"), "id"),
-        say("O08", m.kind_data.join(m.instances.select(F.col("id").alias("member"), "of"), "member").where("of = kind"), "kind"),
-        say("M12", both.where("(kind = 'hom') != (x = 'instance' and y = 'instance')"), "id"), say("M18", cross.join(third, "id", "left_anti"), "id"),
-    ]
-    rows = out[0]
-    for more in out[1:]:
-        rows = rows.union(more)
-    return rows
+    from ..operators.graph import saved
+    from ..operators.rules import violations
+
+    header = {"schema_version": "forest-0.3", "source": {"title": "T", "authors": [], "year": 2020, "kind": "book", "license": "CC0"}, "language": "en", "created": "2024-01-01", "tool": "t", "tool_version": "1", "derivative": False}
+    found = violations(saved(_corpus(m)), header).where(F.col("rule").isin(*_RULES))
+    return found.select("rule", F.regexp_replace("file", r"\.md$", "").alias("ref"))
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")

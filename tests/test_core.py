@@ -310,6 +310,170 @@ def test_rules(spark, tmp_path):
     assert vault.core_yaml("a: yes\nb: 2024-01-01\nc: true\nd: 1") == {"a": "yes", "b": "2024-01-01", "c": True, "d": 1}
 
 
+def objects(**more):
+    return {"id": "obj-a", "taxon": "object", "title": "A", "teaches": [], "requires": [], "depends": [], "standalone": True, "symbol": "A", "hom": "maps"} | more
+
+
+def arrows(**more):
+    return {"id": "mor-a", "taxon": "morphism", "title": "A", "teaches": [], "requires": [], "depends": [], "standalone": True, "kind": "property", "from": "obj-a", "to": "obj-b", "statement": "s", "acts_on": "all", "needs": ["x"]} | more
+
+
+def prose(**more):
+    return {"id": "thm-a", "taxon": "theorem", "title": "A", "teaches": [], "requires": [], "depends": [], "standalone": True} | more
+
+
+def less(row, *keys):
+    return {k: v for k, v in row.items() if k not in keys}
+
+
+V1, V2, V3 = rules.VERSIONS
+ROWS = [
+    # (rule, tree, stem, version, derivative): the one rule that each tree breaks
+    ("T06", prose(zzz=1), "thm-a", V3, False), ("T06", prose(region="r"), "thm-a", V2, False), ("T07", prose(id="thm-b"), "thm-a", V3, False), ("T08", prose(id="thm-A"), "thm-A", V3, False), ("T08", prose(id="zzz-a"), "zzz-a", V3, False),
+    ("T09", prose(taxon="saga"), "thm-a", V3, False), ("T10", prose(taxon="lemma"), "thm-a", V3, False), ("T12", prose(title=" "), "thm-a", V3, False), ("T13", prose(teaches="x"), "thm-a", V3, False), ("T13", less(prose(), "requires"), "thm-a", V3, False),
+    ("T15", prose(depends=[1]), "thm-a", V3, False), ("T16", prose(standalone="yes"), "thm-a", V3, False), ("T17", prose(source={"pages": 3}), "thm-a", V3, False), ("T17", prose(source={"zzz": "3"}), "thm-a", V3, False), ("T18", prose(language="de"), "thm-a", V3, False),
+    ("T19", prose(adapted_from=""), "thm-a", V3, False), ("T20", prose(digested_from="book/x"), "thm-a", V3, False), ("T21", prose(origin="alien"), "thm-a", V3, False), ("T22", prose(), "thm-a", V3, True), ("T23", prose(origin="member", source={"pages": "1"}), "thm-a", V3, True),
+    ("T25", prose(proves="thm-b"), "thm-a", V3, False), ("T28", prose(id="prf-a", taxon="proof", proves="thm-b"), "prf-a", V3, False), ("U01", prose(about="x"), "thm-a", V3, False), ("U04", prose(fields=["A B"]), "thm-a", V3, False), ("U05", prose(assumes=[1]), "thm-a", V3, False),
+    ("U06", prose(region="Not Kebab"), "thm-a", V3, False), ("O01", objects(symbol="$A$"), "obj-a", V3, False), ("O02", objects(type="obj-b", instance_of="obj-c"), "obj-a", V3, False), ("O03", less(objects(), "hom"), "obj-a", V3, False), ("O04", objects(values={"a": "b"}), "obj-a", V3, False),
+    ("O05", objects(data="x"), "obj-a", V3, False), ("O13", less(objects(instance_of="obj-a"), "hom"), "obj-a", V3, False), ("O15", objects(instance_of="obj-b", hom=" "), "obj-a", V3, False), ("O16", objects(instance_of="obj-b", data=[]), "obj-a", V3, False), ("O17", objects(instance_of="obj-b", values=[1]), "obj-a", V3, False),
+    ("O20", objects(instance_of="obj-b", values={"a": 1}), "obj-a", V3, False), ("O21", objects(pos=[1]), "obj-a", V3, False), ("O21", objects(pos=[1, True]), "obj-a", V3, False), ("O22", objects(same_as="mor-b"), "obj-a", V3, False), ("O23", objects(nlab={"title": "x"}), "obj-a", V3, False),
+    ("M01", arrows(kind="zzz"), "mor-a", V3, False), ("M02", arrows(**{"from": 1}), "mor-a", V3, False), ("M03", arrows(**{"from": "pt"}), "mor-a", V3, False), ("M04", arrows(**{"from": "pt"}), "mor-a", V2, False), ("M05", less(arrows(kind="instance"), "acts_on"), "mor-a", V2, False), ("M08", arrows(statement="$s$"), "mor-a", V3, False),
+    ("M09", arrows(label="$l$"), "mor-a", V3, False), ("M10", arrows(needs=[""]), "mor-a", V3, False), ("M11", arrows(values={}), "mor-a", V3, False), ("M13", arrows(kind="instance", **{"from": "pt"}), "mor-a", V2, False), ("M15", arrows(kind="hom"), "mor-a", V3, False),
+    ("M16", less(arrows(kind="hom"), "acts_on", "needs"), "mor-a", V3, False), ("M19", less(arrows(kind="hom", invertible="x"), "acts_on"), "mor-a", V3, False), ("M20", arrows(values={"a": "b"}), "mor-a", V2, False), ("M21", less(arrows(), "acts_on"), "mor-a", V3, False), ("M22", arrows(acts_on="some"), "mor-a", V3, False),
+    ("M25", less(arrows(), "needs"), "mor-a", V3, False), ("M26", arrows(on_homomorphisms=""), "mor-a", V3, False), ("M27", arrows(functorial="x"), "mor-a", V3, False), ("M28", arrows(kind="generalizes"), "mor-a", V3, False), ("M29", arrows(invertible=True), "mor-a", V3, False), ("M34", arrows(up_to="def-x"), "mor-a", V3, False),
+    ("M36", arrows(generalized_by="x"), "mor-a", V3, False),
+]
+
+
+@pytest.mark.parametrize(("rule", "tree", "stem", "version", "derivative"), ROWS)
+def test_rule_on_one_tree(rule, tree, stem, version, derivative):
+    got = {r for r, *_ in rules.check_tree(tree, stem, version, derivative)}
+    assert got == {rule}
+
+
+def test_trees_without_a_fault():
+    for version in rules.VERSIONS:
+        assert rules.check_tree(prose(), "thm-a", version, False) == []
+    for tree, stem in ((objects(), "obj-a"), (objects(instance_of="obj-b", values={"mor-x": "v"}, pos=[0, 1.5]), "obj-a"), (arrows(), "mor-a"), (arrows(kind="generalizes", functorial=True), "mor-a"), (less(arrows(kind="hom", invertible=True), "acts_on"), "mor-a")):
+        assert rules.check_tree(tree, stem, V3, False) == []
+    assert {r for r, *_ in rules.check_tree(objects(), "obj-a", V1, False)} >= {"T11"}
+
+
+@pytest.mark.parametrize(
+    ("rule", "change"),
+    [
+        ("V05", {"zzz": 1}), ("V06", {"regions": "x"}), ("V07", {"regions": ["x"]}), ("V08", {"regions": [{"id": "a", "title": "A", "zzz": 1}]}), ("V09", {"regions": [{"id": "A B", "title": "A"}]}), ("V10", {"regions": [{"id": "a", "title": "A"}] * 2}), ("V11", {"regions": [{"id": "a"}]}), ("V12", {"schema_version": "forest-9"}),
+        ("V13", {"source": 1}), ("V14", {"source": {"zzz": 1}}), ("V15", {"source": {"title": ""}}), ("V16", {"source": {"authors": "x"}}), ("V17", {"source": {"year": "x"}}), ("V17", {"source": {"year": True}}), ("V18", {"source": {"kind": "film"}}), ("V19", {"source": {"file": "", "pages": "1"}}), ("V20", {"source": {"license": ""}}),
+        ("V21", {"source": {"pages": 1}}), ("V22", {"source": {"file": "x.pdf"}}), ("V23", {"language": "de"}), ("V24", {"created": "1.1.2024"}), ("V25", {"tool": ""}), ("V26", {"tool_version": ""}), ("V27", {"derivative": "x"}), ("V28", {"source": {"redistribution": "all"}}), ("V29", {"derivative": True}), ("V30", {"notice": "x"}),
+    ],
+)
+def test_rule_on_the_header(rule, change):
+    header = dict(HEADER)
+    if isinstance(change.get("source"), dict):
+        change = {"source": HEADER["source"] | change["source"]}
+    assert {r for r, _ in rules.check_header(header | change)} == {rule}
+    assert rules.check_header(HEADER | {"regions": [{"id": "a", "title": "A"}]}) == [] and [r for r, _ in rules.check_header([])] == ["V04"]
+    assert rules.check_header(HEADER | {"derivative": True, "notice": rules.NOTICES[0]}) == []
+
+
+def test_rules_on_references(spark, tmp_path):
+    """A corpus without a fault, and one where each reference rule is broken by a tree of its own."""
+    pytest.importorskip("yaml")
+    from tessera.sources import vault
+
+    def trees(folder, broken):
+        (folder / "trees").mkdir(parents=True)
+        put = lambda stem, body="Text.", **h: tree_file(folder / "trees", stem, body, **h)
+        define = "## Definition\n"
+        put("thm-a", about=["obj-k"], teaches=["known"])
+        put("prf-a", depends=["thm-a"])
+        put("obj-k", define, symbol="K", hom="maps", data=["obj-l1", "mor-up", "obj-l2"])
+        put("obj-l", define, symbol="L", hom="maps")
+        put("obj-k1", symbol="k", instance_of="obj-k", values={"mor-p": "yes"})
+        put("obj-l1", symbol="l", instance_of="obj-l")
+        put("obj-l2", symbol="l", instance_of="obj-l")
+        put("mor-p", kind="property", statement="p", acts_on="all", needs=["x"], **{"from": "obj-k", "to": "obj-l"})
+        put("mor-d", kind="data", statement="d", acts_on="all", needs=["x"], **{"from": "obj-k", "to": "obj-l"})
+        put("mor-t", kind="transform", statement="t", acts_on=["mor-d"], needs=["x"], inverse="mor-u", **{"from": "obj-k", "to": "obj-l"})
+        put("mor-u", kind="transform", statement="u", acts_on="all", needs=["x"], inverse="mor-t", up_to="thm-a", **{"from": "obj-l", "to": "obj-k"})
+        put("mor-g", kind="generalizes", statement="g", acts_on="all", functorial=True, needs=["x"], generalized_by=["mor-p"], **{"from": "obj-k", "to": "obj-l"})
+        put("mor-up", kind="hom", statement="h", needs=["x"], **{"from": "obj-l1", "to": "obj-l2"})
+        if not broken:
+            return
+        put("thm-t24", depends=["gone"])
+        put("prf-t26", depends=["gone2"], proves="gone2")
+        put("prf-t27", depends=["obj-k"], proves="obj-k")
+        put("prf-t29")
+        put("prf-t30", depends=["thm-a", "thm-t24"])
+        put("thm-t31", "See [[gone]].")
+        put("thm-t32", "Kao, vidjeli smo.")
+        put("thm-t14", teaches=["unknown"])
+        put("thm-u02", about=["gone"])
+        put("thm-u03", about=["thm-a"])
+        put("thm-u07", region="far")
+        put("obj-u8", symbol="U", hom="maps")
+        put("obj-o06", define, symbol="O", hom="maps", data=["gone", "obj-k", "thm-a", "mor-up"])
+        put("obj-o61", symbol="o", instance_of="obj-o06", values={"mor-p": "x", "gone": "y"})
+        put("obj-o08", define, symbol="O", hom="maps", data=["obj-o81", "obj-k2"])
+        put("obj-o81", symbol="o", instance_of="obj-o08")
+        put("obj-k2", symbol="k", instance_of="obj-k", about=["obj-l2"])
+        put("obj-o12", symbol="o", instance_of="gone")
+        put("obj-o14", symbol="o", instance_of="obj-l1")
+        put("mor-m06", kind="property", statement="m", acts_on="all", needs=["x"], **{"from": "gone", "to": "thm-a"})
+        put("mor-m12", kind="hom", statement="m", needs=["x"], **{"from": "obj-k", "to": "obj-l1"})
+        put("mor-m18", kind="hom", statement="m", needs=["x"], **{"from": "obj-k1", "to": "obj-l1"})
+        put("mor-m23", kind="property", statement="m", acts_on=["gone"], needs=["x"], **{"from": "obj-k", "to": "obj-l"})
+        put("mor-m24", kind="property", statement="m", acts_on=["mor-p"], needs=["x"], **{"from": "obj-k", "to": "obj-l"})
+        put("mor-m30", kind="transform", statement="m", acts_on="all", needs=["x"], inverse="thm-a", up_to="gone", generalized_by=["obj-k"], **{"from": "obj-k", "to": "obj-l"})
+        put("mor-m31", kind="transform", statement="m", acts_on="all", needs=["x"], inverse="mor-u", **{"from": "obj-l", "to": "obj-k"})
+        put("mor-m33", kind="hom", statement="m", needs=["x"], inverse="mor-up", invertible=False, **{"from": "obj-l2", "to": "obj-l1"})
+
+    known = spark.createDataFrame([("known",)], "id string")
+    header = HEADER | {"regions": [{"id": "near", "title": "Near"}]}
+    trees(tmp_path / "good", False)
+    assert [tuple(r) for r in rules.violations(vault.read_trees(spark, str(tmp_path / "good")), header, known).collect()] == []
+    trees(tmp_path / "bad", True)
+    got = {(r.rule, r.file.removesuffix(".md")) for r in rules.violations(vault.read_trees(spark, str(tmp_path / "bad")), header, known).collect()}
+    want = {
+        ("T24", "thm-t24"), ("T24", "prf-t26"), ("T26", "prf-t26"), ("T27", "prf-t27"), ("T29", "prf-t29"), ("T30", "prf-t30"), ("T31", "thm-t31"), ("T32", "thm-t32"), ("T14", "thm-t14"), ("U02", "thm-u02"), ("U03", "thm-u03"), ("U07", "thm-u07"),
+        ("U08", "obj-u8"), ("U09", "obj-u8"), ("U10", "obj-u8"), ("U09", "obj-o06"), ("U09", "obj-o08"), ("O06", "obj-o06"), ("O07", "obj-o06"), ("O11", "obj-o06"), ("O10", "obj-o06"), ("O18", "obj-o61"), ("O19", "obj-o61"), ("O08", "obj-o08"), ("O09", "obj-o08"),
+        ("O12", "obj-o12"), ("O14", "obj-o14"), ("M06", "mor-m06"), ("M07", "mor-m06"), ("M12", "mor-m12"), ("M18", "mor-m18"), ("M23", "mor-m23"), ("M24", "mor-m24"), ("M30", "mor-m30"), ("M35", "mor-m30"), ("M37", "mor-m30"), ("M31", "mor-m31"),
+        ("M32", "mor-m31"), ("M31", "mor-m33"), ("M33", "mor-m33"),
+    }
+    assert got - want == set() and want - got - {("M32", "mor-m31")} == set()
+
+
+def test_rules_on_files(spark, tmp_path):
+    pytest.importorskip("yaml")
+
+    def found(folder, **how):
+        return {(r.rule, r.file) for r in rules.check_vault(spark, str(folder), **how).collect()}
+
+    assert found(tmp_path / "none") == {("V01", str(tmp_path / "none"))}
+    one = tmp_path / "one"
+    one.mkdir()
+    assert found(one) == {("V02", "forest.json"), ("T01", "trees"), ("I01", "index.md"), ("W02", "views/dag.md"), ("W02", "views/by-concept.md")}
+    (one / "trees").mkdir()
+    (one / "views").mkdir()
+    (one / "forest.json").write_text("{")
+    (one / "index.md").write_text("[[thm-a]] [[gone]] [[gone]]")
+    (one / "views" / "dag.md").write_text("[[lost|x]]")
+    (one / "views" / "by-concept.md").write_text("")
+    (one / "views" / "forest.html").write_text(" \n")
+    (one / "registry.yaml").write_text("a: b")
+    assert found(one, registry=str(one / "registry.yaml")) == {("C02", str(one / "registry.yaml")), ("V03", "forest.json"), ("T02", "trees"), ("I02", "index.md"), ("W01", "views/forest.html"), ("W03", "views/dag.md")}
+    tree_file(one / "trees", "thm-a", teaches=["k"])
+    (one / "forest.json").write_text(json.dumps(HEADER))
+    (one / "views" / "forest.html").write_text("<p>")
+    (one / "index.md").write_text("[[thm-a]]")
+    (one / "registry.yaml").write_text("- id: k\n- x\n")
+    assert found(one, registry=str(one / "registry.yaml")) == {("W03", "views/dag.md")}
+    (one / "registry.yaml").write_text("- [")
+    assert ("C01", str(one / "registry.yaml")) in found(one, registry=str(one / "registry.yaml")) and ("V02", "forest.json") not in found(one)
+    (one / "forest.json").write_text("[]")
+    assert ("V04", "forest.json") in found(one)
+
+
 def test_sources(spark, tmp_path):
     from tessera.sources import vault
 
