@@ -197,7 +197,7 @@ def flattened_links(bodies: DataFrame, resolved: DataFrame, pattern: str = r"\[\
     ``bodies(id, body)``, ``resolved(target, new)``.  Returns ``(id, body)`` and ``(id, target)``.
     """
     pieces = F.split("body", pattern, -1)
-    rows = bodies.select("id", pieces.alias("pieces"), F.transform(F.regexp_extract_all("body", F.lit(pattern), F.lit(1)), F.trim).alias("targets"), F.regexp_extract_all("body", F.lit(pattern), F.lit(2)).alias("labels"), F.regexp_extract_all("body", F.lit(pattern), F.lit(0)).alias("whole"))
+    rows = bodies.select("id", pieces.alias("pieces"), F.transform(F.regexp_extract_all("body", F.lit(pattern), F.lit(1)), lambda x: F.trim(x)).alias("targets"), F.regexp_extract_all("body", F.lit(pattern), F.lit(2)).alias("labels"), F.regexp_extract_all("body", F.lit(pattern), F.lit(0)).alias("whole"))
     each = rows.select("id", F.posexplode(F.arrays_zip("targets", "labels", "whole")).alias("pos", "l")).select("id", "pos", F.col("l.targets").alias("target"), F.col("l.labels").alias("label"), F.contains("l.whole", F.lit("|")).alias("has_label"))
     each = each.join(resolved, "target", "left")
     put = F.when(F.col("new").isNotNull(), F.concat(F.lit("[["), F.col("new"), F.when(F.col("has_label"), F.concat(F.lit("|"), F.col("label"))).otherwise(F.lit("")), F.lit("]]"))).otherwise(F.when(F.col("has_label"), F.col("label")).otherwise(F.col("target")))
