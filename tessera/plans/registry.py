@@ -570,16 +570,20 @@ def _requests(m: Model) -> tuple[DataFrame, DataFrame]:
     return events.where("event_type = 'view'"), events.where("event_type in ('purchase', 'error')")
 
 
-@query("""SELECT event_id, user_id FROM events r WHERE event_type = 'view' AND NOT EXISTS (SELECT 1 FROM events s WHERE s.user_id = r.user_id AND s.event_type IN ('purchase', 'error') AND (s.ts, s.event_id) > (r.ts, r.event_id))""")
+def _mailbox(m: Model) -> tuple[DataFrame, DataFrame]:
+    """Views as requests, and each purchase or error as a status of the request with the id before it."""
+    events = m.table("events")
+    return events.where("event_type = 'view'").withColumnRenamed("event_id", "id"), events.where("event_type in ('purchase', 'error')").select((F.col("event_id") - 1).alias("id"))
+
+
+@query("SELECT event_id AS id, user_id FROM events WHERE event_type = 'view' AND event_id NOT IN (SELECT event_id - 1 FROM events WHERE event_type IN ('purchase', 'error'))")
 def unhandled_requests(m: Model) -> DataFrame:
-    asked, said = _requests(m)
-    last = said.groupBy("user_id").agg(F.max(F.struct("ts", "event_id")).alias("last"))
-    return asked.join(last, "user_id", "left").where(F.col("last").isNull() | (F.struct("ts", "event_id") > F.col("last"))).select("event_id", "user_id")
+    return Z.unhandled(*_mailbox(m)).select("id", "user_id")
 
 
-@query("SELECT user_id, arg_min(event_id, (ts, event_id)) AS event_id FROM events WHERE event_type = 'view' GROUP BY user_id")
+@query("SELECT user_id, arg_min(event_id, (ts, event_id)) AS id FROM events WHERE event_type = 'view' AND event_id NOT IN (SELECT event_id - 1 FROM events WHERE event_type IN ('purchase', 'error')) GROUP BY user_id")
 def next_request(m: Model) -> DataFrame:
-    return _requests(m)[0].groupBy("user_id").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+    return Z.next_request(*_mailbox(m), by="ts", per="user_id").select("user_id", "id")
 
 
 @query("SELECT user_id, max(ts) AS last, epoch_us((SELECT max(ts) FROM events)) - epoch_us(max(ts)) < 90000000 AS alive FROM events WHERE event_type = 'click' GROUP BY user_id")
@@ -603,8 +607,9 @@ def session_log(m: Model) -> DataFrame:
 
 @query("""SELECT conv_id, CASE WHEN count(*) FILTER (role = 'user') >= 3 THEN 'done' ELSE 'active' END AS status, CAST(least(3, count(*) FILTER (role = 'user') + 1) AS INTEGER) AS turn FROM conversations GROUP BY conv_id""")
 def session_status(m: Model) -> DataFrame:
-    counted = m.table("conversations").groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("n"))
-    return counted.select("conv_id", F.when(F.col("n") >= 3, "done").otherwise("active").alias("status"), F.least(F.lit(3), F.col("n") + 1).cast("int").alias("turn"))
+    turns = m.table("conversations").select("conv_id", F.col("turn").alias("at"), F.when(F.col("role") == "user", "answer").otherwise("other").alias("action"))
+    begun = turns.select("conv_id", F.lit(-1).cast(turns.schema["at"].dataType).alias("at"), F.lit("start").alias("action")).distinct()
+    return Z.session_states(turns.union(begun), key="conv_id")
 
 
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY ALL")

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.graph import saved
+
 REQUEST = "id string, kind string, tree string, selection string, question string, reply_to string, session string, action string, trail array<string>, progress array<string>, created timestamp"
 STATUS = "id string, state string, message string, at timestamp"
 #: Caps of a request, seconds until a watcher is stale, states that end a request.
@@ -25,18 +27,27 @@ def read_requests(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(REQUEST).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "request.json").json(folder)
 
 
-def clipped(requests: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """Requests with long texts and lists cut; ids that are not known are dropped, order kept.  Works on streams (the known ids are the static side)."""
+def clipped(requests: DataFrame, known: DataFrame | None = None, key: str = "id") -> DataFrame:
+    """Requests with long texts and lists cut; ids that are not ``known(id)`` are dropped, order kept.
+
+    On a stream this is done in ``foreachBatch`` (see ``watch``).  Ids are
+    looked up by a join; only the lists go through it.
+    """
     cut = lambda c: F.substring(c, 1, MOST_TEXT).alias(c)
-    out = requests
-    if known is not None:
-        ids = known.agg(F.collect_set("id").alias("_ids"))
-        out = out.join(F.broadcast(ids), how="inner", on=F.lit(True))
-        keep = lambda c: F.filter(c, lambda x: F.array_contains("_ids", x))
-    else:
-        keep = F.col
-    columns = [c for c in requests.columns if c not in ("selection", "question", "trail", "progress")]
-    return out.select(*columns, cut("selection"), cut("question"), F.slice(keep("trail"), 1, MOST_TRAIL).alias("trail"), F.slice(keep("progress"), 1, MOST_PROGRESS).alias("progress"))
+    lists = {"trail": MOST_TRAIL, "progress": MOST_PROGRESS}
+    out = requests.select(*[cut(c) if c in ("selection", "question") else F.col(c) for c in requests.columns])
+    if known is None:
+        return out.select(*[F.slice(c, 1, lists[c]).alias(c) if c in lists else F.col(c) for c in out.columns])
+
+    def placed(c: str):
+        return F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x, i: F.struct(F.lit(c).alias("list"), i.alias("pos"), x.alias("known_id")))
+
+    each = F.concat(*[placed(c) for c in lists])
+    rows = requests.select(F.col(key).alias("_key"), F.explode(each).alias("x")).select("_key", "x.*").join(known.select(F.col("id").alias("known_id")).distinct(), "known_id", "left_semi")
+    kept = rows.groupBy("_key").agg(*[F.transform(F.array_sort(F.collect_list(F.when(F.col("list") == c, F.struct("pos", "known_id")))), lambda x: x["known_id"]).alias(f"_{c}") for c in lists])
+    none = F.array().cast("array<string>")
+    joined = out.join(kept, F.col(key) == F.col("_key"), "left")
+    return joined.select(*[F.when(F.col(c).isNotNull(), F.slice(F.coalesce(F.col(f"_{c}"), none), 1, lists[c])).alias(c) if c in lists else F.col(c) for c in out.columns])
 
 
 def unhandled(requests: DataFrame, statuses: DataFrame) -> DataFrame:
@@ -44,9 +55,52 @@ def unhandled(requests: DataFrame, statuses: DataFrame) -> DataFrame:
     return requests.join(statuses.select("id").distinct(), "id", "left_anti")
 
 
-def next_request(requests: DataFrame, statuses: DataFrame, by: str = "id") -> DataFrame:
-    """The first unhandled request; none gives no row."""
-    return unhandled(requests, statuses).orderBy(by).limit(1)
+def next_request(requests: DataFrame, statuses: DataFrame, by: str = "id", per: str | None = None) -> DataFrame:
+    """The first unhandled request, or that of each ``per``; none gives no row."""
+    free = unhandled(requests, statuses)
+    if per is None:
+        return free.orderBy(by).limit(1)
+    return free.groupBy(per).agg(F.min_by(F.struct(*[c for c in free.columns if c != per]), F.struct(by, "id")).alias("r")).select(per, "r.*")
+
+
+def watch(spark: SparkSession, requests: DataFrame, status_folder: str, work, checkpoint: str, seconds: float = 480, every: str = "2 seconds", known: DataFrame | None = None) -> int | None:
+    """Handle a stream of requests until some were handled or the time is over; returns how many (None if none came).
+
+    A request without a status is claimed first, by a status written to
+    ``status_folder``, then ``work(rows)`` gets the claimed requests, then their
+    end is written: who is lost between the two leaves a claim to be seen, and
+    a batch that runs again does not work on them twice.  ``work`` returns
+    ``(id, state, message)``.
+    """
+    handled = []
+
+    def written(rows: DataFrame) -> None:
+        rows.select("id", "state", "message", F.current_timestamp().alias("at")).write.mode("append").parquet(status_folder)
+
+    def batch(rows: DataFrame, _: int) -> None:
+        session = rows.sparkSession
+        said = session.read.schema(STATUS).parquet(status_folder) if _exists(session, status_folder) else session.createDataFrame([], STATUS)
+        todo = saved(clipped(unhandled(rows, said), known))  # what is claimed below must not change it
+        if n := todo.count():
+            written(todo.select("id", F.lit("claimed").alias("state"), F.lit(None).cast("string").alias("message")))
+            written(work(todo))
+            handled.append(n)
+
+    query = requests.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+    try:
+        left = seconds
+        while left > 0 and not handled and not query.awaitTermination(min(left, 0.5)):
+            left -= 0.5
+        if query.exception():
+            raise query.exception()
+    finally:
+        query.stop()
+    return sum(handled) or None
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
 
 
 def liveness(beats: DataFrame, now, key: str = "user_id", ts: str = "ts", seconds: int = STALE_SECONDS) -> DataFrame:
@@ -121,6 +175,24 @@ def session_stream(events: DataFrame, questions: int = 3) -> DataFrame:
     return events.groupBy("slug").applyInPandasWithState(step, "slug string, status string, turn int", "status string, turn int", "append", GroupStateTimeout.NoTimeout)
 
 
+def session_states(events: DataFrame, questions: int = 3, key: str = "slug") -> DataFrame:
+    """``key, status, turn``: where each session stands after all its actions, ``events(key, action, at)``; a session is a few actions."""
+    actions = events.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "action"))), lambda x: x["action"]).alias("actions"))
+    start = F.struct(F.lit(None).cast("string").alias("status"), F.lit(0).alias("turn"))
+
+    def step(s, a):
+        to = lambda status, turn: F.struct(F.lit(status).cast("string").alias("status"), turn.alias("turn"))
+        return (
+            F.when((a == "start") & s["status"].isNull(), to("active", F.lit(1)))
+            .when((a == "answer") & (s["status"] == "active"), F.when(s["turn"] >= questions, to("done", s["turn"])).otherwise(to("active", s["turn"] + 1)))
+            .when((a == "pause") & (s["status"] == "active"), to("paused", s["turn"]))
+            .when(a.isin("start", "resume") & (s["status"] == "paused"), to("active", s["turn"]))
+            .otherwise(s)
+        )
+
+    return actions.select(key, F.aggregate("actions", start, step).alias("s")).select(key, "s.status", "s.turn")
+
+
 def advance(status: str | None, turn: int, action: str, questions: int = 3) -> tuple[str | None, int]:
     """A session's state after an action; actions that don't fit leave it."""
     if action == "start" and status is None:

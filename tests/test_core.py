@@ -500,6 +500,48 @@ def test_streams(spark, tmp_path):
     assert [tuple(r) for r in mailbox.progress_marks(marks).collect()] == [(1, "b")]
 
 
+def test_watch_claims_and_times_out(spark, tmp_path):
+    box, folder = tmp_path / "box", str(tmp_path / "status")
+
+    def put(i, **more):
+        (box / i).mkdir(parents=True)
+        (box / i / "request.json").write_text(json.dumps({"id": i, "question": "q" * 5000, "trail": ["b", "gone", "a"]} | more))
+
+    put("r1")
+    put("r2", trail=[f"a{k}" for k in range(20)] + ["a"])
+    spark.createDataFrame([("r2", "claimed", None, None)], mailbox.STATUS).write.parquet(folder)
+    seen = []
+
+    def work(rows):
+        seen.extend(rows.select("id", F.length("question").alias("n"), "trail").collect())
+        return rows.select("id", F.lit("done").alias("state"), F.lit("ok").alias("message"))
+
+    known = spark.createDataFrame([("a",), ("b",)], "id string")
+    run = lambda seconds: mailbox.watch(spark, mailbox.read_requests(spark, str(box)), folder, work, str(tmp_path / "cp"), seconds, "1 second", known)
+    assert run(60) == 1 and [tuple(r) for r in seen] == [("r1", 4000, ["b", "a"])]
+    assert run(3) is None and len(seen) == 1
+    put("r3", trail=None)
+    assert run(60) == 1 and tuple(seen[-1]) == ("r3", 4000, None)
+    assert sorted((r.id, r.state) for r in spark.read.parquet(folder).collect()) == [("r1", "claimed"), ("r1", "done"), ("r2", "claimed"), ("r3", "claimed"), ("r3", "done")]
+    events = spark.createDataFrame([("s", "start", 1), ("s", "answer", 2), ("s", "pause", 3), ("s", "answer", 4), ("s", "resume", 5), ("s", "answer", 6), ("s", "answer", 7), ("t", "answer", 1)], "slug string, action string, at int")
+    assert {r.slug: (r.status, r.turn) for r in mailbox.session_states(events).collect()} == {"s": ("done", 3), "t": (None, 0)}
+
+
+def test_whole_files(spark, tmp_path):
+    from tessera.sources import vault
+
+    known = spark.createDataFrame([("obj-a",), ("obj-b",)], "id string")
+    assert vault.write_layout(spark, str(tmp_path), {"obj-b": [1.5, -0.5], "obj-a": (2, 3)}, known) == 2
+    assert json.loads((tmp_path / "structure-layout.json").read_text()) == {"pos": {"obj-a": [2, 3], "obj-b": [2, 0]}}
+    for bad in ({}, {"obj-z": [1, 2]}, {"def-a": [1, 2]}, {"obj-a": [1]}, {"obj-a": [1, float("nan")]}, {f"obj-{k}": [0, 0] for k in range(501)}):
+        with pytest.raises(ValueError):
+            vault.write_layout(spark, str(tmp_path), bad, known)
+    (tmp_path / "index").mkdir()
+    items = spark.createDataFrame([("b", 2, 0.5), ("a", 0, 0.25)], "id string, offset long, scale double")
+    vault.write_index(spark, str(tmp_path / "index"), items, spark.createDataFrame([("a", [1, -1]), ("b", [-128, 127])], "id string, vector array<int>"), 2, "m")
+    assert {r.id: r.vector for r in vault.read_index(spark, str(tmp_path)).collect()} == {"a": [1, -1], "b": [-128, 127]}
+
+
 def test_entry(spark, sf):
     import __spark_entry__
 
