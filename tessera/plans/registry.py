@@ -88,7 +88,8 @@ def paint_state(m: Model) -> DataFrame:
     return paint(g, m.kinds.where("region = 'ASIA'").select("id"), g.about_set("nat-3"))
 
 
-@query()
+@query("""SELECT * FROM (VALUES (0, 'kinds of structure and the relations between them'), (1, 'instances of the kind ' || (SELECT n_name FROM nation WHERE n_nationkey = 7)),
+(2, 'instances and the maps between them and not region ASIA'), (3, 'everything'), (4, 'nothing')) AS t(i, says)""")
 def describe_filter(m: Model) -> DataFrame:
     titles = {r.id: r.title for r in m.kinds.collect()}  # kinds: at most one row for each nation and region
     exprs = [{"level": "kind"}, {"kind-of": "nat-7"}, {"and": [{"level": "instance"}, {"not": {"region": "ASIA"}}]}, [], {"or": []}]
@@ -500,7 +501,7 @@ def rule_violations(m: Model) -> DataFrame:
     from ..operators.rules import violations
 
     header = {"schema_version": "forest-0.3", "source": {"title": "T", "authors": [], "year": 2020, "kind": "book", "license": "CC0"}, "language": "en", "created": "2024-01-01", "tool": "t", "tool_version": "1", "derivative": False}
-    found = violations(saved(_corpus(m)), header).where(F.col("rule").isin(*_RULES))
+    found = violations(saved(_corpus(m)), header, only=_RULES)
     return found.select("rule", F.regexp_replace("file", r"\.md$", "").alias("ref"))
 
 
