@@ -103,11 +103,13 @@ def _containment(text: Column, order: list[str], templates, threshold: float) ->
 def scan_licenses(docs: DataFrame, text_col: str = "text", templates=TEMPLATES, threshold: float = 0.8, keep: list[str] | None = None) -> DataFrame:
     """``docs`` with n_words, n_base, first_word, last_word, base_labels, labels and score.
 
-    n_base counts the places of the phrases; first_word and last_word are the
+    Blocks end at empty lines (line feeds; a text with carriage returns before
+    them is one block).  n_base counts the places of the phrases; first_word and last_word are the
     smallest and largest start (null without one).  labels adds those of the
     templates that a block meets.  score is the largest share met, 0.5 if only
     a phrase was found, else 0.  Null and empty texts have no words.  Repeated
-    rows are scanned alike.  Columns with added names give way.
+    rows are scanned alike, and an empty table gives an empty one.  Columns with
+    added names give way.
     """
     vocabulary = sorted({w for _, t in templates for w in _words_of(t)})
     order = template_order(docs, text_col, vocabulary)

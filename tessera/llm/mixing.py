@@ -47,13 +47,16 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap:
     return levelled.withColumn("target", F.when(F.col("full"), F.col("most").cast("double")).otherwise(F.col("weight") * final)).select("no_source", "source", "source_size", "target")
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, seed: str = "mix", keep: list[str] | None = None) -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, seed: str = "mix", keep: list[str] | None = None, weight: Column | None = None) -> DataFrame:
     """``docs`` with size, source_size, target and taken (words the mix takes, repeats counted).
 
     Sources are ordered by code point, null last, and weigh in turns.  Empty
     and null texts have size 0 and give nothing.  A null id is drawn as the
     text "null"; repeated rows are drawn one by one, and ties of key are
-    ordered by id and size.  Columns with added names give way; ``keep`` names
+    ordered by id and size (rows equal in these may change places).  ``weight``
+    is a document's quality, above zero, such as the posterior of the quality
+    rules; by default it is read off the text.  An empty table gives an empty
+    one.  Columns with added names give way; ``keep`` names
     the columns to keep.
     """
     spark = docs.sparkSession
@@ -63,8 +66,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("double") + 0.5) / 2.0**48
     sized = (
-        docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)], F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").isNull().alias("no_source"), F.coalesce(F.col(f"`{source_col}`"), F.lit("")).alias("source"), size.alias("size"), text.alias("text"))
-        .withColumn("key", -F.log(u) / quality_weight(F.col("text"), F.col("size"))).drop("text")
+        docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)], F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").isNull().alias("no_source"), F.coalesce(F.col(f"`{source_col}`"), F.lit("")).alias("source"), size.alias("size"), text.alias("text"), (F.lit(1.0) if weight is None else weight).alias("weight"))
+        .withColumn("key", -F.log(u) / (quality_weight(F.col("text"), F.col("size")) if weight is None else F.col("weight"))).drop("text", "weight")
     )
     if text_col not in names:
         sized = written(sized)

@@ -494,6 +494,12 @@ def test_mixing(spark):
     key = lambda rs: sorted((str(r.doc_id), r.size, r.taken) for r in rs)
     assert key(got) == key(mix_sources(docs.repartition(7)).collect())
     assert mix_sources(docs.limit(0)).count() == 0
+    # A weight given by the caller: heavier documents are taken first.
+    more = spark.createDataFrame([(i, "a b c d e f g h i j", "a") for i in range(40)] + [(100 + i, "x " * 400, "b") for i in range(3)], "doc_id long, text string, source string")
+    taken = Counter()
+    for r in mix_sources(more, weights=(1, 6), weight=F.when(F.col("doc_id") < 20, 1000.0).otherwise(0.001)).where("source = 'a'").collect():
+        taken[r.doc_id < 20] += r.taken
+    assert taken[True] == 200 and 0 < taken[False] < 200
 
 
 # Personal data
