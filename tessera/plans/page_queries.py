@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..operators import merge as M
 from ..operators import pages as P
 from .model import Model, keyed
-from .registry import query
+from .registry import _TARGET, _merge_sides, query
 
 
 @query("""SELECT t.id, t.taxon, t.title, CASE WHEN doc_id % 4 = 0 THEN [] ELSE [language] END AS teaches, [] ::VARCHAR[] AS requires, coalesce(d.refs, []) AS depends, section AS group, doc_id % 7 != 0 AS standalone,
@@ -200,3 +201,15 @@ def request_ids(m: Model) -> DataFrame:
     base = F.concat(F.lit("sesija-"), stamp)
     previous = F.when(F.col("event_id") % 3 == 0, F.lit("other")).when(F.col("event_id") % 3 == 1, base).otherwise(F.concat(base, F.lit("-7")))
     return m.table("events").select("event_id", P.request_id(F.col("ts"), F.col("event_id").cast("string")).alias("id"), P.proposed_slug(stamp, previous).alias("slug"))
+
+
+@query(f"""SELECT 'doc-' || i AS id, 'dropped' AS what, CAST(count(*) AS VARCHAR) AS detail FROM (SELECT i, {_TARGET} AS t FROM dependencies) WHERE t IS NULL GROUP BY i
+UNION ALL SELECT 'doc-' || j, 'unresolved from', 'doc-' || j FROM (SELECT doc_id AS j, {_TARGET.replace("j", "doc_id")} AS t FROM documents) WHERE t IS NULL
+UNION ALL SELECT 'doc-' || doc_id, 'flattened link', 'gone' FROM documents WHERE doc_id % 11 = 0""", "dependencies")
+def merge_notes(m: Model) -> DataFrame:
+    sides, docs = _merge_sides(m), m.table("documents").select(keyed("doc", "doc_id").alias("id"), "doc_id")
+    lists = M.rewritten_lists(m.dependencies.select(keyed("doc", "i").alias("id"), "pos", keyed("doc", "j").alias("ref")), *sides)
+    ends = M.flagged_refs(docs.select("id", F.lit("from").alias("field"), F.col("id").alias("ref")), *sides)
+    bodies = docs.where("doc_id % 11 = 0").select("id", F.lit("see [[gone]]").alias("body"))
+    links = P.flattened_links(bodies, m.spark.createDataFrame([], "target string, new string"))[1]
+    return M.notes(lists, ends, links)
