@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import anchor
-from .graph import saved
+from .ordering import place
 
 #: Taxa that can be a statement, and words by readiness.
 STATEMENTS = ("theorem", "lemma", "proposition", "corollary", "exercise", "example")
@@ -17,15 +17,6 @@ def _list(name: str) -> Column:
     return F.coalesce(F.col(name), F.array().cast("array<string>"))
 
 
-def numbered(rows: DataFrame, order: str, name: str = "row") -> DataFrame:
-    """``rows`` with their place (from 0) in an order, without one sort of all rows: ranges are sorted and counted apart."""
-    ranged = saved(rows.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_range", F.spark_partition_id()))
-    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))  # one row for each range
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1
-    return ranged.join(F.broadcast(before.select("_range", "_before")), "_range").withColumn(name, F.col("_before") + inside).drop("_range", "_before")
-
-
 def index_items(trees: DataFrame, groups: DataFrame, dims: int, scales: DataFrame | None = None) -> DataFrame:
     """The items of a retrieval index in order of id, with the place of each one's vector.
 
@@ -33,7 +24,7 @@ def index_items(trees: DataFrame, groups: DataFrame, dims: int, scales: DataFram
     ``groups(id, group)``, ``scales(id, scale)`` (none: not embedded).  Missing
     lists are empty, and a tree stands alone unless it says that it doesn't.
     """
-    rows = numbered(trees, "id").join(groups, "id", "left")
+    rows = place(trees, [], ["id"], "row").join(groups, "id", "left")
     rows = rows.join(scales, "id", "left") if scales is not None else rows.withColumn("scale", F.lit(None).cast("double"))
     return rows.select("id", "taxon", "title", *[_list(c).alias(c) for c in ("teaches", "requires", "depends")], "group", F.coalesce("standalone", F.lit(True)).alias("standalone"), (F.col("row") * dims).alias("offset"), "scale")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.model import ARROW_KINDS, PROVABLE
 from .graph import saved
+from .ordering import place, running
 
 
 def kind_rank(kind: Column) -> Column:
@@ -137,9 +138,8 @@ def build_groups(links: DataFrame, trees: DataFrame, dependencies: DataFrame) ->
         placed = free.withColumn("section", F.coalesce(*[F.col(f"{r}_section") for r in refs])).where("section is not null")
         have = have.union(placed.select("id", "section", F.lit(number).alias("pass"), F.col("id").alias("key")))
     rest = trees.select("id").join(have.select("id"), "id", "left_anti").select("id", F.lit(None).cast("int").alias("section"), F.lit(4).alias("pass"), F.col("id").alias("key"))
-    every = have.union(rest)
-    order = Window.partitionBy("section").orderBy("pass", F.when(F.col("pass") == 0, F.col("key").cast("int")), "key")
-    return every.select("id", "section", "pass", F.row_number().over(order).alias("place"))
+    every = have.union(rest).withColumn("link", F.when(F.col("pass") == 0, F.col("key").cast("int")))
+    return place(every, ["section"], ["pass", "link", "key", "id"], "before").select("id", "section", "pass", (F.col("before") + 1).cast("int").alias("place"))
 
 
 def index_groups(links: DataFrame, trees: DataFrame, dependencies: DataFrame) -> DataFrame:
@@ -181,8 +181,8 @@ def last_heading(lines: DataFrame, by: list[str], order: list[str]) -> DataFrame
 
 def chunked(rows: DataFrame, by: list[str], order: list[str], size: int = 15, step: int = 64) -> DataFrame:
     """``rows`` with ``chunk`` and ``offset`` by their place in a group."""
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
-    return rows.withColumn("chunk", F.floor(place / size)).withColumn("offset", (place * step).cast("long"))
+    ranked = place(rows, by, order, "_place")
+    return ranked.withColumn("chunk", F.floor(F.col("_place") / size)).withColumn("offset", (F.col("_place") * step).cast("long")).drop("_place")
 
 
 def references(pages: DataFrame, known: DataFrame, pattern: str, id_col: str, text_col: str) -> DataFrame:
@@ -204,8 +204,7 @@ def repeated(rows: DataFrame, *key: str) -> DataFrame:
 
 def stacked(heights: DataFrame, by: list[str], gap: float = 26.0) -> DataFrame:
     """``heights`` with the running offset ``y`` of what stands before."""
-    w = Window.partitionBy(*by).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    return heights.withColumn("y", F.coalesce(F.sum(F.col("height") + gap).over(w), F.lit(0.0)))
+    return running(heights, by, ["place"], F.col("height") + gap, "y")
 
 
 def parallel_offsets(arrows: DataFrame, step: float = 15.0, most: float = 45.0) -> DataFrame:

@@ -542,6 +542,24 @@ def test_whole_files(spark, tmp_path):
     assert {r.id: r.vector for r in vault.read_index(spark, str(tmp_path)).collect()} == {"a": [1, -1], "b": [-128, 127]}
 
 
+def test_running_sums_in_large_groups(spark):
+    import random
+
+    from tessera.operators.ordering import place, running
+
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), k, rng.randrange(9)) for k in range(300)]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "g string, at int, v int").repartition(5)
+    want = {}
+    for g, k, v in sorted(rows, key=lambda r: r[1]):
+        mine = [r for r in rows if r[0] == g and r[1] < k]
+        want[k] = (sum(r[2] for r in mine), len(mine))
+    got = place(running(frame, ["g"], ["at"], F.col("v"), "y"), ["g"], ["at"], "n")
+    assert {r.at: (r.y, r.n) for r in got.collect()} == want and got.columns == ["g", "at", "v", "y", "n"]
+    assert [r.n for r in place(frame, [], ["at"], "n").orderBy("at").collect()] == list(range(300)) and place(frame.limit(0), ["g"], ["at"], "n").count() == 0
+
+
 def test_entry(spark, sf):
     import __spark_entry__
 
