@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fold_text, lexical_score
+from ..functions.text import fold, fold_text, lexical_score
 from ..functions.vectors import cosine, hint
 from .graph import saved
 
@@ -25,8 +25,10 @@ def query_words(query: str) -> list[str]:
 
 
 def lexical_search(items: DataFrame, query: str, text_col: str = "text") -> DataFrame:
-    """``items`` with ``lexical``, a whole number."""
-    return items.withColumn("lexical", lexical_score(F.col(text_col), query, fold_text(query), query_words(query)).cast("long"))
+    """``items`` with ``lexical``, a whole number (null for a null text)."""
+    # Columns of their own, so that a text is folded and split once.
+    rows = items.withColumn("_folded", fold(F.col(text_col))).withColumn("_own", F.split("_folded", "[^a-z0-9]+"))
+    return rows.withColumn("lexical", lexical_score(F.col("_folded"), F.col("_own"), fold_text(query), query_words(query)).cast("long")).drop("_folded", "_own")
 
 
 #: Scores on more rows than one of this share of all are joined by broadcast: at most so many scores.
