@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import drop_columns_clashing, mark, remove_since, written
+from .storage import drop_columns_clashing, scope, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_HOSTS = 500_000
@@ -81,16 +81,16 @@ def _iterated(start: DataFrame, linking: DataFrame, step, rounds: int, tolerance
     going, zero = linking.select("host", F.lit(0.0).alias("x"), F.lit(0.0).alias("before"), F.lit(1).alias("goes")), F.lit(0.0)
     flagged = lambda parts: going.union(parts).groupBy("host").agg(F.sum("x").alias("x"), F.sum("before").alias("before"), F.max("goes").alias("goes")).where("x != 0 or before != 0")
     there = flagged(start.select("host", "x", zero, F.lit(0))).agg(F.sum(F.col("x") * F.col("goes"))).first()[0] or 0.0
-    now, kept = start, 0
-    for _ in range(rounds):
-        begin = mark()
-        parts = step(now, there).select("host", "x", zero, F.lit(0)).union(now.select("host", zero, "x", F.lit(0)))
-        new = written(flagged(parts))
-        change, there = (x or 0.0 for x in new.agg(F.sum(F.abs(F.col("x") - F.col("before"))), F.sum(F.col("x") * F.col("goes"))).first())
-        remove_since(start.sparkSession, begin - kept, 1)  # what the round before left, and what this one needed on the way
-        now, kept = new.select("host", "x"), 1
-        if change < tolerance:
-            break
+    now = start
+    with scope(start.sparkSession) as made:
+        for _ in range(rounds):
+            parts = step(now, there).select("host", "x", zero, F.lit(0)).union(now.select("host", zero, "x", F.lit(0)))
+            new = written(flagged(parts))
+            change, there = (x or 0.0 for x in new.agg(F.sum(F.abs(F.col("x") - F.col("before"))), F.sum(F.col("x") * F.col("goes"))).first())
+            made.remove(but=1)  # what the round before left, and what this one needed on the way
+            now = new.select("host", "x")
+            if change < tolerance:
+                break
     return now
 
 

@@ -4,16 +4,55 @@ The folder is the one named by ``spark.checkpoint.dir``.  Only a local session
 may leave it unset: a folder of its warehouse is used then.  On a cluster a
 missing setting is an error, since a machine-local folder would lose tables
 with their executor.
+
+An operator's result may read such tables when it is used, so they stay.  A
+caller who is done with the result removes them by a scope::
+
+    with scope(spark) as made:
+        judge_urls(pages, rules).write.parquet(path)
+        made.remove()
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Paths handed out and not yet removed, in order.
-_PATHS: list[str] = []
+
+class Scope:
+    """The intermediate tables that one call has made, in order."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def remove(self, but: int = 0) -> None:
+        """Delete the tables of this scope except the last ``but``; only for tables that no plan still to run reads."""
+        gone = self.paths[: len(self.paths) - but]
+        for path in gone:
+            there = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(there, True)
+        del self.paths[: len(gone)]
+
+
+#: The innermost open scope of this thread; other threads have their own.
+_SCOPE: ContextVar[Scope | None] = ContextVar("tessera_scope", default=None)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[Scope]:
+    """Own the tables made inside the block, by this thread; what is left at its end goes to the scope around it."""
+    around, own = _SCOPE.get(), Scope(spark)
+    token = _SCOPE.set(own)
+    try:
+        yield own
+    finally:
+        _SCOPE.reset(token)
+        if around is not None:
+            around.paths += own.paths
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,8 +62,10 @@ def shared_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    _PATHS.append(f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}")
-    return _PATHS[-1]
+    path = f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+    if (own := _SCOPE.get()) is not None:
+        own.paths.append(path)
+    return path
 
 
 def written(df: DataFrame, *partition_by: str) -> DataFrame:
@@ -40,23 +81,6 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def mark() -> int:
-    """A mark for ``remove_since``."""
-    return len(_PATHS)
-
-
-def remove_since(spark: SparkSession, at: int, but: int = 0) -> None:
-    """Delete the intermediate tables made since a mark, except the last ``but``.
-
-    Only for tables that no plan still to run reads.
-    """
-    gone = _PATHS[at : len(_PATHS) - but]
-    for path in gone:
-        there = spark._jvm.org.apache.hadoop.fs.Path(path)
-        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
-    del _PATHS[at : len(_PATHS) - but]
-
-
 def drop_columns_clashing(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without columns whose names equal ``names`` in any case."""
     taken = {n.lower() for n in names}

@@ -1081,7 +1081,7 @@ def test_pipeline(spark, sf):
 def test_pipeline_stages_on_odd_tables(spark, tmp_path):
     """Nulls in every column, empty and repeated rows, clashing names and empty tables."""
     import corpus_pipeline
-    from tessera.llm.storage import mark
+    from tessera.llm.storage import scope
 
     rng = random.Random(12)
     good = [" ".join(rng.choice(["the", "of", "and", "to", *(f"word{rng.randrange(3000)}" for _ in range(8))]) for _ in range(120)) + "." for _ in range(6)]
@@ -1090,13 +1090,15 @@ def test_pipeline_stages_on_odd_tables(spark, tmp_path):
     spark.createDataFrame([(1, good[3]), (None, None), (2, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     for table in (docs, docs.limit(0)):
         table.write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
-        begin, now = mark(), spark.read.parquet(str(tmp_path / "documents.parquet"))
+        now = spark.read.parquet(str(tmp_path / "documents.parquet"))
         for _, stage in corpus_pipeline.STAGES[:-1]:
             after = stage(spark, now, str(tmp_path))
             assert after.columns == docs.columns
             now = after
         ids = [r.doc_id for r in now.collect()]
         assert sorted(ids, key=str) == ([1, 5, 7, None] if table is docs else [])
-        out = corpus_pipeline.run(spark, str(tmp_path))
-        assert sorted((r.doc_id for r in out.collect()), key=str) == sorted(ids, key=str) and "taken" in out.columns
-        assert mark() > begin
+        with scope(spark) as made:
+            out = corpus_pipeline.run(spark, str(tmp_path))
+            assert sorted((r.doc_id for r in out.collect()), key=str) == sorted(ids, key=str) and "taken" in out.columns
+            made.remove()
+        assert not made.paths
