@@ -19,7 +19,7 @@ from tessera.llm.mixing import mix_sources
 from tessera.llm.partenum import keep_one_of_each
 from tessera.llm.pii import pii_key, replace_personal_data
 from tessera.llm.quality import judge_quality
-from tessera.llm.storage import mark, remove_since, written
+from tessera.llm.storage import scope, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -81,9 +81,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs, kept = spark.read.parquet(f"{sf_dir}/documents.parquet"), 0
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        begin = mark() - kept
-        docs, kept = written(stage(spark, docs, sf_dir)), 1
-        remove_since(spark, begin, kept)
+        with scope(spark) as made:
+            docs = written(stage(spark, docs, sf_dir))
+            made.remove(but=1)
     return STAGES[-1][1](spark, docs, sf_dir)
