@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .audit import ORACLE as audit_sql
+from .drake import oracle_sql as clusters_sql
+from .exact import ORACLE as exact_sql
 from .licenses import oracle_sql as licenses_sql
 from .linkgraph import oracle_sql as urls_sql
 from .mixing import ORACLE as mixing_sql
@@ -80,6 +83,24 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), keep=["doc_id"]).drop("removal_spans")
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact import exact_duplicates
+
+    return exact_duplicates(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .audit import audit_filters, text_failures
+
+    return audit_filters(text_failures(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .drake import cluster_vectors
+
+    return cluster_vectors(_table(spark, sf_dir, "embeddings"), keep=["vec_id"])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -93,6 +114,9 @@ QUERIES = {
         op8_url_filters,
         op9_ngram_jaccard_join,
         op10_benchmark_decontamination,
+        op11_exact_dedup,
+        op12_filter_interactions,
+        op13_centroid_clustering,
     )
 }
 
@@ -124,6 +148,9 @@ reach AS (SELECT r AS a, r AS b FROM same UNION SELECT reach.a, e.b FROM reach J
 least AS (SELECT reach.a AS r, min(doc_id) AS c FROM reach JOIN d ON d.r = reach.b GROUP BY reach.a)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, CASE WHEN n IS NULL THEN d.doc_id ELSE c END AS component_id FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN least ON least.r = d.r
 """,
+    "op11_exact_dedup": exact_sql,
+    "op12_filter_interactions": audit_sql,
+    "op13_centroid_clustering": clusters_sql(),
     "op10_benchmark_decontamination": r"""
 WITH d AS MATERIALIZED (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
