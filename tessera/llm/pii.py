@@ -42,18 +42,21 @@ FEMALE = ("Mary", "Anna", "Emma", "Julia", "Sophie", "Laura", "Marie", "Claire",
 MALE = ("John", "Peter", "Paul", "Thomas", "Michael", "David", "Pierre", "Jean", "Carlos", "José", "Hans", "Karl", "Daniel", "Martin", "Louis", "Miguel")
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-_NAME = r"\p{Lu}(?:\p{L}+|['’]\p{L}{2,})(?:[-'’]\p{L}{2,})*"
-_INITIALS = r"(?:\p{Lu}\.? )*"
+# Groups that repeat without end are possessive: others recurse in Java's matcher, and a text of a few KB overflows its stack.
+_NAME = r"\p{Lu}(?:\p{L}++|['’]\p{L}{2,}+)(?:[-'’]\p{L}{2,}+)*+"
+_INITIALS = r"(?:\p{Lu}\.? )*+"
+# Labels up to the last one that starts with two letters.
+_DOMAIN = r"[A-Za-z0-9-]++(?:(?:\.(?![A-Za-z]{2})[A-Za-z0-9-]++)*+\.[A-Za-z]{2}[A-Za-z0-9-]*+)++"
 #: Patterns by type, tried in this order at each place of the text.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@{_DOMAIN}",
     "ip": rf"(?<![0-9A-Za-z.])(?=[0-9])(?<!(?i:version|release|ver|rev|section|chapter)\.? )(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[0-9])(?![A-Za-z])",
     "phone": r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9A-Za-z])|(?<![0-9A-Za-z])\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z])",
     "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9A-Za-z])",
     "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "hex": r"(?<![A-Za-z0-9])(?=[a-f]*[0-9])[0-9a-f]{32,}(?![A-Za-z0-9])",
     "key": r"(?<![A-Za-z0-9])(?=[A-Z]*[0-9])[A-Z][A-Z0-9]{15,}(?![A-Za-z0-9])|(?<![A-Za-z0-9_+/-])(?=[A-Za-z0-9_][A-Za-z0-9_+/-]{11})(?=[A-Za-z_+/-]*[0-9])(?=[0-9_+/-]*[A-Za-z])(?<=(?i:token|key|secret|password|passwd|pwd|auth|bearer|credential)[\"']? {0,2}[=:][\"' ]{0,3})[A-Za-z0-9_+/-]{12,}",
-    "name": rf"(?<!\p{{L}})(?=\p{{Lu}})(?:(?:{'|'.join(ADDRESSES)})\.? {_INITIALS}{_NAME}(?: {_INITIALS}{_NAME}){{0,2}}|(?:{'|'.join(FEMALE + MALE)})(?!\p{{L}})(?:-\p{{Lu}}\p{{L}}+)? {_INITIALS}{_NAME}(?: {_NAME})?)",
+    "name": rf"(?<!\p{{L}})(?=\p{{Lu}})(?:(?:{'|'.join(ADDRESSES)})\.? {_INITIALS}{_NAME}(?: {_INITIALS}{_NAME}){{0,2}}|(?:{'|'.join(FEMALE + MALE)})(?!\p{{L}})(?:-\p{{Lu}}\p{{L}}++)? {_INITIALS}{_NAME}(?: {_NAME})?)",
 }
 #: What the pattern of a key asks of the text before it; not to be asked of an entity alone.
 _BEFORE_KEY = r"(?<=(?i:token|key|secret|password|passwd|pwd|auth|bearer|credential)[\"']? {0,2}[=:][\"' ]{0,3})"

@@ -671,6 +671,37 @@ def test_pii_long_entities_and_names_of_columns(spark):
     assert len(row.text) == len(blob) + len(mail) + 5 and blob[:50] not in row.text and row.text.endswith(".org") and (row["_entities"], row["words"], row["pairs"]) == ("e", "w", "p")
 
 
+def test_pii_long_runs_of_groups(spark):
+    """Nothing that a pattern repeats overflows the matcher's stack, nor takes time that grows with its square."""
+    import time
+
+    from tessera.llm.pii import replace_personal_data
+
+    n = 200_000
+    runs = {
+        "a@" + "b." * n + "com": False, "a@" + "b1.cc." * n + "x": False, "a@" + "b." * n + "1": True, "Mr Aa" + "-bb" * n + " came": False, "Mr Aa" + "'bb" * n + " came": False,
+        "Mr " + "A. " * n + "Smith": False, "Mr " + "A " * n + "smith": True, "Dr Smith " + "J. " * n + "Jones": False, "Mary-Ann" + "a" * n + " Lee": False, "Mary " + "B. " * n + "x": True,
+        "DE12 " + "ABCD " * n: False, "1234 " * n: True, "+49 " + "123 " * n: False, "1.2.3." * n: True, "token=" + "a1-/" * n: False, "A" * n + "1": False, "a." * n + "@b.com": False, "Mr Smith-Aa" * n: False,
+    }
+    docs = documents(spark, list(runs))
+    replace_personal_data(docs.withColumn("text", F.lit("Mr Smith")), "k").collect()
+    began = time.time()
+    rows = replace_personal_data(docs, "k").orderBy("doc_id").collect()
+    assert time.time() - began < 60
+    for row, (text, same) in zip(rows, runs.items(), strict=True):
+        assert (row.text == text) == same and len(row.text) == len(text), text[:30]
+
+
+def test_pii_ends_of_mail_domains(spark):
+    """The label that ends a mail address starts with two letters; what follows it stays."""
+    from tessera.llm.pii import replace_personal_data
+
+    texts = ["x@ab.com.", "x@ab.com.1", "x@ab.com-and so", "x@ab.com2", "x@ab.c", "x@ab..com", "x@ab.c1.org, y", "x@.com", "x@a-b.co.uk/"]
+    rows = [r.text for r in replace_personal_data(documents(spark, texts), "k").orderBy("doc_id").collect()]
+    assert [a != b for a, b in zip(rows, texts, strict=True)] == [True, True, True, True, False, False, True, False, True]
+    assert [r[r.rindex("@") + 3 :] for r in rows[:4]] == [".com.", ".com.1", ".com-and so", ".com2"] and rows[8].endswith(".uk/")
+
+
 def test_pii_collisions_are_redone(spark, monkeypatch):
     """A cipher that lets two entities meet under the first key: the run notices, and takes the next key."""
     from tessera.llm import pii
