@@ -30,8 +30,8 @@ LEAST_SHARED = 100
 RECORDS_PER_FILE, FILE_BYTES = 2_000, 64_000_000
 #: Greatest payloads of the classes that share files; larger ones have a file each.
 CLASSES = (32_000, 1_000_000, 16_000_000)
-#: Compressed bytes inflated at once.
-_INFLATE = 65_536
+#: Compressed bytes inflated at once, and at first.
+_INFLATE, _FIRST = 65_536, 1_024
 BROADCAST_DIGESTS = 500_000
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -93,33 +93,103 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
 
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _HEADER_STOP = re.compile(rb"\r\n(?:\r\n|WARC/1\.[01]\r\n)")
-
-
-def _record(data: bytes, at: int) -> tuple[dict, bytes, int] | str:
+_MAGIC = b"\x1f\x8b\x08"
+#: Headers of which a record has one.
+_ONCE = (b"warc-type", b"warc-record-id", b"content-length")
+
+
+class _Scan:
+    """Where things are in some bytes, asked at rising places: no byte is searched again for each false start."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+        self._next: dict[tuple, tuple[int, int]] = {}
+        self._stop, self._stop_from = None, -1
+        # Of the header block that ends at _block: its last line that is none, and place and value of each header that there is to be once.
+        self._block, self._bad, self._once = -1, -1, {}
+
+    def next(self, what: bytes, at: int, asked: int = 0) -> int:
+        """The first place of ``what`` from ``at`` on; the end if there is none.  Askers of their own numbers ask at rising places each."""
+        begin, found = self._next.get((what, asked), (0, -1))
+        if not begin <= at <= found:
+            found = self.data.find(what, at)
+            found = len(self.data) if found < 0 else found
+            self._next[what, asked] = at, found
+        return found
+
+    def member(self, at: int) -> int:
+        """The next place from ``at`` on where a gzip member may begin; the end if there is none."""
+        found = self.next(_MAGIC, at)
+        while found < len(self.data) and not self.may_inflate(found):
+            found = self.next(_MAGIC, found + 1)
+        return found
+
+    def may_inflate(self, at: int) -> bool:
+        """Whether a gzip header is sound and data of a possible kind follow it; a member cut off in its header holds nothing."""
+        data, begin = self.data, at + 10
+        if begin >= len(data) or data[at + 3] & 0xE0:
+            return False
+        if flags := data[at + 3]:
+            if flags & 4:
+                begin += 2 + int.from_bytes(data[begin : begin + 2], "little")
+            for bit in (8, 16):
+                if flags & bit:
+                    begin = self.next(b"\0", begin, bit) + 1
+            begin += flags & 2
+            if begin >= len(data):
+                return False
+        kind = data[begin] >> 1 & 3
+        if kind == 0 and begin + 5 <= len(data):  # a stored block says its length twice, once inverted
+            return data[begin + 1] ^ data[begin + 3] == 255 == data[begin + 2] ^ data[begin + 4]
+        return kind != 3
+
+    def stop(self, at: int) -> re.Match | None:
+        """Where the header that begins at ``at`` ends, or runs into the next version line."""
+        if self._stop_from < 0 or self._stop is not None and self._stop.start() < at:
+            self._stop, self._stop_from = _HEADER_STOP.search(self.data, at), at
+        return self._stop
+
+    def header(self, at: int, end: int) -> str | tuple[dict, int]:
+        """The headers of a record that begins at ``at``, and where its block ends; or why there are none."""
+        data = self.data
+        if self._block != end:
+            self._block, self._bad, self._once = end, -1, {name: [] for name in _ONCE}
+            place = data.find(b"\r\n", at, end + 2) + 2
+            while place <= end:
+                stop = data.find(b"\r\n", place, end + 2)
+                name, colon, value = data[place:stop].partition(b":")
+                if not colon:
+                    self._bad = place
+                elif (key := name.strip().lower()) in self._once:
+                    self._once[key].append((place, value.strip()))
+                place = stop + 2
+        if self._bad > at:
+            return "bad header line"
+        if any(len(said) > 1 and said[-2][0] > at for said in self._once.values()):
+            return "header runs into another"
+        lengths = self._once[b"content-length"]
+        if not lengths or lengths[-1][0] < at or not re.fullmatch(rb"[0-9]{1,18}", lengths[-1][1]):
+            return "no content length"
+        last = end + 4 + int(lengths[-1][1])
+        if data[last : last + 4] != b"\r\n\r\n":
+            return "record without end"
+        headers = {}
+        for line in data[at:end].split(b"\r\n")[1:]:
+            name, _, value = line.partition(b":")
+            headers[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+        return headers, last
+
+
+def _record(scan: _Scan, at: int) -> tuple[dict, bytes, int] | str:
     """Headers, block and end of the record at ``at``, or why there is none."""
-    if not _VERSION.match(data, at):
+    if not _VERSION.match(scan.data, at):
         return "no version line"
     # A header of any length ends at its empty line; a version line before that is the next record's.
-    stop = _HEADER_STOP.search(data, at)
+    stop = scan.stop(at)
     if not stop or stop[0] != b"\r\n\r\n":
         return "header without end"
-    end = stop.start()
-    headers = {}
-    for line in data[at:end].split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
-        key = name.strip().lower().decode("latin-1")
-        if not colon:
-            return "bad header line"
-        if key in headers and key in ("warc-type", "warc-record-id", "content-length"):
-            return "header runs into another"
-        headers[key] = value.strip().decode("utf-8", "replace")
-    length = headers.get("content-length", "")
-    if not re.fullmatch(r"[0-9]{1,18}", length):
-        return "no content length"
-    begin, last = end + 4, end + 4 + int(length)
-    if data[last : last + 4] != b"\r\n\r\n":
-        return "record without end"
-    return headers, data[begin:last], last + 4
+    found = scan.header(at, stop.start())
+    return found if isinstance(found, str) else (found[0], scan.data[stop.end() : found[1]], found[1] + 4)
 
 
 def _checked(headers: dict, block: bytes) -> tuple[bytes, str]:
@@ -142,13 +212,13 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, str, dict, bytes]]:
     a gap inside a gzip member has the member's, and a record recovered from a
     damaged member has the member's offset and length 0.
     """
-    at, size, lost, why = 0, len(data), -1, ""
+    at, size, lost, why, scan = 0, len(data), -1, "", _Scan(data)
     while at < size:
         found, reason, end = [], "", at
-        if data[at : at + 3] == b"\x1f\x8b\x08":
-            found, reason, end = _member(data, at)
+        if data[at : at + 3] == _MAGIC:
+            found, reason, end = _member(scan, at)
         else:
-            got = _record(data, at)
+            got = _record(scan, at)
             if isinstance(got, str):
                 reason = got
             else:
@@ -167,8 +237,7 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, str, dict, bytes]]:
             lost, why = at, reason
         # A sound length and end mark bound what failed; else the next version line or member may be anywhere behind.
         after = end if end > at else at + 1
-        places = [x for x in (data.find(b"WARC/1.", after), data.find(b"\x1f\x8b\x08", after)) if x >= 0]
-        at = min(places, default=size)
+        at = min(scan.next(b"WARC/1.", after), scan.member(after))
     if lost >= 0:
         yield lost, size - lost, why, {}, b""
 
@@ -177,10 +246,13 @@ def _inflated(data: bytes, at: int) -> tuple[bytes, int, str]:
     """What the gzip member at ``at`` holds as far as it can be read, its end, and what is wrong with it."""
     inflate, view, out, begin = zlib.decompressobj(31), memoryview(data), [], at
     while begin < len(data) and not inflate.eof:
-        before, block = inflate.copy(), view[begin : begin + _INFLATE]
+        # The first block is a small one: what is no member shows soon.
+        first = begin == at
+        before, block = None if first else inflate.copy(), view[begin : begin + (_FIRST if first else _INFLATE)]
         try:
             out.append(inflate.decompress(block))
         except zlib.error:
+            before = before or zlib.decompressobj(31)
             # The same block again in ever smaller steps, to keep all before the damage.
             step = len(block)
             while step > 1 and len(block):
@@ -200,9 +272,11 @@ def _inflated(data: bytes, at: int) -> tuple[bytes, int, str]:
     return b"".join(out), begin - len(inflate.unused_data), ""
 
 
-def _member(data: bytes, at: int) -> tuple[list, str, int]:
+def _member(scan: _Scan, at: int) -> tuple[list, str, int]:
     """What the gzip member at ``at`` holds, why it can't be read, and its end (``at`` if damaged)."""
-    plain, end, reason = _inflated(data, at)
+    if not scan.may_inflate(at):
+        return [], "bad gzip data", at
+    plain, end, reason = _inflated(scan.data, at)
     if reason:
         sound = [f for f in salvage(plain) if not f[2] and f[3].get("warc-type") != "revisit" and f[3].get("warc-payload-digest", "").startswith("sha256:")]
         return [(at, 0, "", headers, payload) for _, _, _, headers, payload in sound], reason, at

@@ -144,6 +144,51 @@ def test_warc_many_members_and_damage():
     assert [f[2] for f in salvage(many[:-20])][-1] == "gzip member without end"
 
 
+def test_warc_long_damage_takes_linear_time():
+    """Many false starts of records and members, 2 MB each, and a sound record behind them."""
+    import time
+
+    from tessera.llm.warc import salvage
+
+    good, n = _record(1, b"payload"), 2_000_000
+    header = b"WARC/1.0\r\nWARC-Type: response\r\n"
+    line = b"a: WARC/1.0\r\n"
+    for junk in (header, b"WARC/1.0\r\nx", b"WARC/1.1\r\n\r\n", b"\x1f\x8b\x08\x00", b"\x1f\x8b\x08\x08", b"\x1f\x8b\x08\x04\x01", b"\x1f\x8b\x08", b"WARC/1.", line):
+        data = junk * (n // len(junk)) + b"\r\n" + good
+        began = time.time()
+        found = list(salvage(data))
+        assert time.time() - began < 8, junk
+        assert [f[3]["warc-record-id"] for f in found if not f[2]] == ["<urn:page:1>"] and sum(f[1] for f in found) == len(data)
+    # One header of many lines that hold version lines, with a length that is wrong, or said again.
+    for last in (b"Content-Length: 7\r\n\r\n", b"Content-Length: 7\r\nContent-Length: 7\r\n\r\n", b"no length\r\n\r\n"):
+        data = line * (n // len(line)) + last + good
+        began = time.time()
+        found = list(salvage(data))
+        assert time.time() - began < 8, last
+        assert [(f[1], f[2] == "") for f in found] == [(len(data) - len(good), False), (len(good), True)]
+
+
+def test_warc_damage_anywhere():
+    """Any cut, flipped or inserted bytes: every record that they do not touch is found again, and gaps and records fill the file."""
+    from tessera.llm.warc import salvage
+
+    rng = random.Random(8)
+    parts = [_record(i, rng.choice([b"", rng.randbytes(300), b"a: b\r\n" * 20, gzip.compress(b"inner " * 40)])) for i in range(12)]
+    parts = [gzip.compress(p) if i % 3 == 1 else p for i, p in enumerate(parts)]
+    ends = [sum(map(len, parts[: i + 1])) for i in range(12)]
+    whole = b"".join(parts)
+    for _ in range(300):
+        k = rng.randrange(12)
+        a = (ends[k - 1] if k else 0) + rng.randrange(len(parts[k]))
+        size = min(rng.choice([1, 1, 2, 9, 40]), ends[k] - a)
+        new = rng.choice([b"", rng.randbytes(size), b"WARC/1.0\r\n", b"\x1f\x8b\x08\x00", b"\r\n\r\n"])
+        data = whole[:a] + new + whole[a + size :]
+        found = list(salvage(data))
+        ids = [f[3].get("warc-record-id") for f in found if not f[2]]
+        assert {f"<urn:page:{i}>" for i in range(12) if i != k} <= set(ids), (k, a, size, new)
+        assert len(ids) == len(set(ids)) <= 12 and sum(f[1] for f in found) == len(data)
+
+
 def test_warc_files_by_size(spark, tmp_path):
     from tessera.llm.warc import page_number, read_warc, write_warc
 
