@@ -2,8 +2,8 @@
 
 Nine rules look at statistics of the whole text and vote good, bad or abstain.
 Expectation-maximisation over the counts of all vote patterns (at most 3^9,
-summed over every document) estimates how often each rule is right, without
-labels; a document's posterior probability of being good decides, where usual
+summed over every document that passes the base check) estimates how often
+each rule votes and is right in either class, without labels; a document's posterior probability of being good decides, where usual
 filters would ask that all rules pass.  The text is read and counted once: the
 counts and the pattern of each row are written to the shared folder, the fit
 and the verdicts read them from there.  No shuffle of the text.
@@ -119,44 +119,65 @@ def _codes(v: np.ndarray) -> np.ndarray:
     return (v + 1) @ 3 ** np.arange(len(RULES))
 
 
-def _of_code(code: np.ndarray) -> np.ndarray:
-    return code[:, None] // 3 ** np.arange(len(RULES)) % 3 - 1
+def _of_code(code: np.ndarray, rules: int = len(RULES)) -> np.ndarray:
+    return code[:, None] // 3 ** np.arange(rules) % 3 - 1
 
 
 class VoteModel:
-    """Class prior and, for each rule and class, the chance that a vote is right."""
+    """Class prior and, for each class and rule, the chances that the rule votes bad, abstains or votes good.
+
+    Fitted by expectation-maximisation: what a document's votes say of its
+    class weighs the vote counts of both classes, and these are the next
+    estimate.  Abstaining is an outcome as any other, so a rule that votes on
+    one side only is estimated too, by how often it speaks in either class.
+    Classes start from the votes as they are meant.  ``weight`` votes of the
+    corpus' own mean are added to each class, so that what was never seen in a
+    class is not read as proof.
+    """
 
-    def __init__(self, counts: dict[int, int], rounds: int = 500, tolerance: float = 1e-9, weight: float = 20.0):
+    def __init__(self, counts: dict[int, int], rounds: int = 1_000, tolerance: float = 1e-10, weight: float = 2.0, rules: int = len(RULES)):
         code = np.array(sorted(counts), np.int64)
         many = np.array([counts[c] for c in code.tolist()], float)
-        v = _of_code(code)
-        self.prior, self.right = 0.7, np.full((2, len(RULES)), 0.8)
-        for _ in range(rounds if len(code) else 0):
-            p = self._posterior(v)
-            before, self.prior = (self.prior, self.right), (many @ p + 0.7 * weight) / (many.sum() + weight)
-            good, bad = (many * p) @ (v == 1), (many * p) @ (v == -1)
-            good0, bad0 = (many * (1 - p)) @ (v == 1), (many * (1 - p)) @ (v == -1)
-            right = np.stack([(bad0 + 0.8 * weight) / (bad0 + good0 + weight), (good + 0.8 * weight) / (good + bad + weight)])
-            self.right = np.clip(right, 0.55, 0.995)  # a rule is better than chance
-            if abs(before[0] - self.prior) + np.abs(before[1] - self.right).max() < tolerance:
+        self.rules, self.prior = rules, 0.7
+        #: By class (bad, good), rule and vote (bad, none, good).
+        self.chance = np.tile(np.array([[[0.5, 0.4, 0.1]], [[0.1, 0.4, 0.5]]]), (1, rules, 1))
+        if not len(code):
+            return
+        vote = _of_code(code, rules)
+        shown = np.stack([vote == o for o in (-1, 0, 1)], axis=2).astype(float)
+        mean = (np.tensordot(many, shown, 1) + 1) / (many.sum() + 3)
+        for _ in range(rounds):
+            good = self.probability(vote)
+            before = self.prior, self.chance
+            self.prior = (many @ good + 1) / (many.sum() + 2)
+            seen = np.stack([np.tensordot(many * (1 - good), shown, 1), np.tensordot(many * good, shown, 1)]) + weight * mean
+            self.chance = seen / seen.sum(2, keepdims=True)
+            if abs(before[0] - self.prior) + np.abs(before[1] - self.chance).max() < tolerance:
                 break
 
-    def _posterior(self, v: np.ndarray) -> np.ndarray:
-        yes = np.log(self.prior) + (v == 1) @ np.log(self.right[1]) + (v == -1) @ np.log(1 - self.right[1])
-        no = np.log(1 - self.prior) + (v == 1) @ np.log(1 - self.right[0]) + (v == -1) @ np.log(self.right[0])
-        return 1 / (1 + np.exp(np.clip(no - yes, -700, 700)))
+    def accuracy(self) -> np.ndarray:
+        """By class and rule the chance that a vote, if there is one, names the class."""
+        bad, good = self.chance[..., 0], self.chance[..., 2]
+        return np.stack([bad[0] / (bad[0] + good[0]), good[1] / (bad[1] + good[1])])
 
-    def probability(self, v: np.ndarray) -> np.ndarray:
-        return self._posterior(v)
+    def probability(self, vote: np.ndarray) -> np.ndarray:
+        """The chance that documents with these votes are good."""
+        says = np.log(self.chance)[:, np.arange(self.rules), vote + 1].sum(2)
+        return 1 / (1 + np.exp(np.clip(np.log(1 - self.prior) + says[0] - np.log(self.prior) - says[1], -700, 700)))
 
 
 def fit_votes(docs: DataFrame, text_col: str = "text") -> VoteModel:
-    """EM over the vote patterns of every row (nulls count as empty texts; an empty table leaves the prior)."""
+    """EM over the vote patterns of every row that passes the base check (no such row leaves the model as it starts)."""
     return _fitted(_counted(docs, [], text_col))
 
 
+def _base_failed():
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
 def _fitted(counted: DataFrame) -> VoteModel:
-    rows = counted.groupBy("code").agg(F.count("*").alias("many")).collect()  # at most 3^9 rows
+    # Rows that fail the base check go anyway; most are too short for some rules, and what these leave unsaid is no evidence for longer texts.
+    rows = counted.where(~_base_failed()).groupBy("code").agg(F.count("*").alias("many")).collect()  # at most 3^9 rows
     return VoteModel({r.code: r.many for r in rows})
 
 
@@ -204,7 +225,6 @@ def judge_quality(docs: DataFrame, text_col: str = "text", threshold: float = 0.
     # A row's posterior hangs on its pattern only: the verdict on each pattern is a constant of the plan.
     codes = [r.code for r in counted.select("code").distinct().collect()]  # at most 3^9 rows
     table = counted.sparkSession.createDataFrame(list(zip(codes, map(float, model.probability(_of_code(np.array(codes, np.int64)))), strict=True)), "code long, quality_probability double")
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    judged = counted.join(F.broadcast(table), "code").withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("quality_probability") >= threshold))
+    judged = counted.join(F.broadcast(table), "code").withColumn("base_failed", _base_failed()).withColumn("kept", ~_base_failed() & (F.col("quality_probability") >= threshold))
     own = [F.col(f"_{i}").alias(c) for i, c in enumerate(names)]
     return judged.where("kept").select(*own) if only_kept else judged.select(*own, *[f.name for f in ADDED])

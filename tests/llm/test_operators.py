@@ -247,40 +247,59 @@ def test_quality_twin(spark, sf):
     """Posterior and verdict of every document against expectation-maximisation in plain Python over single documents."""
     import math
 
-    import numpy as np
-
     from tessera.llm.quality import RULES, judge_quality, text_statistics, votes
 
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     texts = {r.doc_id: (r.text or "") for r in docs.collect()}
-    v = {i: votes(text_statistics([t.encode()]))[0].tolist() for i, t in texts.items()}
-    prior, right = 0.7, [[0.8] * len(RULES), [0.8] * len(RULES)]
+    stats = {i: text_statistics([t.encode()]) for i, t in texts.items()}
+    every = {i: votes(s)[0].tolist() for i, s in stats.items()}
+    v = {i: every[i] for i, s in stats.items() if s["n_words"][0] >= 50 and 2 * s["n_repeat_words"][0] <= s["n_words"][0]}
+    prior, chance = 0.7, [[{-1: 0.5, 0: 0.4, 1: 0.1}] * len(RULES), [{-1: 0.1, 0: 0.4, 1: 0.5}] * len(RULES)]
+    mean = [{o: (sum(row[k] == o for row in v.values()) + 1) / (len(v) + 3) for o in (-1, 0, 1)} for k in range(len(RULES))]
 
     def posterior(row):
-        odds = [math.log(1 - prior), math.log(prior)]
-        for vote, r0, r1 in zip(row, *right, strict=True):
-            odds[1] += math.log(r1) if vote == 1 else math.log(1 - r1) if vote == -1 else 0
-            odds[0] += math.log(r0) if vote == -1 else math.log(1 - r0) if vote == 1 else 0
-        return 1 / (1 + math.exp(min(700, odds[0] - odds[1])))
+        bad, good = (math.log(p) + sum(math.log(c[o]) for c, o in zip(of, row, strict=True)) for p, of in ((1 - prior, chance[0]), (prior, chance[1])))
+        return 1 / (1 + math.exp(min(700, bad - good)))
 
-    for _ in range(500):
+    for _ in range(1_000):
         p = {i: posterior(row) for i, row in v.items()}
-        before, prior = prior, (sum(p.values()) + 14) / (len(p) + 20)
-        new = [[], []]
-        for k in range(len(RULES)):
-            good = [sum(p[i] for i in v if v[i][k] == x) for x in (1, -1)]
-            bad = [sum(1 - p[i] for i in v if v[i][k] == x) for x in (1, -1)]
-            new[1].append((good[0] + 16) / (sum(good) + 20))
-            new[0].append((bad[1] + 16) / (sum(bad) + 20))
-        old, right = right, np.clip(new, 0.55, 0.995).tolist()
-        if abs(before - prior) + max(abs(a - b) for x, y in zip(old, right, strict=True) for a, b in zip(x, y, strict=True)) < 1e-9:
+        before, prior = prior, (sum(p.values()) + 1) / (len(p) + 2)
+        old, chance = chance, [[], []]
+        for y in (0, 1):
+            for k in range(len(RULES)):
+                seen = {o: 2 * mean[k][o] + sum(p[i] if y else 1 - p[i] for i in v if v[i][k] == o) for o in (-1, 0, 1)}
+                chance[y].append({o: n / sum(seen.values()) for o, n in seen.items()})
+        if abs(before - prior) + max(abs(old[y][k][o] - chance[y][k][o]) for y in (0, 1) for k in range(len(RULES)) for o in (-1, 0, 1)) < 1e-10:
             break
     for r in judge_quality(docs, keep=["doc_id"]).collect():
         failed = r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words
-        assert abs(r.quality_probability - posterior(v[r.doc_id])) < 1e-6
+        assert abs(r.quality_probability - posterior(every[r.doc_id])) < 1e-6
         assert r.base_failed == failed and r.kept == (not failed and r.quality_probability >= 0.5)
 
 
+def test_quality_accuracies_are_found():
+    """Planted accuracies and abstentions, one-sided rules among them, come back from votes alone; nothing lies on a bound."""
+    import numpy as np
+
+    from tessera.llm.quality import VoteModel
+
+    rng = np.random.default_rng(6)
+    for prior in (0.75, 0.4):
+        planted = np.array([  # bad: vote bad, none, good; good: the same
+            [[0.7, 0.2, 0.1], [0.05, 0.25, 0.7]], [[0.5, 0.5, 0.0], [0.04, 0.96, 0.0]], [[0.3, 0.7, 0.0], [0.1, 0.9, 0.0]], [[0.6, 0.2, 0.2], [0.2, 0.2, 0.6]],
+            [[0.0, 0.8, 0.2], [0.0, 0.3, 0.7]], [[0.55, 0.4, 0.05], [0.02, 0.48, 0.5]], [[0.2, 0.75, 0.05], [0.15, 0.75, 0.1]], [[0.4, 0.6, 0.0], [0.02, 0.98, 0.0]],
+        ]).transpose(1, 0, 2)
+        good = rng.random(60_000) < prior
+        draw = rng.random((60_000, 8, 1))
+        vote = (draw > np.cumsum(planted, axis=2)[good.astype(int)]).sum(2) - 1
+        model = VoteModel(Counter(((vote + 1) @ 3 ** np.arange(8)).tolist()), rules=8)
+        assert abs(model.prior - prior) < 0.02 and np.abs(model.chance - planted).max() < 0.02
+        sure = planted[:, :, [0, 2]].min(axis=(0, 2)) > 0.04
+        want = np.stack([planted[0, :, 0] / planted[0, :, [0, 2]].sum(0), planted[1, :, 2] / planted[1, :, [0, 2]].sum(0)])
+        assert np.abs(model.accuracy() - want)[:, sure].max() < 0.04
+        assert model.chance.min() > 0 and model.chance.max() < 1 and ((model.probability(vote) > 0.5) == good).mean() > 0.93
+
+
 # HTML
 
 def test_html_extraction():
