@@ -106,37 +106,37 @@ def has_cycle(nodes: DataFrame, edges: DataFrame) -> bool:
     return not peeled(nodes, edges)[0].isEmpty()
 
 
-def first_cycle(nodes: DataFrame, edges: DataFrame, most: int = 1_000_000) -> list[str] | None:
-    """One cycle as a path that ends where it began, found in code-unit order; none in an acyclic graph.
-
-    Only the cyclic core is brought to the driver, and refused beyond ``most`` edges.
+def first_cycle_path(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``place, id``: the first cycle that a search in depth meets, nodes and successors taken in code-unit order, as a path that ends where it began; no row in an acyclic graph.
+
+    When nodes without successors are taken away again and again, every node
+    left has a successor left, and from such a node the search cannot come
+    back empty-handed.  It therefore walks from the smallest node left to its
+    smallest successor left, and so on, until it meets its own path.  That walk
+    is found by doubling: the places of a set of 2**k steps are shifted by a
+    table of 2**k steps, until a node has two places.
     """
-    core = peeled(nodes, edges)[0].orderBy("src", "dst").limit(most + 1).collect()
-    if len(core) > most:
-        raise ValueError(f"the cyclic core has more than {most} edges")
-    after: dict[str, list[str]] = {}
-    for r in core:
-        after.setdefault(r.src, []).append(r.dst)
-    done: set[str] = set()
-    for root in sorted(after):
-        path, on, stack = [], {}, [(root, iter(after.get(root, ())))]
-        if root in done:
-            continue
-        path.append(root)
-        on[root] = 0
-        while stack:
-            node, rest = stack[-1]
-            for nxt in rest:
-                if nxt in on:
-                    return path[on[nxt] :] + [nxt]
-                if nxt not in done:
-                    on[nxt] = len(path)
-                    path.append(nxt)
-                    stack.append((nxt, iter(after.get(nxt, ()))))
-                    break
-            else:
-                stack.pop()
-                done.add(node)
-                on.pop(node)
-                path.pop()
-    return None
+    backwards = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    core = peeled(nodes, backwards)[0]
+    step = saved(core.groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("to")))
+    root = step.agg(F.min("id")).first()[0]
+    if root is None:
+        return step.select(F.lit(0).cast("long").alias("place"), "id").limit(0)
+    walk = saved(step.where(F.col("id") == root).select(F.lit(0).cast("long").alias("place"), "id"))
+    reach, jump = 1, step
+    while walk.count() == walk.select("id").distinct().count():
+        later = jump.join(sized(walk), "id").select((F.col("place") + reach).alias("place"), F.col("to").alias("id"))
+        walk = saved(walk.union(later))
+        twice = jump.select("id", F.col("to").alias("mid")).join(jump.select(F.col("id").alias("mid"), "to"), "mid").select("id", "to")
+        reach, jump = 2 * reach, saved(twice)
+    # The walk goes round: a node's second place is the first one and the length of the cycle.
+    first = walk.groupBy("id").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    start = first.where("n > 1").agg(F.min("first")).first()[0]
+    round_ = walk.join(first.where(F.col("first") == start).select("id"), "id", "left_semi").orderBy("place").limit(2).collect()
+    end = round_[1].place
+    return walk.where(F.col("place").between(start, end)).select((F.col("place") - start).alias("place"), "id")
+
+
+def first_cycle(nodes: DataFrame, edges: DataFrame) -> list[str] | None:
+    """``first_cycle_path`` as a list, for a message; none in an acyclic graph."""
+    return [r.id for r in first_cycle_path(nodes, edges).orderBy("place").collect()] or None

@@ -217,10 +217,15 @@ def has_cycle(m: Model) -> DataFrame:
     return m.spark.createDataFrame([("dependencies", a), ("transforms", b)], "name string, cyclic boolean")
 
 
-@query()
+@query("""WITH r AS (SELECT src, dst FROM transforms WHERE src != dst UNION SELECT r.src, t.dst FROM r JOIN transforms t ON r.dst = t.src AND t.src != t.dst),
+live AS MATERIALIZED (SELECT src AS id FROM r WHERE src = dst UNION SELECT src FROM r WHERE dst IN (SELECT src FROM r WHERE src = dst)),
+f AS MATERIALIZED (SELECT src AS id, min(dst) AS nxt FROM transforms WHERE src != dst AND src IN (SELECT id FROM live) AND dst IN (SELECT id FROM live) GROUP BY src),
+w AS (SELECT 0 AS place, min(id) AS id FROM f HAVING min(id) IS NOT NULL UNION ALL SELECT place + 1, nxt FROM w JOIN f USING (id) WHERE place <= (SELECT count(*) FROM f)),
+c AS (SELECT id, min(place) AS first, count(*) AS n FROM w GROUP BY id),
+s AS (SELECT min(first) AS a, (SELECT min(w.place) FROM w JOIN c USING (id) WHERE c.first = (SELECT min(first) FROM c WHERE n > 1) AND w.place > c.first) AS z FROM c WHERE n > 1)
+SELECT CAST(place - a AS INTEGER) AS place, id FROM w, s WHERE place BETWEEN a AND z""", "transforms", recursive=True)
 def first_cycle(m: Model) -> DataFrame:
-    path = G.first_cycle(m.kinds.select("id"), m.transforms.where("src != dst").select("src", "dst")) or []
-    return m.spark.createDataFrame(list(enumerate(path)), "place int, id string")
+    return G.first_cycle_path(m.kinds.select("id"), m.transforms.where("src != dst").select("src", "dst")).select(F.col("place").cast("int").alias("place"), "id")
 
 
 @query()

@@ -192,6 +192,12 @@ def test_diagram(spark):
     loop = "A @ 0,0\nB @ 1,0\nf: A -> B\ng: B -> A\n"
     for line, fine in (("f g = id : def", True), ("id = g f : [[thm-a|by it]]", True), ("f = id : def", False), ("f g = f g", False), ("f f = f : def", False), ("f x = f : def", False), ("f g f = f : because", False), ("id id = id : def", True)):
         assert (diagram.parse(loop + line)["equations"][0]["error"] is None) == fine, line
+    links = {"[[a]]": True, "[[a#b]]": True, "[[a|b#c]]": True, "[[a#b|c]]": True, "[[#b]]": False, "[[]]": False, "[[a]b]]": False, "[a]": False, "[[a[b]]": False, "x [[a]]": False, "[[ a ]]": True}
+    assert {x: diagram.is_reference(x) for x in links} == links
+    for line in ("A @ 0", "A 0,0", "1A @ 0,0", "A @ 0,0 tex", "A -> ", "f: g: A -> B", "-> B", "= f", "f =", "f = g = h", "f+g = h", "A @ 0,0,0", "ä -> B"):
+        assert len(diagram.parse(line)["errors"]) == 1 and not diagram.parse(line)["arrows"], line
+    got = diagram.parse("%title:  T: x \r\nA@0,1:a:b\r\nB@1,1\r\nf:A->B:x [ bend = -0.25 , left ]\r\n% title: no\r\nf   2f'=id:def")
+    assert (got["title"], got["corners"][0]["tex"], got["arrows"][0]["bend"], got["arrows"][0]["side"], got["arrows"][0]["tex"]) == ("T: x", "a:b", -0.25, "left", "x") and got["equations"][0]["lhs"] == ["f", "2f'"]
     rows = spark.createDataFrame([(head,), (None,)], "s string").select(diagram.parsed("s").alias("d"))
     assert [len(r.d.arrows) for r in rows.collect()] == [1, 0]
 
