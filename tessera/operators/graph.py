@@ -90,14 +90,17 @@ def peeled(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = saved(pairs.distinct())
     waits = pairs.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("need"))
     state = saved(ids.join(waits, "id", "left").select("id", F.coalesce("need", F.lit(0).cast("long")).alias("need")))
-    layers, k = state.where("need = 0").select("id", F.lit(0).alias("depth")), 0
+    # Every round's nodes go to one folder, so that the layers are one scan, however many rounds there were.
+    spark, folder, k = ids.sparkSession, shared_path(ids.sparkSession, "layers"), 0
     free = state.where("need = 0").select("id")
     while (n := free.count()):
+        free.select("id", F.lit(k).alias("depth")).coalesce(1 if n <= BROADCAST_ROWS else max(1, n // BROADCAST_ROWS)).write.mode("append").parquet(folder)
         gone = F.broadcast(free) if n <= BROADCAST_ROWS else free
         met = pairs.join(gone.select(F.col("id").alias("src")), "src").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("met"))
         state = saved(state.where("need > 0").join(met, "id", "left").select("id", (F.col("need") - F.coalesce("met", F.lit(0))).alias("need")))
         free, k = state.where("need = 0").select("id"), k + 1
-        layers = layers.union(free.select("id", F.lit(k).alias("depth")))
+    none = ids.select("id", F.lit(0).alias("depth")).limit(0)
+    layers = spark.read.schema(none.schema).parquet(folder) if k else none
     left = state.where("need > 0")
     return pairs.join(left.select(F.col("id").alias("src")), "src", "left_semi").select("src", "dst"), layers
 
