@@ -357,10 +357,10 @@ def fold_tokens(m: Model) -> DataFrame:
     return m.table("documents").select("doc_id", T.tokens(F.col("text")).alias("tokens"))
 
 
-def _lexical_sql() -> str:
-    words = S.query_words(QUERY_TEXT)
+def _lexical_sql(query_text: str = QUERY_TEXT) -> str:
+    words = S.query_words(query_text)
     parts = [f"CASE WHEN list_contains(own, '{w}') THEN 3 WHEN contains(f, '{w}') THEN 1 ELSE 0 END" for w in words]
-    return f"f AS (SELECT doc_id, {_FOLD.format('text')} AS f FROM documents), o AS (SELECT *, string_split_regex(f, '[^a-z0-9]+') AS own FROM f), s AS (SELECT doc_id, CAST({' + '.join(parts)} + CASE WHEN contains(f, '{T.fold_text(QUERY_TEXT)}') THEN 5 ELSE 0 END AS BIGINT) AS lexical FROM o)"
+    return f"f AS (SELECT doc_id, {_FOLD.format('text')} AS f FROM documents), o AS (SELECT *, string_split_regex(f, '[^a-z0-9]+') AS own FROM f), s AS (SELECT doc_id, CAST({' + '.join(parts)} + CASE WHEN contains(f, '{T.fold_text(query_text)}') THEN 5 ELSE 0 END AS BIGINT) AS lexical FROM o)"
 
 
 @query(f"WITH {_lexical_sql()} SELECT doc_id, lexical FROM s")
