@@ -14,6 +14,9 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +28,8 @@ from .search import query_words
 BLOCK_BITS, TASK_BITS = 10, 33
 #: Directories of postings and of documents.
 BUCKETS, SPANS = 64, 1_024
+#: Bytes of text whose words are listed at once.
+AT_ONCE = 16_000_000
 #: Places in a bucket over which the postings of one term are dealt.
 SALT = 8
 PLACE = ["segment", "block", "slot"]
@@ -33,7 +38,7 @@ SEGMENTS = "segment string, documents long, id_type string"
 TABLES = {
     "documents": "block long, slot int, id {id_type}, folded string, segment string, span int",
     "postings": "term string, block long, slots array<int>, segment string, bucket int",
-    "terms": "term string, blocks long, documents long, segment string",
+    "terms": "term string, documents long, segment string",
 }
 
 
@@ -45,6 +50,33 @@ def _span(place: Column) -> Column:
     return F.pmod(F.shiftright(place, TASK_BITS), F.lit(SPANS)).cast("int")
 
 
+def _lists():
+    """mapInArrow function of ``block, slot, folded``: ``term, block, slots`` of runs, a row for each term of a run.
+
+    A run lies in one block and has one text or at most AT_ONCE bytes.  A block
+    that several tasks read has several rows for a term.
+    """
+
+    def run(batches):
+        for batch in batches:
+            block, slot, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+            at = np.cumsum(np.asarray(pc.binary_length(texts)).astype(np.int64)) // AT_ONCE
+            cuts = np.flatnonzero((block[1:] != block[:-1]) | (at[1:] != at[:-1])) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(block)], strict=True):
+                words = pc.split_pattern_regex(texts.slice(a, b - a), pattern="[^a-z0-9]+")
+                coded = words.flatten().dictionary_encode()
+                of = np.repeat(slot[a:b], np.asarray(pc.list_value_length(words))).astype(np.int64)
+                pairs = np.unique((coded.indices.to_numpy().astype(np.int64) << 32) | of)
+                code, of = pairs >> 32, (pairs & (2**32 - 1)).astype(np.int32)
+                first = np.flatnonzero(np.diff(code, prepend=-1))
+                terms = coded.dictionary.take(pa.array(code[first]))
+                slots = pa.ListArray.from_arrays(pa.array(np.append(first, len(code)), pa.int32()), pa.array(of))
+                rows = pa.RecordBatch.from_arrays([terms, pa.array(np.full(len(first), block[a])), slots], names=["term", "block", "slots"])
+                yield rows.filter(pc.greater_equal(pc.binary_length(terms), 2))
+
+    return run
+
+
 def add(items: DataFrame, folder: str, id_col: str = "id", text_col: str = "text", block_bits: int = BLOCK_BITS) -> None:
     """Write ``items`` to the index at ``folder`` as one more segment; the first addition makes the index.
 
@@ -57,14 +89,13 @@ def add(items: DataFrame, folder: str, id_col: str = "id", text_col: str = "text
     slot = F.col("n").bitwiseAND(2**block_bits - 1)
     at = f"{folder}/documents/segment={segment}"
     numbered.select(_span(F.col("n")).alias("span"), (F.col("n") - slot).alias("block"), slot.cast("int").alias("slot"), "id", "folded").write.partitionBy("span").parquet(at)
-    words = F.array_distinct(F.filter(F.split("folded", "[^a-z0-9]+"), lambda t: F.length(t) >= 2))
     documents = spark.read.schema(TABLES["documents"].format(id_type=id_type).replace(", segment string", "")).parquet(at)
-    lists = documents.select("block", "slot", F.explode(words).alias("term")).groupBy("term", "block").agg(F.array_sort(F.collect_list("slot")).alias("slots"))
-    # A word of every document has one row a block, as any other, so no directory is much larger than the rest.
+    lists = documents.select("block", "slot", "folded").mapInArrow(_lists(), "term string, block long, slots array<int>")
+    # A word of every document has one row a block or few, as any other, so no directory is much larger than the rest.
     dealt = lists.withColumn("bucket", _bucket(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64("block"), F.lit(SALT)))
     dealt.sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{folder}/postings/segment={segment}")
     read = spark.read.schema("term string, slots array<int>").parquet(f"{folder}/postings/segment={segment}")
-    read.groupBy("term").agg(F.count("*").alias("blocks"), F.sum(F.size("slots")).alias("documents")).write.parquet(f"{folder}/terms/segment={segment}")
+    read.groupBy("term").agg(F.sum(F.size("slots")).cast("long").alias("documents")).write.parquet(f"{folder}/terms/segment={segment}")
     spark.createDataFrame([(segment, documents.count(), id_type)], SEGMENTS).coalesce(1).write.mode("append").parquet(f"{folder}/segments")
 
 
