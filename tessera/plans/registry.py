@@ -137,7 +137,8 @@ UNION ALL SELECT i.id, 'about', b.src FROM instances i JOIN about b ON b.dst = i
 UNION ALL SELECT i.id, 'about-kind', b.src FROM instances i JOIN about b ON b.dst = i.of)
 SELECT id, part, count(*) AS n, min(ref) AS first FROM page GROUP BY ALL""", "instances", "arrows", "kind_data", "about")
 def instance_page(m: Model) -> DataFrame:
-    return W.instance_page(m.instances, m.arrows, m.kind_data, m.about).groupBy("id", "part").agg(F.count("*").alias("n"), F.min("ref").alias("first"))
+    m.keep_pairs()
+    return W.instance_page_counts(m.instances, m.arrows, m.kind_data, m.about)
 
 
 @query("""WITH up AS (SELECT src AS low, dst AS high FROM arrows WHERE kind = 'generalizes')

@@ -158,6 +158,22 @@ def test_views(spark):
     assert {r.id: r.title for r in views.index_groups(named, trees, deps).collect()} == {"thm-a": "S1", "obj-k": "S2", "obj-i": "S2", "mor-f": "S2", "prf-b": "S1"}
 
 
+def test_instance_page_counts(spark):
+    """Equal to the grouped page on odd rows; a kind with many instances and many refs is not multiplied out."""
+    rows = lambda data, names: spark.createDataFrame(data, ", ".join(f"{n} string" for n in names.split()))
+    instances = rows([("a", "k"), ("a", "k"), ("a", "l"), ("b", "k"), ("c", None), (None, "k"), ("d", "m")], "id of")
+    arrows = rows([("f", "hom", "a", "b"), ("g", "hom", "a", "a"), ("e", "hom", None, "b"), ("h", "hom", "b", None), ("k1", "data", "k", "l"), ("k2", None, "k", "a"), ("l1", "hom", "k", "b"), ("m1", "transform", "m", "m"), (None, "data", "m", "a")], "id kind src dst")
+    kind_data, about = rows([("k", "a"), ("k", "a"), ("l", "f"), (None, "b"), ("m", None)], "kind member"), rows([("t", "k"), ("u", "k"), ("t", "a"), ("v", None), (None, "m")], "src dst")
+    want = views.instance_page(instances, arrows, kind_data, about).groupBy("id", "part").agg(F.count("*").alias("n"), F.min("ref").alias("first"))
+    got = views.instance_page_counts(instances, arrows, kind_data, about)
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert got.columns == want.columns and sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, want.collect()), key=key)
+    many = 50_000
+    members, told = spark.range(many).select(F.concat(F.lit("i"), "id").alias("id"), F.lit("k").alias("of")), spark.range(many).select(F.concat(F.lit("t"), "id").alias("src"), F.lit("k").alias("dst"))
+    page = views.instance_page_counts(members, arrows.limit(0), kind_data.limit(0), told)
+    assert page.groupBy("part", "n", "first").count().collect() == [("about-kind", many, "t0", many)]
+
+
 def test_search_and_merge(spark):
     items = spark.createDataFrame([("a", "the red fox", [1.0, 0.0]), ("b", "a fox", [0.0, 1.0]), ("c", "nothing", None)], "id string, text string, vector array<double>")
     assert [r.id for r in search.hybrid_search(items, "red fox", [0.9, 0.1], 3).collect()] == ["a", "b", "c"]
