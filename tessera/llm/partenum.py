@@ -25,7 +25,10 @@ partitioned apart, after all others in the order of emission.  The marking is
 one function for all documents, so it changes the cost and never the result.
 
 *Scale.*  Signatures are sent packed, by ranges of their value, and beyond
-``COARSE`` ranges in two steps, so that packed rows stay long.  The sets that
+``COARSE`` ranges in two steps, so that packed rows stay long.  Beyond
+``A_ROUND`` ranges they go in up to ``MOST_ROUNDS`` rounds by their remainder;
+a round hashes all texts anew, and its shuffle files are gone when the next
+one begins, so that disk holds the signatures of one round.  The sets that
 share a signature make a bucket.  A small bucket gives all its pairs, and a
 pair goes on only if the odd sketches of its two sets (parities of element
 counts by hash) differ in no more places than d, which no similar pair does.
@@ -51,7 +54,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .components import connected_components
-from .storage import written
+from .storage import scope, written
 from .textkit import LOWER, Words, chunks, grams, mix, slices, spans
 
 ROUNDS = 6
@@ -71,6 +74,8 @@ SMALL = 16
 _MAP = 2**24
 #: Ranges of signatures up to which they are dealt at once; beyond, in two steps, so that packed rows stay long.
 COARSE = 2_048
+#: Ranges of signatures dealt in one round, and rounds at most.
+A_ROUND, MOST_ROUNDS = 200, 4
 #: A set with more copies than this share of all rows (and this many) is joined by broadcast: at most HOT such sets.
 HOT, LEAST_HOT = 10_000, 64
 U = np.uint64
@@ -281,8 +286,8 @@ _PACKED = "p int, kind int, x binary, y binary, z binary, sketches array<binary>
 _DOC, _SIG, _MERGED, _LINK = 0, 1, 2, 3
 
 
-def _packed(n: int, num: int, den: int, parts: int, frequent):
-    """mapInArrow function: packed documents, signatures (48 bits within their range, and which node), merged ones and links."""
+def _packed(n: int, num: int, den: int, parts: int, frequent, turn_of: int = 0, rounds: int = 1):
+    """mapInArrow function: packed documents (in the first round only), signatures of a round (48 bits within their range, and which node), merged ones and links."""
     schema = pa.schema([("p", pa.int32()), ("kind", pa.int32()), ("x", pa.binary()), ("y", pa.binary()), ("z", pa.binary()), ("sketches", pa.list_(pa.binary()))])
     edges = ((np.arange(1, parts, dtype=U) << U(32)) + U(parts - 1)) // U(parts)
 
@@ -317,6 +322,9 @@ def _packed(n: int, num: int, den: int, parts: int, frequent):
                 elements, sizes = shingle_sets(texts[a:b], n)
                 node = digests(elements, sizes)
                 sig, by = signatures(elements, sizes, num, den, often)
+                if rounds > 1:
+                    own = sig % U(rounds) == U(turn_of)
+                    sig, by = sig[own], by[own]
                 sigs.append(sig)
                 nodes.append(node[by])
                 held += len(sig)
@@ -324,7 +332,8 @@ def _packed(n: int, num: int, den: int, parts: int, frequent):
                 known = np.array(part.is_valid().to_numpy(zero_copy_only=False), bool)
                 value = np.array(part.fill_null(0).to_numpy(zero_copy_only=False), np.int64)
                 turn += 1
-                rows.append((int(node[0] % parts), _DOC, np.stack([value, known.astype(np.int64)]).tobytes(), sizes.astype(np.int64).tobytes(), node.tobytes(), odd_sketches(elements, sizes)))
+                if not turn_of:
+                    rows.append((int(node[0] % parts), _DOC, np.stack([value, known.astype(np.int64)]).tobytes(), sizes.astype(np.int64).tobytes(), node.tobytes(), odd_sketches(elements, sizes)))
                 if held >= _FLUSH:
                     rows += flush(sigs, nodes, turn)
                     sigs, nodes, held = [], [], 0
@@ -615,7 +624,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return _components(docs, id_col, text_col, n, num, den, **how).select("doc_id", "n_shingles", "component_id")
 
 
-def _components(docs: DataFrame, id_col: str, text_col: str, n: int = 5, num: int = 75, den: int = 100, limit: tuple[int, int] = (LIMIT_ELEMENTS, LIMIT_SETS), broadcast_ids: int = BROADCAST_IDS, coarse: int = COARSE) -> DataFrame:
+def _components(docs: DataFrame, id_col: str, text_col: str, n: int = 5, num: int = 75, den: int = 100, limit: tuple[int, int] = (LIMIT_ELEMENTS, LIMIT_SETS), broadcast_ids: int = BROADCAST_IDS, coarse: int = COARSE, a_round: int = A_ROUND) -> DataFrame:
     """``jaccard_components`` with the digest of each row's set (node) and of its component (root)."""
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
@@ -623,10 +632,16 @@ def _components(docs: DataFrame, id_col: str, text_col: str, n: int = 5, num: in
     # About 0.11 signatures a byte; a range of a million takes some 50 MB in its task.
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), round(size * 0.11 / 1_000_000), 1)
     often = spark.sparkContext.broadcast(frequent_map(rows, n))
-    packed = rows.mapInArrow(_packed(n, num, den, min(parts, coarse), often), _PACKED)
-    if parts > coarse:
-        packed = written(packed.repartition(coarse, "p")).mapInArrow(_split(-(-parts // coarse)), _PACKED)
-    found = written(packed.groupBy("p").applyInArrow(_matched, _FOUND))
+    rounds = min(-(-parts // a_round), MOST_ROUNDS)
+    parts, found = -(-parts // rounds), None
+    for k in range(rounds):
+        with scope(spark) as made:
+            packed = rows.mapInArrow(_packed(n, num, den, min(parts, coarse), often, k, rounds), _PACKED)
+            if parts > coarse:
+                packed = written(packed.repartition(coarse, "p")).mapInArrow(_split(-(-parts // coarse)), _PACKED)
+            part = written(packed.groupBy("p").applyInArrow(_matched, _FOUND))
+            made.remove(but=1)
+        found = part if found is None else found.union(part)
     members = found.where(f"kind = {_DOC}").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), F.col("size").alias("n_shingles"), "sketch")
     nodes = members.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("size"), F.any_value("sketch").alias("sketch"), F.count("*").alias("copies"))
     members = members.drop("sketch")

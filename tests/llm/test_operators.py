@@ -1006,6 +1006,50 @@ def test_near_duplicates(spark, limit, ids, coarse, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_near_duplicates_in_rounds(spark):
+    """Signatures dealt in rounds: each in one of them, none holds much more than its share; same components as by brute force."""
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    from tessera.llm import partenum
+    from tessera.llm.partenum import jaccard_components
+
+    texts = near_texts(random.Random(5))
+    often = SimpleNamespace(value=np.zeros(4, np.uint8))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    def sent(*turn):
+        rows = [r for b in partenum._packed(5, 75, 100, 7, often, *turn)(iter([batch])) for r in b.to_pylist()]
+        return Counter(s for r in rows if r["kind"] == partenum._SIG for s in partenum._from_six(r["x"]).tolist()), sum(r["kind"] == partenum._DOC for r in rows)
+
+    whole, rounds = sent(), [sent(k, 3) for k in range(3)]
+    assert sum((r[0] for r in rounds), Counter()) == whole[0] and [bool(r[1]) for r in rounds] == [True, False, False]
+    assert max(r[0].total() for r in rounds) < 0.4 * whole[0].total()
+    rows = [*enumerate(texts), (5, texts[40]), (None, texts[12])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for coarse in (2_048, 1):
+        got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(docs, a_round=1, coarse=coarse).collect())
+        assert got == brute_components(rows)
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    import time
+
+    from tessera.llm.storage import _CLEANUP, written
+
+    files = lambda: {f for f in (x.getName() for x in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles())) if f.startswith("shuffle_")}
+    before, setting = files(), spark.conf.get(_CLEANUP, None)
+    shuffled = spark.range(1000).repartition(3, "id")
+    table = written(shuffled)
+    for _ in range(100):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and table.count() == shuffled.count() == 1000 and spark.conf.get(_CLEANUP, None) == setting
+
+
 def test_near_duplicates_keep_one(spark):
     from tessera.llm.partenum import jaccard_components, keep_one_of_each
 
