@@ -2,7 +2,7 @@
 
 Each stage is ``(spark, docs, sf_dir) -> DataFrame`` and works on all rows that
 the stage before it kept; its result is written as Parquet and read again, and
-what the stage wrote on the way is deleted then.
+what the stage wrote on the way is deleted then, with the result before it.
 
 All stages take any table with the columns of ``documents``, in any order, with
 further columns of any name, which they pass on.  An empty table gives an empty
@@ -82,8 +82,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        with scope(spark) as made:
-            docs = written(stage(spark, docs, sf_dir))
-            made.remove(but=1)
+    with scope(spark) as results:
+        for _, stage in STAGES[:-1]:
+            with scope(spark) as made:
+                docs = written(stage(spark, docs, sf_dir))
+                made.remove(but=1)
+            results.remove(but=1)
     return STAGES[-1][1](spark, docs, sf_dir)
