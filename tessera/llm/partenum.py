@@ -35,11 +35,17 @@ counts by hash) differ in no more places than d, which no similar pair does.
 A large bucket gives links to its least set; inside a task it is merged into
 these before the shuffle, so that a group with a third of all rows sends one
 entry a task.  Pairs and links give candidate components; only documents in
-one of these have their set read again, once, for the exact comparison.  A candidate component
-beyond ``limit`` is resolved by pivots (all its members are compared with one
-of them in parallel, and by the triangle inequality of the Jaccard distance
-members that can have no partner among the rest are finished) and what is left
-after ``ROUNDS`` pivots by pairs of blocks.  No row is dropped or capped.
+one of these have their set read again, once, for the exact comparison.  The
+larger the table, the more runs of common words are in more than ``SMALL``
+documents by chance, and the links of their buckets chain what is not similar.
+A candidate component beyond ``limit`` is therefore cut first: its sets are
+matched again on their prefixes, the elements of least count that a similar
+set must share one of, in an order from counts by hash in a map of bounded
+size.  One still beyond ``limit`` is resolved by pivots (all its members are
+compared with one of them in parallel, and by the triangle inequality of the
+Jaccard distance members that can have no partner among the rest are finished)
+and what is left after ``ROUNDS`` pivots by pairs of blocks, one block against
+the others at a time.  No row is dropped or capped.
 """
 
 from __future__ import annotations
@@ -54,7 +60,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .components import connected_components
-from .storage import scope, written
+from .storage import Scope, scope, written
 from .textkit import LOWER, Words, chunks, grams, mix, slices, spans
 
 ROUNDS = 6
@@ -72,6 +78,8 @@ FREQUENT, _RUN = 0.0003, 16_000
 SMALL = 16
 #: Bits of the map of frequent elements.
 _MAP = 2**24
+#: Bits of the number of slots in which elements of large candidate components are counted, at most.
+_SLOT_BITS = 26
 #: Ranges of signatures up to which they are dealt at once; beyond, in two steps, so that packed rows stay long.
 COARSE = 2_048
 #: Ranges of signatures dealt in one round, and rounds at most.
@@ -178,6 +186,26 @@ def signatures(elements: np.ndarray, sizes: np.ndarray, num: int, den: int, freq
     return sig, some[by]
 
 
+def _slot(elements: np.ndarray, slots: int) -> np.ndarray:
+    return mix(elements ^ U(0x3C79AC492BA7B653)) & U(slots - 1)
+
+
+def prefixes(elements: np.ndarray, sizes: np.ndarray, num: int, den: int, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of each set's prefix, its rarest elements of which a similar set has one in its own, and the index of each one's set.
+
+    ``rarity`` has four bits for each slot, its class of count.  Any order of
+    the elements is right that is the same for all sets; this one keeps what
+    many sets have out of the prefixes.
+    """
+    slot = _slot(elements, 2 * len(rarity))
+    count = (rarity[slot >> U(1)] >> ((slot & U(1)) << U(2)).astype(np.uint8)) & 15
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((elements, count, of))
+    length = np.where(sizes > 0, sizes - -(-sizes * num // den) + 1, 0)
+    at = order[spans(np.cumsum(sizes) - sizes, length)]
+    return mix(elements[at] ^ U(0x1B03738712FAD5C9)), of[at]
+
+
 def _buckets(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Entries sorted by signature and node without repeats; where each bucket begins and its size."""
     order = np.lexsort((node, sig))
@@ -282,12 +310,59 @@ def frequent_map(rows: DataFrame, n: int, share: float = FREQUENT) -> np.ndarray
     return np.packbits(np.unpackbits(flags.view(np.uint8), bitorder="little"))
 
 
+def _slots(n: int, bits: int):
+    """mapInArrow function: the slots of all elements, as packed rows by ranges of 2**16."""
+
+    def packed(held):
+        slot = np.sort(np.concatenate(held))
+        p = (slot >> U(16)).astype(np.int32)
+        begin = np.flatnonzero(np.append(True, p[1:] != p[:-1])) if len(p) else np.empty(0, np.int64)
+        parts = np.split(slot.astype(np.uint16), begin[1:]) if len(p) else []
+        return pa.RecordBatch.from_arrays([pa.array(p[begin]), pa.array([x.tobytes() for x in parts], pa.binary())], names=["p", "slots"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in (part for whole in batches for part in slices(whole)):
+            texts = [t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()]
+            for a, b in chunks(texts, _CHUNK):
+                held.append(_slot(shingle_sets(texts[a:b], n)[0], 2**bits))
+                if sum(map(len, held)) >= 4 * _FLUSH:
+                    yield packed(held)
+                    held = []
+        if held:
+            yield packed(held)
+
+    return run
+
+
+def _classes(table: pa.Table) -> pa.Table:
+    """applyInArrow function for one range of slots: their classes of count (the power of two that holds it, 15 at most), two in a byte."""
+    met = np.zeros(2**16, np.int64)
+    for x in table.column("slots").to_pylist():
+        met += np.bincount(np.frombuffer(x, np.uint16), minlength=2**16)
+    c = np.minimum(np.ceil(np.log2(np.maximum(met, 1))), 15).astype(np.uint8)
+    return pa.table({"p": table.column("p").slice(0, 1), "classes": pa.array([(c[0::2] | (c[1::2] << 4)).tobytes()], pa.binary())})
+
+
+def rarity_map(texts: DataFrame, n: int, elements: int) -> np.ndarray:
+    """Classes of count by slot for about so many elements; it only steers cost.  At most 2**_SLOT_BITS half bytes reach the driver."""
+    bits = max(16, min(_SLOT_BITS, (4 * elements).bit_length()))
+    ranges = written(texts.select("text").mapInArrow(_slots(n, bits), "p int, slots binary").groupBy("p").applyInArrow(_classes, "p int, classes binary")).toArrow()
+    out = np.zeros(2 ** (bits - 1), np.uint8)
+    for p, classes in zip(ranges["p"].to_pylist(), ranges["classes"].to_pylist(), strict=True):
+        out[p << 15 : (p + 1) << 15] = np.frombuffer(classes, np.uint8)
+    return out
+
+
 _PACKED = "p int, kind int, x binary, y binary, z binary, sketches array<binary>"
 _DOC, _SIG, _MERGED, _LINK = 0, 1, 2, 3
 
 
-def _packed(n: int, num: int, den: int, parts: int, frequent, turn_of: int = 0, rounds: int = 1):
-    """mapInArrow function: packed documents (in the first round only), signatures of a round (48 bits within their range, and which node), merged ones and links."""
+def _packed(n: int, num: int, den: int, parts: int, frequent, turn_of: int = 0, rounds: int = 1, rarity=None):
+    """mapInArrow function: packed documents (in the first round only), signatures of a round (48 bits within their range, and which node), merged ones and links.
+
+    With ``rarity`` the signatures are those of prefixes, and documents are left out.
+    """
     schema = pa.schema([("p", pa.int32()), ("kind", pa.int32()), ("x", pa.binary()), ("y", pa.binary()), ("z", pa.binary()), ("sketches", pa.list_(pa.binary()))])
     edges = ((np.arange(1, parts, dtype=U) << U(32)) + U(parts - 1)) // U(parts)
 
@@ -312,7 +387,7 @@ def _packed(n: int, num: int, den: int, parts: int, frequent, turn_of: int = 0,
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = np.unpackbits(frequent.value).astype(bool)
+        often = None if rarity else np.unpackbits(frequent.value).astype(bool)
         sigs, nodes, held, turn = [], [], 0, 0
         for batch in (part for whole in batches for part in slices(whole)):
             ids = batch.column(0)
@@ -321,7 +396,7 @@ def _packed(n: int, num: int, den: int, parts: int, frequent, turn_of: int = 0,
             for a, b in chunks(texts, _CHUNK):
                 elements, sizes = shingle_sets(texts[a:b], n)
                 node = digests(elements, sizes)
-                sig, by = signatures(elements, sizes, num, den, often)
+                sig, by = prefixes(elements, sizes, num, den, rarity.value) if rarity else signatures(elements, sizes, num, den, often)
                 if rounds > 1:
                     own = sig % U(rounds) == U(turn_of)
                     sig, by = sig[own], by[own]
@@ -332,7 +407,7 @@ def _packed(n: int, num: int, den: int, parts: int, frequent, turn_of: int = 0,
                 known = np.array(part.is_valid().to_numpy(zero_copy_only=False), bool)
                 value = np.array(part.fill_null(0).to_numpy(zero_copy_only=False), np.int64)
                 turn += 1
-                if not turn_of:
+                if not turn_of and not rarity:
                     rows.append((int(node[0] % parts), _DOC, np.stack([value, known.astype(np.int64)]).tobytes(), sizes.astype(np.int64).tobytes(), node.tobytes(), odd_sketches(elements, sizes)))
                 if held >= _FLUSH:
                     rows += flush(sigs, nodes, turn)
@@ -579,34 +654,47 @@ def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _links_of_large(sets: DataFrame, num: int, den: int, limit: tuple[int, int]) -> list[DataFrame]:
-    """Links inside candidate components beyond the limit."""
-    found, left = [], sets
+    """Links inside candidate components beyond the limit; what a round leaves takes the place of what the round before left."""
+    spark, found, left, earlier = sets.sparkSession, [], sets, None
     for _ in range(ROUNDS):
-        pivots = left.groupBy("comp").agg(F.min_by(F.struct(F.col("node").alias("pivot"), F.col("elements").alias("pivot_elements"), F.col("size").alias("pivot_size")), F.struct(F.xxhash64("node"), "node")).alias("p")).select("comp", "p.*")
-        pairs = left.select("comp", "node", "elements").join(pivots.select("comp", "pivot", "pivot_elements"), "comp").where("node != pivot")
-        common = pairs.select("comp", "node", "elements", "pivot", "pivot_elements").mapInArrow(_distances, "comp long, node long, pivot long, common long")
-        near = written(
-            common.join(left.select("comp", "node", "size"), ["comp", "node"]).join(pivots.select("comp", "pivot_size"), "comp")
-            .withColumn("u", F.expr("size + pivot_size - common")).withColumn("link", F.expr(f"{den} * common >= {num} * u")).withColumn("dist", F.expr("1 - common / u"))
-        )
-        found.append(near.where("link").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
-        nearest = near.where("not link").groupBy("comp").agg(F.min("dist").alias("nearest"))
-        stay = near.join(nearest, "comp").where(f"not link or dist >= nearest - {1 - num / den + 1e-9}").select("comp", "node")
-        left = written(left.join(stay, ["comp", "node"], "left_semi"))
-        size = left.groupBy("comp").agg(F.sum("size").alias("n"), F.count("*").alias("m"))
-        large = size.where((F.col("n") > limit[0]) | (F.col("m") > limit[1])).select("comp")
-        small = left.join(large, "comp", "left_anti")
-        found.append(_links_of_small(small, num, den))
-        left = written(left.join(large, "comp", "left_semi"))
+        with scope(spark) as made:
+            pivots = left.groupBy("comp").agg(F.min_by(F.struct(F.col("node").alias("pivot"), F.col("elements").alias("pivot_elements"), F.col("size").alias("pivot_size")), F.struct(F.xxhash64("node"), "node")).alias("p")).select("comp", "p.*")
+            pairs = left.select("comp", "node", "elements").join(pivots.select("comp", "pivot", "pivot_elements"), "comp").where("node != pivot")
+            common = pairs.select("comp", "node", "elements", "pivot", "pivot_elements").mapInArrow(_distances, "comp long, node long, pivot long, common long")
+            near = written(
+                common.join(left.select("comp", "node", "size"), ["comp", "node"]).join(pivots.select("comp", "pivot_size"), "comp")
+                .withColumn("u", F.expr("size + pivot_size - common")).withColumn("link", F.expr(f"{den} * common >= {num} * u")).withColumn("dist", F.expr("1 - common / u"))
+            )
+            links = near.where("link").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+            nearest = near.where("not link").groupBy("comp").agg(F.min("dist").alias("nearest"))
+            stay = near.join(nearest, "comp").where(f"not link or dist >= nearest - {1 - num / den + 1e-9}").select("comp", "node")
+            some = written(left.join(stay, ["comp", "node"], "left_semi"))
+            large = _beyond(some, limit)
+            found.append(written(links.union(_links_of_small(some.join(large, "comp", "left_anti"), num, den))))
+            left = written(some.join(large, "comp", "left_semi"))
+            made.remove(but=2)
+            if earlier:
+                earlier.remove()
+            earlier = Scope(spark)
+            earlier.paths = made.paths[-1:]
         if left.isEmpty():
             return found
-    parts = left.groupBy("comp").agg(F.greatest(F.ceil(F.sum("size") * 2 / limit[0]), F.ceil(F.count("*") * 2 / limit[1])).alias("blocks"))
-    blocks = left.join(parts, "comp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    keyed = blocks.select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "elements")
-    found.append(keyed.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "node").mapInArrow(_resolved(num, den, 3), "a long, b long"))
+    parts = written(left.groupBy("comp").agg(F.greatest(F.ceil(F.sum("size") * 2 / limit[0]), F.ceil(F.count("*") * 2 / limit[1])).alias("blocks")))
+    blocks = left.join(F.broadcast(parts), "comp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    # Block i goes to each of the blocks from i on, so a step holds the sets twice at most.
+    for i in range(parts.agg(F.max("blocks")).first()[0]):
+        others = F.when(F.col("block") == i, F.sequence(F.lit(i).cast("long"), F.col("blocks") - 1)).otherwise(F.array("block"))
+        keyed = blocks.where(F.col("block") >= i).withColumn("j", F.explode(others)).select("comp", "j", "node", "elements")
+        found.append(written(keyed.repartition("comp", "j").sortWithinPartitions("comp", "j", "node").mapInArrow(_resolved(num, den, 2), "a long, b long")))
     return found
 
 
+def _beyond(sets: DataFrame, limit: tuple[int, int]) -> DataFrame:
+    """``comp``: the candidate components beyond the limit, of which there are few."""
+    size = sets.groupBy("comp").agg(F.sum("size").alias("n"), F.count("*").alias("m"))
+    return size.where((F.col("n") > limit[0]) | (F.col("m") > limit[1])).select("comp")
+
+
 def _links_of_small(sets: DataFrame, num: int, den: int) -> DataFrame:
     return sets.select("comp", "node", "elements").repartition("comp").sortWithinPartitions("comp", "node").mapInArrow(_resolved(num, den, 1), "a long, b long")
 
@@ -633,42 +721,49 @@ def _components(docs: DataFrame, id_col: str, text_col: str, n: int = 5, num: in
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), round(size * 0.11 / 1_000_000), 1)
     often = spark.sparkContext.broadcast(frequent_map(rows, n))
     rounds = min(-(-parts // a_round), MOST_ROUNDS)
-    parts, found = -(-parts // rounds), None
-    for k in range(rounds):
-        with scope(spark) as made:
-            packed = rows.mapInArrow(_packed(n, num, den, min(parts, coarse), often, k, rounds), _PACKED)
-            if parts > coarse:
-                packed = written(packed.repartition(coarse, "p")).mapInArrow(_split(-(-parts // coarse)), _PACKED)
-            part = written(packed.groupBy("p").applyInArrow(_matched, _FOUND))
-            made.remove(but=1)
-        found = part if found is None else found.union(part)
+    found = _matches(rows, parts, rounds, coarse, lambda *turn: _packed(n, num, den, turn[0], often, *turn[1:]))
     members = found.where(f"kind = {_DOC}").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), F.col("size").alias("n_shingles"), "sketch")
-    nodes = members.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("size"), F.any_value("sketch").alias("sketch"), F.count("*").alias("copies"))
-    members = members.drop("sketch")
-    pairs = found.where(f"kind = {_PAIR}").select("a", "b").distinct()
-    for end in ("a", "b"):
-        pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("size").alias(f"size_{end}"), F.col("sketch").alias(f"sketch_{end}")), end)
-    pairs = pairs.select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(_near(num, den), "a long, b long")
+    nodes = written(members.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("size"), F.any_value("sketch").alias("sketch"), F.count("*").alias("copies")))
+    members, sketches = members.drop("sketch"), nodes.select("node", "size", "sketch")
+    candidates = _candidates(found, sketches, num, den, rounds)
     nodes = nodes.drop("sketch")
-    candidates = connected_components(found.where(f"kind = {_LINKED}").select("a", "b").union(pairs)).select("node", F.col("root").alias("comp"))
 
     # The exact comparison reads the set of one document a node.
     wanted = written(candidates.join(nodes, "node").select(F.col("least").alias("doc_id"), "node", "comp", "size"))
-    sizes = wanted.groupBy("comp").agg(F.sum("size").alias("n"), F.count("*").alias("m"))
-    large = written(sizes.where((F.col("n") > limit[0]) | (F.col("m") > limit[1])).select("comp"))
-    filtered = F.broadcast(wanted) if wanted.count() <= broadcast_ids else wanted
-    texts = rows.join(filtered, rows.doc_id.eqNullSafe(filtered.doc_id), "inner").select("text", "node", "comp")
-    sets = texts.mapInArrow(_sets(n), "comp long, node long, size long, elements binary")
-    if _repeats(members):
-        sets = sets.dropDuplicates(["comp", "node"])
+    large = written(_beyond(wanted, limit))
+
+    def texts_of(some):
+        filtered = F.broadcast(some) if some.count() <= broadcast_ids else some
+        return rows.join(filtered.withColumnRenamed("doc_id", "_id"), rows.doc_id.eqNullSafe(F.col("_id")), "inner")
+
+    before = None
+    while not large.isEmpty():
+        of_large = written(wanted.join(large, "comp", "left_semi"))
+        elements = of_large.agg(F.sum("size")).first()[0]
+        if before is not None and 2 * elements > before:
+            break
+        before = elements
+        texts = texts_of(of_large).select("doc_id", "text")
+        rarity = spark.sparkContext.broadcast(rarity_map(texts, n, elements))
+        cuts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), round(elements * (den - num) / den / 1_000_000))
+        turns = min(-(-cuts // a_round), MOST_ROUNDS)
+        again = _matches(texts, cuts, turns, coarse, lambda *turn: _packed(n, num, den, turn[0], None, *turn[1:], rarity=rarity))  # noqa: B023
+        cut = _candidates(again, sketches, num, den, turns)
+        wanted = written(wanted.join(large, "comp", "left_anti").unionByName(of_large.drop("comp").join(cut, "node")))
+        large = written(_beyond(wanted, limit))
+
+    def sets_of(some):
+        sets = texts_of(some).select("text", "node", "comp").mapInArrow(_sets(n), "comp long, node long, size long, elements binary")
+        return sets.dropDuplicates(["comp", "node"]) if repeats else sets
+
+    repeats = _repeats(members)
     if large.isEmpty():
-        links = _links_of_small(sets, num, den)
+        links = _links_of_small(sets_of(wanted), num, den)
         groups = links.select(F.col("b").alias("node"), F.col("a").alias("root"))
         groups = written(groups.union(groups.select(F.col("root").alias("node"), "root").distinct()))
     else:
-        sets = written(sets)
-        links = _links_of_small(sets.join(large, "comp", "left_anti"), num, den)
-        for more in _links_of_large(written(sets.join(large, "comp", "left_semi")), num, den, limit):
+        links = written(_links_of_small(sets_of(wanted.join(large, "comp", "left_anti")), num, den))
+        for more in _links_of_large(written(sets_of(wanted.join(large, "comp", "left_semi"))), num, den, limit):
             links = links.union(more)
         groups = written(connected_components(links))
     least = groups.join(nodes, "node").groupBy("root").agg(F.min("least").alias("component_id"))
@@ -683,6 +778,31 @@ def _components(docs: DataFrame, id_col: str, text_col: str, n: int = 5, num: in
     return marked.where("hot").select(*columns).union(rest.select(*columns))
 
 
+def _matches(rows: DataFrame, parts: int, rounds: int, coarse: int, pack) -> DataFrame:
+    """What ``_matched`` finds in so many ranges of signatures, in rounds; ``pack(ranges, round, rounds)`` makes the packed rows."""
+    parts, found = -(-parts // rounds), None
+    for k in range(rounds):
+        with scope(rows.sparkSession) as made:
+            packed = rows.mapInArrow(pack(min(parts, coarse), k, rounds), _PACKED)
+            if parts > coarse:
+                packed = written(packed.repartition(coarse, "p")).mapInArrow(_split(-(-parts // coarse)), _PACKED)
+            part = written(packed.groupBy("p").applyInArrow(_matched, _FOUND))
+            made.remove(but=1)
+        found = part if found is None else found.union(part)
+    return found
+
+
+def _candidates(found: DataFrame, sketches: DataFrame, num: int, den: int, rounds: int) -> DataFrame:
+    """``node, comp``: components by links and by the pairs that may be similar, which meet their sketches in rounds."""
+    links = found.where(f"kind = {_LINKED}").select("a", "b")
+    for k in range(rounds):
+        pairs = found.where(f"kind = {_PAIR} and pmod(xxhash64(a), {rounds}) = {k}").select("a", "b").distinct()
+        for end in ("a", "b"):
+            pairs = pairs.join(sketches.select(F.col("node").alias(end), F.col("size").alias(f"size_{end}"), F.col("sketch").alias(f"sketch_{end}")), end)
+        links = links.union(written(pairs.select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(_near(num, den), "a long, b long")))
+    return connected_components(links).select("node", F.col("root").alias("comp"))
+
+
 def _repeats(members: DataFrame) -> bool:
     """Whether some id is on several rows."""
     return not members.groupBy("doc_id").count().where("count > 1").isEmpty()

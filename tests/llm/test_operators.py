@@ -1049,6 +1049,36 @@ def test_near_duplicates_in_rounds(spark):
         assert got == brute_components(rows)
 
 
+def test_chained_sets_are_cut_by_prefixes(spark, monkeypatch):
+    """A run that many unlike documents share chains them by its bucket: they are cut apart before any pivot, and near copies are found."""
+    import numpy as np
+
+    from tessera.llm import partenum
+    from tessera.llm.partenum import jaccard_components
+
+    rng = random.Random(8)
+    passage = words(rng, 12)
+    texts = [f"{words(rng, 25)} {passage}" for _ in range(60)]
+    texts += [f"{t} {words(rng, 1)}" for t in texts[:20]]
+    elements, sizes = partenum.shingle_sets([t.encode() for t in texts], 5)
+    sets = [set(x.tolist()) for x in np.split(elements, np.cumsum(sizes)[:-1])]
+    for rarity in (np.zeros(8, np.uint8), np.frombuffer(rng.randbytes(64), np.uint8)):
+        sig, by = partenum.prefixes(elements, sizes, 75, 100, rarity)
+        sent = [set(sig[by == i].tolist()) for i in range(len(texts))]
+        assert [len(x) for x in sent] == [len(x) - -(-75 * len(x) // 100) + 1 for x in sets]
+        assert all(sent[i] & sent[j] for i in range(len(texts)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]))
+
+    def none_left(*_):
+        raise AssertionError("a component is left to pivots")
+
+    monkeypatch.setattr(partenum, "frequent_map", lambda rows, n: np.zeros(4, np.uint8))
+    monkeypatch.setattr(partenum, "_links_of_large", none_left)
+    rows = [*enumerate(texts), (3, texts[70]), (None, texts[12])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(docs, limit=(10_000, 10)).collect())
+    assert got == brute_components(rows) and len({c for _, _, c in got}) == 59
+
+
 def test_written_tables_leave_no_shuffle_files(spark):
     import time
 
